@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 4 << 20
+#: ASCII white space, and bytes with A-Z in lower case
+WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,14 +100,17 @@ def code_points(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _per_text(texts: pa.Array, hit: np.ndarray) -> np.ndarray:
-    texts = pc.fill_null(texts, "").cast(pa.large_binary())
-    texts = pa.concat_arrays([texts])
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes in one row, and the n + 1 offsets between them; null is empty."""
+    texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_binary())])
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    if data is None or not len(texts):
-        return np.zeros(len(texts), np.int64)
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, at - at[0]
+
+
+def _per_text(texts: pa.Array, hit: np.ndarray) -> np.ndarray:
+    raw, at = text_bytes(texts)
     total = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(hit[raw], out=total[1:])
-    return total[at[1:] - at[0]] - total[at[:-1] - at[0]]
+    return np.diff(total[at])
