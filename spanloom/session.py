@@ -10,6 +10,7 @@ def local_session(cpus: str | int = "*", **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("spanloom")
     settings = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
