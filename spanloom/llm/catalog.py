@@ -1,4 +1,4 @@
 """Imports every module that registers a query of this subpackage."""
 
-from spanloom.llm import packing, repetition, secrets, simhash, topk, toxicity, weak  # noqa: F401
+from spanloom.llm import licenses, packing, repetition, secrets, simhash, topk, toxicity, weak  # noqa: F401
 from spanloom.llm.registry import ORACLES, QUERIES  # noqa: F401
