@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,7 +110,9 @@ class Encoder(dict):
     """Token ids (little-endian unsigned 32-bit bytes) of text parts cut before a space.
 
     A space that a non-space follows always starts a token of the byte-level pattern, so a
-    text's ids are those of its parts. The cache is bounded; parts are coded in batches.
+    text's ids are those of its parts. Parts that no cache holds are cut further by the
+    pattern where they are plain Latin text, and only pieces not met before are coded, in
+    batches. Both caches are bounded.
     """
 
     def __init__(self, path: str, most: int = 400_000) -> None:
@@ -121,6 +124,9 @@ class Encoder(dict):
         self.most = most
         self.odd = re.compile(r" \s")
         self.cut = re.compile(r" (?=\S)")
+        self.plain = re.compile(r"[\n\t !-~\u00a1-\u00ff]*").fullmatch
+        self.tokens = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.known: dict[str, bytes] = {}
 
     def ids(self, parts: list[str]) -> list[bytes]:
         got = [x.ids for x in self.model.encode_batch_fast(parts, add_special_tokens=False)]
@@ -131,13 +137,19 @@ class Encoder(dict):
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         if len(self) > self.most:
             self.clear()
+        if len(self.known) > self.most:
+            self.known.clear()
         cut: list[tuple[str, list[str]]] = []
         for text in texts:
             text = text or ""
             head, *tail = self.cut.split(text) if self.odd.search(text) else text.split(" ")
             cut.append((head, tail))
         new = list(set().union(*(tail for _, tail in cut)).difference(self))
-        self.update(zip(new, self.ids([" " + x for x in new])))  # kept under the part without its space
+        pieces = [[" " + x] if x.isalpha() or not self.plain(x) else self.tokens(" " + x) for x in new]
+        fresh = list(set().union(*pieces).difference(self.known))
+        self.known.update(zip(fresh, self.ids(fresh)))
+        # kept under the part without its space
+        self.update((x, b"".join(map(self.known.__getitem__, p))) for x, p in zip(new, pieces))
         for (_, tail), head in zip(cut, self.ids([head for head, _ in cut])):
             yield head + b"".join(map(self.__getitem__, tail))
 
