@@ -89,15 +89,15 @@ def top_k(
     """``(query_id, rank, vec_id, score)``; ``vectors`` holds ``vec_id`` and whole numbers ``v``."""
     n, nq = vectors.agg(F.count("*"), F.count_if(is_query)).first()
     blocks, query_blocks = 1 + n // candidate_rows, 1 + nq // query_rows
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    query_own = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks))
-    right = vectors.select("vec_id", "v", own.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    left = vectors.where(is_query).select(
-        "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c"), query_own.alias("q")
-    )
-    each = left.select("c", F.col("q").cast("long"), "vec_id", "v").groupBy("c", "q").cogroup(
-        right.select("c", F.col("q").cast("long"), "vec_id", "v").groupBy("c", "q")
-    )
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    # both sides name a cell by two longs: the join of groups compares hashes of the keys as they are
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks).cast("long"))
+    query_own = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks).cast("long"))
+    right = vectors.select("vec_id", "v", own.alias("c"), numbers(query_blocks).alias("q"))
+    left = vectors.where(is_query).select("vec_id", "v", numbers(blocks).alias("c"), query_own.alias("q"))
+    each = left.groupBy("c", "q").cogroup(right.groupBy("c", "q"))
     found = each.applyInPandas(lambda a, b: search_cell(a, b, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
