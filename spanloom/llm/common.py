@@ -25,20 +25,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the cluster's checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder (``spark.checkpoint.dir``), which all executors share.
 
-    The folder comes from the session (``spark.checkpoint.dir``); only where none is
-    set, as in tests on one machine, is a temporary one made.
+    Only where the session names none, as in tests on one machine, is a temporary one made.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def keep_rows(docs: DataFrame, verdict: Callable[[pa.Array], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows, with all of their columns, whose text ``verdict`` accepts; without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(verdict(part.column(text))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges with about ``limit`` bytes of ``column``, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

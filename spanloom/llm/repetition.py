@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import byte_class, code_points, codes, counts, map_slices, split_words, table
+from spanloom.llm.common import byte_class, code_points, codes, counts, keep_rows, map_slices, split_words, table
 from spanloom.llm.registry import QUERIES
 
 SYMBOLS = b"#*$%&|<>"
@@ -149,21 +149,29 @@ def quality_rules(
     repeat is longer than ``max_longest`` words.
     """
 
+    limits = (min_repeat, max_covered, max_longest, min_words)
+
     def f(part: pa.RecordBatch) -> dict:
-        m = measure(part.column("text"), min_repeat)
-        n, repeat = m["n_words"], m["n_repeat_words"]
-        failed = (n < min_words) | (100 * repeat > 50 * n)
-        bad = (m["covered_words"] > max_covered * n) | (m["longest_repeat"] > max_longest)
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-        return (
-            {"doc_id": part.column("doc_id")}
-            | {k: m[k] for k in names}
-            | {"base_failed": failed, "kept": ~failed & ~bad, "covered_words": m["covered_words"], "longest_repeat": m["longest_repeat"]}
-        )
+        m = judged(part.column("text"), *limits)
+        return {"doc_id": part.column("doc_id")} | {k: m[k] for k in (c.split()[0] for c in SCHEMA.split(", ")[1:])}
 
     return map_slices(docs, ["doc_id", "text"], f, SCHEMA)
 
 
+def judged(texts: pa.Array, min_repeat: int = 10, max_covered: float = 0.3, max_longest: int = 200, min_words: int = 50) -> dict[str, np.ndarray]:
+    """Measures of every text with ``base_failed`` and ``kept``."""
+    m = measure(texts, min_repeat)
+    n = m["n_words"]
+    m["base_failed"] = (n < min_words) | (100 * m["n_repeat_words"] > 50 * n)
+    m["kept"] = ~m["base_failed"] & (m["covered_words"] <= max_covered * n) & (m["longest_repeat"] <= max_longest)
+    return m
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all of their columns."""
+    return keep_rows(docs, lambda texts: judged(texts)["kept"])
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 

@@ -19,13 +19,14 @@ import hashlib
 import random
 import re
 import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import map_slices, table, text_bytes
+from spanloom.llm.common import map_slices, slices, table, text_bytes
 from spanloom.llm.registry import QUERIES
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -166,6 +167,27 @@ def redact(text: str | None, spans: str | None) -> str | None:
     return "".join([*out, text[end:]])
 
 
+def redacted(docs: DataFrame, min_length: int = 16, margin: float = 8.0, rate: float = 0.7) -> DataFrame:
+    """``docs`` with every span of its texts replaced; ``n_chars``, where there is one, follows the text."""
+    model = Markov(default_samples())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text")
+                found = scan(texts, model, min_length, margin, rate)
+                if any(found):
+                    clean = pa.array([redact(t, written(x)) for t, x in zip(texts.to_pylist(), found)], texts.type)
+                    part = part.set_column(part.schema.get_field_index("text"), "text", clean)
+                    at = part.schema.get_field_index("n_chars")
+                    if at >= 0:
+                        size = pc.if_else(pc.is_valid(clean), pc.utf8_length(clean).cast(part.column(at).type), part.column(at))
+                        part = part.set_column(at, "n_chars", size)
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 

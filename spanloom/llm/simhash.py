@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanloom.llm.common import LOWER, WHITE, cut, map_slices, table, text_bytes
+from spanloom.llm.common import LOWER, WHITE, cut, map_slices, slices, table, text_bytes
 from spanloom.llm.graph import components, local_components
 from spanloom.llm.registry import QUERIES
 from spanloom.llm.xxh import xxh64
@@ -187,19 +188,41 @@ def links(prints: DataFrame, distance: int = 3, blocks: int = 6, cell: int = 409
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def groups(prints: DataFrame, distance: int = 3, blocks: int = 6, cell: int = 4096) -> DataFrame:
+    """``(fp, root)`` for distinct fingerprints: equal roots are one group."""
+    roots = components(links(prints, distance, blocks, cell))
+    return prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 6, cell: int = 4096, width: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every document."""
     own = cut(fingerprints(docs, width))
     prints = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    edges = links(prints.select("fp"), distance, blocks, cell)
-    roots = components(edges)
+    joined = prints.join(groups(prints.select("fp"), distance, blocks, cell), "fp")
     # a group's smallest document over all of its fingerprints
-    joined = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     low = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = joined.join(low, "root").select("fp", "component_id")
     return own.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, distance: int = 3, blocks: int = 6, cell: int = 4096, width: int = 3) -> DataFrame:
+    """One row of each group, with all of its columns: that of the smallest doc_id, null ids last."""
+    own = cut(fingerprints(docs, width)).groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best"))
+    chosen = own.join(groups(own.select("fp"), distance, blocks, cell), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    chosen = chosen.select(F.col("best.doc_id").alias("_id"), F.col("best.fp").alias("_fp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                rows, hashes = shingles(part.column("text"), width)
+                yield part.append_column("_fp", pa.array(simhash(rows, hashes, part.num_rows).view(np.int64)))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    full = docs.mapInArrow(run, schema)
+    kept = full.alias("d").join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c._id")) & (F.col("d._fp") == F.col("c._fp")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

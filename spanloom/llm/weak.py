@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import byte_class, code_points, codes, counts, map_slices, split_words, table, text_bytes
+from spanloom.llm.common import byte_class, code_points, codes, counts, keep_rows, map_slices, split_words, table, text_bytes
 from spanloom.llm.registry import QUERIES
 from spanloom.llm.xxh import xxh64
 
@@ -292,6 +292,12 @@ def quality_classifier(docs: DataFrame, model: QualityModel, threshold: float =
     return map_slices(docs, ["doc_id", "text"], f, SCHEMA)
 
 
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that a classifier fitted to them keeps, with all of their columns."""
+    model = fit(docs)
+    return keep_rows(docs, lambda texts: linear(Words(texts), model.weights, model.bias) >= threshold)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier(docs, fit(docs))
