@@ -1,3 +1,5 @@
 """Imports every module that registers queries."""
 
+from spanloom.plans import evaluation  # noqa: F401
+
 FLAGSHIP = "span_prf"
