@@ -46,8 +46,13 @@ def paragraph_duplicates(paragraphs: DataFrame, order: str = "seq", min_chars: i
 def shingles(normalized: Column, width: int = 5) -> Column:
     """Distinct word windows of a normalised text; one of all its words where it has fewer."""
     w = F.regexp_extract_all(normalized, F.lit(r"[^\s\x{00A0}]+"), F.lit(0))
-    last = F.greatest(F.size(w) - width, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i + 1, width), " ")))
+
+    def windows(w: Column) -> Column:
+        last = F.greatest(F.size(w) - width, F.lit(0))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i + 1, width), " ")))
+
+    # a variable of an outer lambda holds the words, which would else be split again for every window
+    return F.element_at(F.transform(F.array(w), windows), 1)
 
 
 def masks(n: int = BANDS * ROWS) -> list[int]:

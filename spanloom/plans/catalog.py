@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from spanloom.plans import evaluation  # noqa: F401
+from spanloom.plans import curation, evaluation  # noqa: F401
 
 FLAGSHIP = "span_prf"
