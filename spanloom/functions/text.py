@@ -164,11 +164,10 @@ def title_case(text: Column) -> Column:
 
 
 def case_like(text: Column, model: Column) -> Column:
-    """``text`` in the case pattern of ``model``: all upper, first letter lower, or as it is."""
-    bare = F.regexp_replace(model, r"[^\p{L}]", "")
-    all_upper = (F.length(model) > 1) & (F.length(bare) > 0) & (F.upper(model) == model) & (F.lower(model) != model)
-    first = F.substring(model, 1, 1)
-    return F.when(all_upper, F.upper(text)).when(first.rlike(r"^\p{Ll}"), F.lower(text)).otherwise(text)
+    """``text`` in the case pattern of ``model``: all upper, first letter lower, or as it is; length kept."""
+    all_upper = (F.length(model) > 1) & (F.upper(model) == model) & (F.lower(model) != model)
+    low = F.regexp_replace(model, r"[^\p{L}]", "").rlike(r"^\p{Ll}")
+    return F.when(all_upper, same_length_case(text, True)).when(low, same_length_case(text, False)).otherwise(text)
 
 
 WORD_CHAR = r"^[\p{L}\p{N}'‘’ʻʼʽ`´]$"

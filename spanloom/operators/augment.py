@@ -25,13 +25,9 @@ def gazetteer(mentions: DataFrame) -> DataFrame:
     rows = mentions.where(F.length("mention") >= 2).select(
         "label", "mention", T.span_script(F.col("mention")).alias("script"), T.affix(F.col("mention")).alias("affix")
     )
-    keys = F.explode(
-        F.array(
-            F.struct(F.lit(0).alias("level"), F.col("script").alias("script"), F.col("affix").alias("affix")),
-            F.struct(F.lit(1), F.col("script"), F.lit(None).cast("string")),
-            F.struct(F.lit(2), F.lit(None).cast("string"), F.lit(None).cast("string")),
-        )
-    ).alias("k")
+    none = F.lit(None).cast("string")
+    level = lambda k, script, affix: F.struct(F.lit(k).alias("level"), script.alias("script"), affix.alias("affix"))
+    keys = F.explode(F.array(level(0, F.col("script"), F.col("affix")), level(1, F.col("script"), none), level(2, none, none))).alias("k")
     distinct = rows.distinct().select("label", "mention", keys)
     return distinct.groupBy("k.level", "label", "k.script", "k.affix").agg(F.array_sort(F.collect_set("mention")).alias("forms"))
 

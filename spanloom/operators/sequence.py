@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import is_word_char
 from spanloom.operators.spans import tags
 
 SMOOTHING, EPS = 0.1, 1e-12
@@ -28,6 +29,30 @@ def windows(tokens: DataFrame, max_length: int, stride: int, special: int = 2) -
     return each.select("doc_id", "win", first.alias("first"), F.least(first + content, F.col("n")).alias("last"))
 
 
+def categories(tokens: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(doc_id, start, end, category)``: where each token lies in its word.
+
+    A document's tokens meet its text once, and the text is cut into characters once, so
+    that the cost is linear in both.
+    """
+    per = tokens.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("tokens"))
+    rows = per.join(docs.select("doc_id", "text"), "doc_id")
+
+    def named(inside: Column) -> Column:
+        def one(t: Column) -> Column:
+            left = (t["start"] > 0) & F.coalesce(F.get(inside, (t["start"] - 1).cast("int")), F.lit(False))
+            right = F.coalesce(F.get(inside, t["end"].cast("int")), F.lit(False))
+            name = F.when(left & right, "middle").when(left, "fin").when(right, "init").otherwise("word")
+            return F.struct(t["start"].alias("start"), t["end"].alias("end"), name.alias("category"))
+
+        return F.transform("tokens", one)
+
+    # a variable of an outer lambda holds the characters' kinds, which are then found once for a text
+    kinds = F.transform(F.split("text", ""), is_word_char)
+    out = F.element_at(F.transform(F.array(kinds), named), 1)
+    return rows.select("doc_id", F.explode(out).alias("t")).select("doc_id", "t.start", "t.end", "t.category")
+
+
 def average(probs: DataFrame) -> DataFrame:
     """Mean of ``probs(doc_id, start, end, tag, p)`` over all windows that show a token; special tokens go."""
     return probs.where("start <> end").groupBy("doc_id", "start", "end", "tag").agg(F.avg("p").alias("p"))
