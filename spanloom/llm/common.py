@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,13 @@ def map_slices(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def trim(cache: dict, most: int) -> None:
+    """Halve a cache that holds over ``most`` entries; the oldest stay, since frequent words come first."""
+    if len(cache) > most:
+        for key in list(islice(reversed(cache), len(cache) - most // 2)):
+            del cache[key]
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Row of each word, and the words: runs of anything but ASCII white space."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import cut, map_slices, table
+from spanloom.llm.common import cut, map_slices, table, trim
 from spanloom.llm.registry import QUERIES
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -135,10 +135,8 @@ class Encoder(dict):
         return [flat[s:e] for s, e in zip(ends, ends[1:])]
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self) > self.most:
-            self.clear()
-        if len(self.known) > self.most:
-            self.known.clear()
+        trim(self, self.most)
+        trim(self.known, 2 * self.most)
         cut: list[tuple[str, list[str]]] = []
         for text in texts:
             text = text or ""

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import map_slices, table
+from spanloom.llm.common import map_slices, table, trim
 from spanloom.llm.registry import QUERIES
 
 SPACE = "▁"
@@ -266,8 +266,7 @@ class Codec:
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        if len(self.cache) > self.most:
-            self.cache.clear()
+        trim(self.cache, self.most)
         cut = [self.units(t) if t else [] for t in texts]
         new = list(set().union(*cut).difference(self.cache))
         if new:
