@@ -155,11 +155,13 @@ class WeakModel:
         return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -700, 700)))
 
 
-def estimate(pattern: np.ndarray, weight: np.ndarray, rounds: int = 100, prior: float = 0.002) -> WeakModel:
+def estimate(pattern: np.ndarray, weight: np.ndarray, rounds: int = 100, prior: float = 0.002, most_false: float = 0.03) -> WeakModel:
     """Expectation-maximisation over counted vote patterns.
 
     It starts from labellers that are right more often than not, and a small share
     ``prior`` of such votes stays in each estimate, so that the classes cannot change places.
+    A labeller is taken to object to a share ``most_false`` of the good texts at most, or a
+    kind of junk that two labellers see could pass for a kind of good text.
     """
     votes = votes_of(pattern)
     # votes none, bad, good; rows bad and good
@@ -176,6 +178,10 @@ def estimate(pattern: np.ndarray, weight: np.ndarray, rounds: int = 100, prior:
                 chance[k, :, v] = by_class[:, votes[:, k] == v].sum(1)
         chance += (1 + prior * total) * seed
         chance /= chance.sum(2, keepdims=True)
+        false = chance[:, 1, BAD]
+        rest = (1 - np.minimum(false, most_false)) / np.maximum(1 - false, 1e-12)
+        chance[:, 1, [NONE, GOOD]] *= rest[:, None]
+        chance[:, 1, BAD] = np.minimum(false, most_false)
         share = float((by_class[1].sum() + 0.85) / (total + 1))
         done = np.abs(chance - model.chance).max() < 1e-7
         model = WeakModel(share, chance)
