@@ -204,13 +204,14 @@ def _pick(features: tuple[np.ndarray, np.ndarray, np.ndarray], who: np.ndarray)
 def train(
     texts: list[str], doc: np.ndarray, label: np.ndarray,
     epochs: int = 5, batch: int = 128, rate: float = 0.01,
-    seed: int = 5, min_docs: int = 6, drop: float = 0.1,
+    seed: int = 5, min_docs: int = 6, drop: float = 0.1, least_steps: int = 300,
 ) -> Network:
     """Fit on windows: each text is one window of the document ``doc`` with its ``label``.
 
     Hashed spellings and n-grams of fewer than ``min_docs`` training documents keep their
     first values, and a share ``drop`` of the words is hidden at each step, so that noisy
-    labels are not learnt by heart from rare words.
+    labels are not learnt by heart from rare words. Few windows are gone through more often,
+    for ``least_steps`` steps in all.
     """
     net, rng = Network(seed), np.random.default_rng(seed)
     data = Words(pa.array(texts, pa.string()))
@@ -228,7 +229,7 @@ def train(
     nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     common["grams"] = _documents(np.repeat(pair[0], many), gram[np.repeat(first[pair[1]], many) + nth], 1 << GRAM_BITS) >= min_docs
     step = 0
-    for epoch in range(epochs):
+    for epoch in range(max(epochs, -(-least_steps * batch // max(data.n, 1)))):
         if epoch:
             score = _logits(net, data, base, size)
             best = np.full(doc.max() + 1, -np.inf, np.float32)
@@ -306,7 +307,8 @@ def training_windows(docs: DataFrame, labels: DataFrame, per_class: int, per_doc
 
     # bounded: three times per_class rows
     chosen = some(0, 2 * per_class).unionByName(some(1, per_class)).withColumnRenamed("doc_id", "labelled_id")
-    mine = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["labelled_id"]).select("doc_id", "toxic", "text")
+    own = docs.select("doc_id", "text")  # further columns may share a name with those of the labels
+    mine = own.join(F.broadcast(chosen), own["doc_id"] == chosen["labelled_id"]).select("doc_id", "toxic", "text")
 
     def f(part: pa.RecordBatch) -> dict:
         rows: list[int] = []
