@@ -209,18 +209,20 @@ def keep_first(docs: DataFrame, distance: int = 3, blocks: int = 6, cell: int =
     """One row of each group, with all of its columns: that of the smallest doc_id, null ids last."""
     own = cut(fingerprints(docs, width)).groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best"))
     chosen = own.join(groups(own.select("fp"), distance, blocks, cell), "fp").groupBy("root").agg(F.min("best").alias("best"))
-    chosen = chosen.select(F.col("best.doc_id").alias("_id"), F.col("best.fp").alias("_fp"))
+    name = "fp"
+    while name in docs.columns:
+        name = f"_{name}"
+    chosen = chosen.select(F.col("best.doc_id").alias("chosen_id"), F.col("best.fp").alias("chosen_fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 rows, hashes = shingles(part.column("text"), width)
-                yield part.append_column("_fp", pa.array(simhash(rows, hashes, part.num_rows).view(np.int64)))
+                yield part.append_column(name, pa.array(simhash(rows, hashes, part.num_rows).view(np.int64)))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
-    full = docs.mapInArrow(run, schema)
-    kept = full.alias("d").join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c._id")) & (F.col("d._fp") == F.col("c._fp")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+    full = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    same = full["doc_id"].eqNullSafe(chosen["chosen_id"]) & (full[name] == chosen["chosen_fp"])
+    return full.join(chosen, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
