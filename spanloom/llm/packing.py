@@ -115,7 +115,7 @@ class Encoder(dict):
     batches. Both caches are bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -136,7 +136,7 @@ class Encoder(dict):
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         trim(self, self.most)
-        trim(self.known, 2 * self.most)
+        trim(self.known, 3 * self.most // 2)
         cut: list[tuple[str, list[str]]] = []
         for text in texts:
             text = text or ""
