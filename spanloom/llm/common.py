@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: ASCII white space, and bytes with A-Z in lower case
 WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)

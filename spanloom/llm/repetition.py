@@ -44,7 +44,7 @@ def suffix_array(symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np
     key = owner * (int(symbols.max()) + 1) + symbols
     order = np.argsort(key, kind="stable")
     rank = _ranks(key[order], order, n)
-    levels, h = [rank], 1
+    levels, h = [rank.astype(np.int32)], 1
     while True:
         size = np.bincount(rank, minlength=n)
         tied = np.flatnonzero(size[rank] > 1)
@@ -63,7 +63,7 @@ def suffix_array(symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np
         own = np.maximum.accumulate(np.where(head, at, 0))
         rank = rank.copy()
         rank[who] = group + own - start
-        levels.append(rank)
+        levels.append(rank.astype(np.int32))
         h *= 2
     array = np.empty(n, np.int64)
     array[rank] = np.arange(n)

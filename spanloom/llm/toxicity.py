@@ -343,7 +343,7 @@ def toxicity(docs: DataFrame, model: Network | float, size: int = 48, step: int
         score = np.full(n, model) if isinstance(model, float) else score_texts(model, part.column("text"), size, step)
         return {"doc_id": part.column("doc_id"), "score": score}
 
-    return map_slices(docs, ["doc_id", "text"], f, "doc_id long, score double", limit=SLICE_BYTES // 4)
+    return map_slices(docs, ["doc_id", "text"], f, "doc_id long, score double", limit=SLICE_BYTES // 2)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
