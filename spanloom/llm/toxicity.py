@@ -299,14 +299,14 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_windows(docs: DataFrame, labels: DataFrame, per_class: int, per_doc: int, size: int, seed: int = 3) -> DataFrame:
-    """``(doc_id, toxic, text)``: up to ``per_doc`` windows of up to ``per_class`` toxic documents and twice as many others."""
+    """``(doc_id, toxic, text)``: up to ``per_doc`` windows of up to ``per_class`` toxic documents and three times as many others."""
     free = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
 
     def some(toxic: int, n: int) -> DataFrame:
         return free.where(F.col("toxic") == toxic).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
 
-    # bounded: three times per_class rows
-    chosen = some(0, 2 * per_class).unionByName(some(1, per_class)).withColumnRenamed("doc_id", "labelled_id")
+    # bounded: four times per_class rows
+    chosen = some(0, 3 * per_class).unionByName(some(1, per_class)).withColumnRenamed("doc_id", "labelled_id")
     own = docs.select("doc_id", "text")  # further columns may share a name with those of the labels
     mine = own.join(F.broadcast(chosen), own["doc_id"] == chosen["labelled_id"]).select("doc_id", "toxic", "text")
 
@@ -327,7 +327,7 @@ def training_windows(docs: DataFrame, labels: DataFrame, per_class: int, per_doc
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, per_doc: int = 4, size: int = 48) -> Network | float:
-    """Train on the driver: at most 3 * per_class * per_doc windows of ``size`` words reach it."""
+    """Train on the driver: at most 4 * per_class * per_doc windows of ``size`` words reach it."""
     got = training_windows(docs, labels, per_class, per_doc, size).toPandas().sort_values(["doc_id", "toxic", "text"])
     label = got["toxic"].to_numpy(dtype=np.int64)
     if not len(label) or label.min() == label.max():
