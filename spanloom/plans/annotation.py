@@ -183,9 +183,9 @@ def transition_log_conditional(spark, d):
     return sequence.log_transitions(transitions(spark, d), "bilou").withColumn("logp", F.round("logp", 6))
 
 
-@query("transition_log_structural", D.with_base("SELECT category, prev, cur, round(logp - logm, 6) AS logp FROM logt", f"{TAGGED}, {DENSE}"))
+@query("transition_log_structural", D.with_base("SELECT category, prev, cur, round(logp - logm, 6) + 0.0::DOUBLE AS logp FROM logt", f"{TAGGED}, {DENSE}"))
 def transition_log_structural(spark, d):
-    return sequence.log_transitions(transitions(spark, d), "bilou", structural=True).withColumn("logp", F.round("logp", 6))
+    return sequence.log_transitions(transitions(spark, d), "bilou", structural=True).withColumn("logp", F.round("logp", 6) + 0.0)  # no negative zeros
 
 
 @query("forbidden_transitions", D.with_base("SELECT prev, cur, round(logp, 6) AS logp FROM logt WHERE category = 'fin' ORDER BY round(logp, 6), prev, cur LIMIT 6", f"{TAGGED}, {DENSE}"))
