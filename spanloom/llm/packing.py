@@ -110,12 +110,16 @@ class Encoder(dict):
     """Token ids (little-endian unsigned 32-bit bytes) of text parts cut before a space.
 
     A space that a non-space follows always starts a token of the byte-level pattern, so a
-    text's ids are those of its parts. Parts that no cache holds are cut further by the
-    pattern where they are plain Latin text, and only pieces not met before are coded, in
-    batches. Both caches are bounded.
+    text's ids are those of its parts. Of parts that are not in the cache, signs behind a run
+    of letters are a token of their own, plain Latin ones with white space inside are cut by
+    the pattern, and what is left is coded, many parts in one text. The dictionary itself
+    holds what stands behind a space, under its bare text, and ``known`` other tokens; both
+    are bounded.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    SIGNS = ".,!?;:$%&*#|"
+
+    def __init__(self, path: str, most: int = 450_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -125,8 +129,12 @@ class Encoder(dict):
         self.odd = re.compile(r" \s")
         self.cut = re.compile(r" (?=\S)")
         self.plain = re.compile(r"[\n\t !-~\u00a1-\u00ff]*").fullmatch
+        self.white = re.compile(r"\s").search
         self.tokens = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.known: dict[str, bytes] = {}
+        names = self.model.get_vocab()
+        self.space = np.zeros(1 + max(names.values()), bool)
+        self.space[[k for name, k in names.items() if name.startswith("\u0120")]] = True  # the sign for a space
 
     def ids(self, parts: list[str]) -> list[bytes]:
         got = [x.ids for x in self.model.encode_batch_fast(parts, add_special_tokens=False)]
@@ -134,20 +142,63 @@ class Encoder(dict):
         ends = (4 * np.cumsum([0, *map(len, got)])).tolist()
         return [flat[s:e] for s, e in zip(ends, ends[1:])]
 
+    def spaced(self, parts: list[str], together: int = 1000) -> list[bytes]:
+        """Ids of parts without white space, each behind a space, coded many at a time.
+
+        Each part then has one token that starts with the space, its first.
+        """
+        lines = [" " + " ".join(parts[k : k + together]) for k in range(0, len(parts), together)]
+        got = [x.ids for x in self.model.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(got), "<u4")
+        ends = (4 * np.append(np.flatnonzero(self.space[flat]), len(flat))).tolist()
+        if len(ends) != len(parts) + 1:
+            return self.ids([" " + x for x in parts])
+        raw = flat.tobytes()
+        return [raw[s:e] for s, e in zip(ends, ends[1:])]
+
+    def learn(self, parts: set[str]) -> None:
+        """Make every part, as it stands behind a space, known."""
+        behind: set[str] = set()  # without white space
+        other: set[str] = set()
+        made: list[tuple[str, str, str]] = []
+        rest: list[str] = []
+        for part in parts:
+            core = part.rstrip(self.SIGNS)
+            if core.isalpha():
+                behind.add(core)
+                if core is not part:
+                    other.add(tail := part[len(core) :])
+                    made.append((part, core, tail))
+            elif part and not self.white(part):
+                behind.add(part)
+            else:
+                rest.append(part)
+        new = list(behind.difference(self))
+        self.update(zip(new, self.spaced(new)))
+        new = list(other.difference(self.known))
+        self.known.update(zip(new, self.ids(new)))
+        known = self.known
+        self.update((part, self[core] + known[tail]) for part, core, tail in made)
+        self.update(self.cut_further(rest))
+
+    def cut_further(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts with white space inside, from those of the pattern's tokens where they are plain."""
+        cut = [self.tokens(" " + x) if self.plain(x) else [" " + x] for x in parts]
+        heads = {t[0][1:] for t in cut if t[0][1:].isalpha()}.difference(self)
+        self.update(zip(heads, self.spaced(list(heads))))
+        new = list({t for x in cut for t in x if not (t[0] == " " and t[1:] in self)}.difference(self.known))
+        self.known.update(zip(new, self.ids(new)))
+        return {x: b"".join(self[t[1:]] if t[0] == " " and t[1:] in self else self.known[t] for t in tokens) for x, tokens in zip(parts, cut)}
+
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         trim(self, self.most)
-        trim(self.known, 3 * self.most // 2)
+        trim(self.known, self.most // 3)
         cut: list[tuple[str, list[str]]] = []
         for text in texts:
             text = text or ""
             head, *tail = self.cut.split(text) if self.odd.search(text) else text.split(" ")
             cut.append((head, tail))
-        new = list(set().union(*(tail for _, tail in cut)).difference(self))
-        pieces = [[" " + x] if x.isalpha() or not self.plain(x) else self.tokens(" " + x) for x in new]
-        fresh = list(set().union(*pieces).difference(self.known))
-        self.known.update(zip(fresh, self.ids(fresh)))
-        # kept under the part without its space
-        self.update((x, b"".join(map(self.known.__getitem__, p))) for x, p in zip(new, pieces))
+        self.learn(set().union(*(tail for _, tail in cut)).difference(self))
         for (_, tail), head in zip(cut, self.ids([head for head, _ in cut])):
             yield head + b"".join(map(self.__getitem__, tail))
 
