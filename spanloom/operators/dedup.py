@@ -73,11 +73,13 @@ def band_keys(signatures: DataFrame, order: str = "seq", bands: int = BANDS, row
     return signatures.select(order, F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
-def candidate_pairs(keys: DataFrame, order: str = "seq") -> DataFrame:
-    """``(a, b)`` with a < b for rows that share a band's key; for reports, the rules below need no pairs."""
-    left = keys.select(F.col(order).alias("a"), "band", "key")
-    right = keys.select(F.col(order).alias("b"), "band", "key")
-    return left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
+def bucket_links(keys: DataFrame, order: str = "seq") -> DataFrame:
+    """``(a, b)``: each row b with the first row a of each of its buckets, instead of all pairs of a bucket.
+
+    Rows that share buckets are connected by these links just as by all pairs.
+    """
+    first = F.min(order).over(Window.partitionBy("band", "key"))
+    return keys.select(first.alias("a"), F.col(order).alias("b")).where("a < b").distinct()
 
 
 def first_in_bucket(keys: DataFrame, order: str = "seq") -> DataFrame:

@@ -167,9 +167,9 @@ def lsh_band_keys(spark, d):
     return dedup.band_keys(signatures(spark, d))
 
 
-@query("lsh_candidate_pairs", f"WITH {SIGNATURE}, {BANDS} SELECT DISTINCT a.seq AS a, b.seq AS b FROM keys a JOIN keys b USING (band, key) WHERE a.seq < b.seq")
-def lsh_candidate_pairs(spark, d):
-    return dedup.candidate_pairs(dedup.band_keys(signatures(spark, d)))
+@query("lsh_bucket_links", f"WITH {SIGNATURE}, {BANDS} SELECT DISTINCT a, seq AS b FROM (SELECT seq, min(seq) OVER (PARTITION BY band, key) AS a FROM keys) WHERE a < seq")
+def lsh_bucket_links(spark, d):
+    return dedup.bucket_links(dedup.band_keys(signatures(spark, d)))
 
 
 @query(
