@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.metrics import KEY, counted, matched, with_ratios
+from spanloom.operators.metrics import KEY, by_run, with_ratios
 from spanloom.operators.spans import tags, without_overlaps
 
 
@@ -115,7 +115,5 @@ def weight_search(score: Callable[[dict], float], models: list, values=(0, 0.5,
 
 def run_scores(gold: DataFrame, runs: DataFrame) -> DataFrame:
     """Micro counts and ratios of each run, best first, ties by name."""
-    names = runs.select("run").distinct()
-    rows = matched(gold.crossJoin(F.broadcast(names)), runs, "run")  # a few runs
-    out = with_ratios(counted(rows, "run"))
+    out = with_ratios(by_run(gold, runs))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("f1"), "run")))

@@ -63,12 +63,26 @@ def key_differences(gold: DataFrame, predicted: DataFrame, key: str = "doc_id")
     return missing.unionByName(p.join(g, key, "left_anti").withColumn("problem", F.lit("extra")))
 
 
+def by_run(gold: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:
+    """tp, fp and fn by ``run`` and ``keys``, which both sides have besides a span's key.
+
+    Gold spans meet the predictions once and are counted once; only the counts are repeated
+    for every run, so that runs without predictions under a key have rows too.
+    """
+    g = gold.select(*KEY, *keys).distinct()
+    hits = g.select(*KEY, F.lit(True).alias("hit"))
+    p = predicted.select("run", *KEY, *keys).distinct().join(hits, KEY, "left")
+    per = p.groupBy("run", *keys).agg(F.count("hit").alias("tp"), (F.count("*") - F.count("hit")).alias("fp"))
+    runs = predicted.agg(F.collect_set("run").alias("runs"))  # one row with the few runs
+    total = g.groupBy(*keys).agg(F.count("*").alias("n")).crossJoin(F.broadcast(runs)).select(*keys, "n", F.explode("runs").alias("run"))
+    both = total.join(per, ["run", *keys], "full_outer").na.fill(0, ["n", "tp", "fp"])
+    return both.select("run", *keys, "tp", "fp", (F.col("n") - F.col("tp")).alias("fn"))
+
+
 def slices(gold: DataFrame, predicted: DataFrame, docs: DataFrame, bucket: Column) -> DataFrame:
     """Counts and ratios by ``run`` and by the bucket of a document; documents without predictions count."""
     named = docs.select("doc_id", bucket.alias("bucket"))
-    runs = predicted.select("run").distinct()
-    rows = matched(gold.crossJoin(F.broadcast(runs)), predicted, "run")  # a few runs
-    return with_ratios(counted(rows.join(named, "doc_id"), "run", "bucket"))
+    return with_ratios(by_run(gold.join(named, "doc_id"), predicted.join(named, "doc_id"), "bucket"))
 
 
 def delta(sliced: DataFrame, first, second) -> DataFrame:
@@ -80,12 +94,12 @@ def delta(sliced: DataFrame, first, second) -> DataFrame:
 def seen_recall(gold: DataFrame, predicted: DataFrame, known: DataFrame) -> DataFrame:
     """Recall by run, label and whether the mention is a known form; gold has ``mention``, known ``(label, mention)``."""
     seen = gold.join(known.select("label", "mention").distinct().withColumn("seen", F.lit(True)), ["label", "mention"], "left")
-    runs = predicted.select("run").distinct()
-    hits = predicted.select("run", *KEY).distinct().withColumn("hit", F.lit(1))
-    rows = seen.crossJoin(F.broadcast(runs)).join(hits, ["run", *KEY], "left")
-    return rows.groupBy("run", "label", F.coalesce("seen", F.lit(False)).alias("seen")).agg(
-        F.count("*").alias("n"), F.count("hit").alias("hits"), F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall")
-    )
+    seen = seen.select(*KEY, F.coalesce("seen", F.lit(False)).alias("seen"))
+    found = predicted.select("run", *KEY).distinct().join(seen, KEY).groupBy("run", "label", "seen").agg(F.count("*").alias("hits"))
+    runs = predicted.agg(F.collect_set("run").alias("runs"))  # one row with the few runs
+    total = seen.groupBy("label", "seen").agg(F.count("*").alias("n")).crossJoin(F.broadcast(runs))
+    rows = total.select(F.explode("runs").alias("run"), "label", "seen", "n").join(found, ["run", "label", "seen"], "left").na.fill(0, ["hits"])
+    return rows.withColumn("recall", F.col("hits") / F.col("n"))
 
 
 def signatures(records: DataFrame, spans: DataFrame) -> DataFrame:
