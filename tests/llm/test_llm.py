@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanloom.llm import catalog, graph, licenses, packing, pieces, repetition, secrets, simhash, topk, toxicity, warc, weak
+from spanloom.llm import catalog, graph, licenses, neardup, packing, pieces, repetition, secrets, simhash, topk, toxicity, warc, weak
 from spanloom.llm.xxh import xxh64
 
 SF = "/root/testdata/sf0.001"
@@ -490,6 +490,36 @@ def test_near_dedup_keeps_one_of_each_group(spark, odd, none):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "6", "None"]
 
 
+def test_pipeline_near_dedup_equals_brute_force(spark, odd, none):
+    assert neardup.keep_first(none).count() == 0
+    kept = neardup.keep_first(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "6", "None"]
+    rng = random.Random(33)
+    texts = []
+    for k in range(60):
+        words = [f"w{k}x{rng.randrange(10_000)}" for _ in range(rng.randint(40, 160))]
+        texts.append(" ".join(words))
+        for changes in (1, 2, 3, 5):
+            other = list(words)
+            for _ in range(changes):
+                other[rng.randrange(len(other))] = f"new{rng.randrange(10_000)}"
+            texts.append(" ".join(other))
+    shingled = []
+    for t in texts:
+        w = t.lower().split()
+        shingled.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    pairs = [(a, b) for a, b in combinations(range(len(texts)), 2) if 5 * len(shingled[a] & shingled[b]) >= 4 * len(shingled[a] | shingled[b])]
+    roots = graph.local_components(len(texts), *np.array(pairs).T)
+    docs = frame(spark, texts)
+    for cell in (1024, 2):
+        got = {r["doc_id"] for r in neardup.keep_first(docs, cell=cell).select("doc_id").collect()}
+        assert got == set(roots.tolist())
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert {r["doc_id"] for r in stage(spark, docs, "").select("doc_id").collect()} == set(roots.tolist())
+    assert {r["doc_id"] for r in simhash.keep_first(docs).select("doc_id").collect()} != set(roots.tolist())
+
+
 @pytest.mark.skipif(not Path(SF).is_dir(), reason="no test tables")
 @pytest.mark.parametrize("name", ["op2_sentencepiece", "op3_license_scan", "op5_quality_rules", "op6_simhash", "op7_best_fit_packing", "op8_secret_scan", "op9_quality_classifier", "op10_toxicity"])
 def test_queries_run(spark, name):
