@@ -3,7 +3,8 @@
 Two first-order Markov models over characters are counted from labelled samples: one
 from random strings, one from ordinary identifiers. A run of at least ``min_length``
 token characters that no base span touches is a secret if the random model explains it
-better than the other by more than ``margin`` nats in all and ``rate`` a character.
+better than the other by more than ``margin`` nats in all and ``rate`` a character. Otherwise its best segment that does so is one, widened to the next
+sign that is neither letter nor digit, and the parts on both sides of it are scored anew.
 
 The default samples are made here from a fixed seed: random strings over the alphabets
 that keys use, and identifiers joined from ordinary words in the usual styles. Callers
@@ -80,9 +81,42 @@ class Markov:
         p = np.log(count / count.sum(2, keepdims=True))
         self.ratio = p[1] - p[0]
 
-    def __call__(self, text: bytes) -> float:
+    def each(self, text: bytes) -> np.ndarray:
+        """The ratio of every character, given the one before it."""
         seen = np.r_[0, self.code[np.frombuffer(text, np.uint8)]]
-        return float(self.ratio[seen[:-1], seen[1:]].sum())
+        return self.ratio[seen[:-1], seen[1:]]
+
+    def __call__(self, text: bytes) -> float:
+        return float(self.each(text).sum())
+
+
+def segments(text: bytes, model: Markov, min_length: int, margin: float, rate: float) -> list[tuple[int, int]]:
+    """``(start, end)`` of the secrets in a run of token characters, in order."""
+    out, parts = [], [(0, len(text))]
+    while parts:
+        a, b = parts.pop()
+        if b - a < min_length:
+            continue
+        ratio = model.each(text[a:b])
+        if ratio.sum() > margin and ratio.sum() > rate * (b - a):
+            out.append((a, b))
+            continue
+        # the segment of the highest sum above the rate, min_length characters or more
+        above = np.r_[0, np.cumsum(ratio - rate)]
+        low = np.minimum.accumulate(above[: len(above) - min_length])
+        end = int(np.argmax(above[min_length:] - low)) + min_length
+        start = int(np.argmin(above[: end - min_length + 1]))
+        total = ratio[start:end].sum()
+        if total <= margin or total <= rate * (end - start):
+            continue
+        s, e = a + start, a + end
+        while s > a and text[s - 1 : s].isalnum():
+            s -= 1
+        while e < b and text[e : e + 1].isalnum():
+            e += 1
+        out.append((s, e))
+        parts += [(a, s), (e, b)]
+    return sorted(out)
 
 
 def runs(raw: np.ndarray, at: np.ndarray, wanted: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,11 +153,10 @@ def scan(texts: pa.Array, model: Markov, min_length: int, margin: float, rate: f
                 found.setdefault(int(row), []).append((s, 0, s + len(m[0].encode())))
     for row, s, e in zip(*runs(raw, at, TOKEN, min_length)):
         a, b = int(s - at[row]), int(e - at[row])
-        if any(x < b and y > a for x, _, y in found.get(int(row), ())):
+        if any(x < b and y > a for x, kind, y in found.get(int(row), ()) if kind < 3):
             continue
-        ratio = model(raw[s:e].tobytes())
-        if ratio > margin and ratio > rate * (b - a):
-            found.setdefault(int(row), []).append((a, 3, b))
+        for u, v in segments(raw[s:e].tobytes(), model, min_length, margin, rate):
+            found.setdefault(int(row), []).append((a + u, 3, a + v))
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
     for row, spans in found.items():
         body = raw[at[row] : at[row + 1]]

@@ -361,6 +361,25 @@ def test_markov_on_unseen_samples():
     assert np.mean(np.array(hit)[label]) > 0.97 and np.mean(np.array(hit)[~label]) < 0.01
 
 
+def markov_spans(text):
+    found = secrets.scan(pa.array([text]), secrets.Markov(secrets.default_samples()), 16, 8.0, 0.7)[0]
+    return [text[s:e] for s, kind, e in found if kind == 3]
+
+
+def test_markov_finds_keys_joined_to_words():
+    rng = random.Random(8)
+    letters = [chr(c) for c in (*range(48, 58), *range(65, 91), *range(97, 123))]
+    for before, after in (("com/services/", ""), ("api/v1/projects/report/upload/", ""), ("user_session_", "-default-value"), ("", "/index/page/update/status")):
+        keys = ["".join(rng.choice(letters) for _ in range(24)) for _ in range(50)]
+        hits = [any(key in span for span in markov_spans(f"see {before}{key}{after} .")) for key in keys]
+        assert np.mean(hits) > 0.97
+    a, b = ("".join(rng.choice(letters) for _ in range(24)) for _ in range(2))
+    first, second = markov_spans(f"{a}/api/projects/report/upload/message/status/{b}")
+    assert a in first and b in second and "message" not in first + second
+    fresh = [t for t, label in secrets.default_samples(400, seed=123) if not label]
+    assert np.mean([bool(markov_spans(t)) for t in fresh]) < 0.01
+
+
 # 9
 
 
