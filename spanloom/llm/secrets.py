@@ -1,9 +1,10 @@
 """Secret scans: base patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order Markov models over characters are counted from labelled samples: one
-from random strings, one from ordinary identifiers. A run of at least ``min_length``
-token characters that no base span touches is a secret if the random model explains it
-better than the other by more than ``margin`` nats in all and ``rate`` a character. Otherwise its best segment that does so is one, widened to the next
+from random strings, one from ordinary identifiers. Runs of token characters are cut at
+the base spans. What is left, of at least ``min_length`` characters, is a secret if the
+random model explains it better than the other by more than ``margin`` nats in all and
+``rate`` a character. Otherwise its best segment that does so is one, widened to the next
 sign that is neither letter nor digit, and the parts on both sides of it are scored anew.
 
 The default samples are made here from a fixed seed: random strings over the alphabets
@@ -153,10 +154,13 @@ def scan(texts: pa.Array, model: Markov, min_length: int, margin: float, rate: f
                 found.setdefault(int(row), []).append((s, 0, s + len(m[0].encode())))
     for row, s, e in zip(*runs(raw, at, TOKEN, min_length)):
         a, b = int(s - at[row]), int(e - at[row])
-        if any(x < b and y > a for x, kind, y in found.get(int(row), ()) if kind < 3):
-            continue
-        for u, v in segments(raw[s:e].tobytes(), model, min_length, margin, rate):
-            found.setdefault(int(row), []).append((a + u, 3, a + v))
+        base = sorted((x, y) for x, kind, y in found.get(int(row), ()) if kind < 3 and x < b and y > a)
+        for x, y in [*base, (b, b)]:
+            if x - a >= min_length:
+                part = raw[at[row] + a : at[row] + x].tobytes()
+                for u, v in segments(part, model, min_length, margin, rate):
+                    found.setdefault(int(row), []).append((a + u, 3, a + v))
+            a = max(a, y)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
     for row, spans in found.items():
         body = raw[at[row] : at[row + 1]]
