@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
+from spanloom.operators import dedup
+from spanloom.operators.passages import paragraphs as split_paragraphs
 
 
 def stateless_reason(text: Column, min_chars: int = 200, max_noise: float = 0.01, max_single: float = 0.06) -> Column:
@@ -14,10 +16,12 @@ def stateless_reason(text: Column, min_chars: int = 200, max_noise: float = 0.01
     return F.when(F.length(text) < min_chars, "short").when(~T.alphabet_ok(text), "alphabet").when((noise > max_noise) | (single > max_single), "ocr")
 
 
-def funnel(passages: DataFrame, excluded: DataFrame, near: DataFrame | None = None) -> DataFrame:
-    """One ``reason`` for each passage (``seq, passage``): the stateless tests, then excluded, exact, near, else accepted.
+def funnel(passages: DataFrame, excluded: DataFrame, near: DataFrame | None = None, paragraph: bool = False) -> DataFrame:
+    """One ``reason`` for each passage (``seq, passage``): the stateless tests, then excluded, exact, paragraph, near, else accepted.
 
     ``excluded`` holds normalised digests; ``near`` is ``(seq, near_dup)`` of first copies.
+    With ``paragraph``, the paragraph rule holds among passages that got so far. Later
+    copies count as exact whether or not the first one is accepted.
     """
     rows = passages.withColumn("early", stateless_reason(F.col("passage"))).withColumn("digest", T.digest(T.normalize(F.col("passage"))))
     barred = excluded.select("digest").distinct().withColumn("barred", F.lit(True))
@@ -25,11 +29,22 @@ def funnel(passages: DataFrame, excluded: DataFrame, near: DataFrame | None = No
     rows = rows.withColumn("early", F.coalesce("early", F.when(F.col("barred"), "excluded")))
     first = F.min(F.when(F.col("early").isNull(), F.col("seq"))).over(Window.partitionBy("digest"))
     rows = rows.withColumn("reason", F.coalesce("early", F.when(F.col("seq") > first, "exact")))
+    if paragraph:
+        left = rows.where("reason is null").select("seq", "passage")
+        seen = dedup.paragraph_duplicates(split_paragraphs(left)).where("paragraph_dup").select("seq", "paragraph_dup")
+        rows = rows.join(seen, "seq", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("paragraph_dup"), "paragraph")))
     if near is not None:
         rows = rows.join(near, "seq", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("near_dup"), "near")))
     return rows.withColumn("reason", F.coalesce("reason", F.lit("accepted"))).select("seq", "reason")
 
 
+def whole_funnel(passages: DataFrame, excluded: DataFrame) -> DataFrame:
+    """``funnel`` with the paragraph rule and the greedy near rule, which sees what passed all other tests."""
+    left = passages.join(funnel(passages, excluded, paragraph=True).where("reason = 'accepted'"), "seq", "left_semi")
+    keys = dedup.band_keys(dedup.minhash(left, T.normalize(F.col("passage"))))
+    return funnel(passages, excluded, dedup.greedy_near_duplicates(keys), paragraph=True)
+
+
 def quota_cut(accepted: DataFrame, quota: int, group: str = "source", order: str = "seq", size: str = "n_chars") -> DataFrame:
     """Rows up to and with the one that reaches the group's quota of characters.
 

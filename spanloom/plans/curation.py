@@ -227,6 +227,31 @@ def holdout_split(spark, d):
     return corpus.holdout(accepted(spark, d), 100).select("seq")
 
 
+def whole_funnel(spark, d):
+    bench = spark.read.parquet(f"{d}/benchmark.parquet").select(T.digest(T.normalize(F.col("text"))).alias("digest"))
+    return corpus.whole_funnel(D.docs(spark, d).select(F.col("doc_id").alias("seq"), F.col("text").alias("passage")), bench)
+
+
+def whole_accepted(spark, d):
+    return keyed(spark, d).join(whole_funnel(spark, d).where("reason = 'accepted'"), "seq", "left_semi")
+
+
+# no SQL: the greedy near rule is beyond it
+@query("drop_reason_whole_funnel")
+def drop_reason_whole_funnel(spark, d):
+    return whole_funnel(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("source_quota_cut_whole_funnel")
+def source_quota_cut_whole_funnel(spark, d):
+    return corpus.quota_cut(whole_accepted(spark, d), 40_000).select("seq", "source", "used")
+
+
+@query("holdout_split_whole_funnel")
+def holdout_split_whole_funnel(spark, d):
+    return corpus.holdout(whole_accepted(spark, d), 100).select("seq")
+
+
 @query(
     "source_share_manifest",
     """SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars, round(sum(length(text)) / (SELECT sum(length(text)) FROM documents), 4) AS share,
