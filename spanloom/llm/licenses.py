@@ -7,15 +7,25 @@ places. Where a gram of a text is in the index, the text may hold that template
 that diagonal; neighbouring diagonals make one candidate. A banded alignment of the
 whole template against the text around it counts the template words that it matches,
 and gives the first and last matched word: coverage is their share of the template.
+Candidates of one template are also chained where they follow one another in text and template, ``gap`` template lengths apart at most, and aligned in a
+band that holds them all: so foreign words in the middle of a notice do not hide it.
 
 The index depends on the templates only, so it is small at every size of the corpus.
 
-Defined results: null and empty texts have no matches; repeated rows give repeated
-results; an empty table gives no rows; further columns of the input are not read.
+Defined results: null and empty texts have no matches; texts of any length are scanned
+whole; repeated rows give repeated results; an empty table gives no rows; further columns
+of the input are not read. A match needs ``width + window - 1`` template words in a row
+somewhere, as winnowing promises a fingerprint only there; words that an insertion beyond
+the band cuts off count if they have such a run. Equal alignments give the
+tightest span, the later one of equally tight ones. Matches of one template do not overlap;
+those of several templates may.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -129,28 +139,63 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
 
     Returns the number of matches and the first and last matched place of ``text`` (-1 if
     none). Ties prefer the later first place, then the earlier last place: the tightest span.
+    One band row a template word: a state is the number (matches, first place + 1, places
+    behind the last), so that the best state is the greatest number.
     """
-    none = (0, -1, 1)
-    band = high - low + 1
-    before = [none] * band  # by diagonal: matches, first place, minus the last place
+    base = len(text) + 2
+    unit = base * base
+    none = len(text)  # no match, no first place, last place -1
+    diagonal = np.arange(low, high + 1)
+    before = np.full(len(diagonal), none, np.int64)
     for i, word in enumerate(template.tolist()):
-        now = [none] * band
-        for d in range(band):
-            j = i + low + d
-            skip_word = before[d + 1] if d + 1 < band else none  # this template word stays unmatched
-            skip_text = now[d - 1] if d else none  # this text word does
-            value = max(skip_word, skip_text)
-            if 0 <= j < len(text) and text[j] == word:
-                n, first, _ = before[d]
-                value = max(value, (n + 1, first if n else j, -j))
-            now[d] = value
-        before = now
-    n, first, last = max(before)
-    return n, first, -last
-
-
-def matches(texts: pa.Array, index: Index, min_coverage: float, slack: float = 0.2) -> list[tuple[int, int, int, int, int]]:
-    """``(text, template, first byte, end byte, matched words)`` of every match."""
+        now = np.r_[before[1:], none]  # this template word stays unmatched
+        j = diagonal + i
+        met = np.flatnonzero((j >= 0) & (j < len(text)))
+        met = met[text[j[met]] == word]
+        if len(met):
+            n, first = before[met] // unit, before[met] % unit // base
+            first = np.where(n > 0, first, j[met] + 1)
+            now[met] = np.maximum(now[met], (n + 1) * unit + first * base + len(text) - 1 - j[met])
+        before = np.maximum.accumulate(now)  # a text word stays unmatched
+    best = int(before.max(initial=none))
+    return best // unit, best % unit // base - 1, len(text) - 1 - best % base
+
+
+def chains(at: np.ndarray, place: np.ndarray, wide: int, most: int) -> list[tuple[int, int]]:
+    """Lowest and highest diagonal of disjoint chains of hits in the order of text and template, longest first.
+
+    Neighbours of a chain are at most ``most`` words of text apart; a chain loses half a hit
+    where its diagonal moves by more than ``wide``. Chains that never do are left out.
+    """
+    by = np.lexsort((place, at))
+    at, place = at[by], place[by]
+    diagonal = at - place
+    total, back = np.ones(len(by)), np.full(len(by), -1)
+    low = 0
+    for k in range(1, len(by)):
+        while at[low] + most < at[k]:
+            low += 1
+        move = np.abs(diagonal[low:k] - diagonal[k])
+        value = total[low:k] - 0.5 * (move > wide) - 1e-9 * move
+        value[(place[low:k] >= place[k]) | (at[low:k] >= at[k])] = 0
+        if len(value) and value.max() > 0:
+            back[k] = low + int(np.argmax(value))
+            total[k] += value.max()
+    out, used = [], np.zeros(len(by), bool)
+    for k in np.argsort(-total, kind="stable").tolist():
+        chain = []
+        while k >= 0 and not used[k]:
+            used[k] = True
+            chain.append(k)
+            k = int(back[k])
+        own = diagonal[chain]
+        if len(chain) > 1 and (np.abs(np.diff(own)) > wide).any():
+            out.append((int(own.min()), int(own.max())))
+    return out
+
+
+def matches(texts: pa.Array, index: Index, min_coverage: float, slack: float = 0.2, gap: float = 1.0) -> list[tuple[int, int, int, int, int]]:
+    """``(text, template, first word, last word, matched words)`` of every match, by text."""
     rows, words = split_words(texts)
     code, kinds = codes(words)
     plain = plain_words(kinds)
@@ -165,33 +210,57 @@ def matches(texts: pa.Array, index: Index, min_coverage: float, slack: float = 0
     grams = np.ascontiguousarray(ids[full[:, None] + np.arange(w)].astype("<i4"))
     hashes = xxh64(grams.view(np.uint8).ravel(), np.arange(len(grams)) * 4 * w, np.full(len(grams), 4 * w), 3)
     hit, entry = index.probe(hashes)
-    at, template = full[hit], index.template[entry]
-    diagonal = at - index.place[entry]
-    order = np.lexsort((diagonal, template, rows[at]))
-    out: list[tuple[int, int, int, int, int]] = []
-    group: list[int] = []
+    if not len(hit):
+        return []
+    at, template, place = full[hit], index.template[entry], index.place[entry]
+    diagonal, row = at - place, rows[at]
+    size = np.array([len(x) for x in index.words])
+    wide = np.maximum(2, (slack * size).astype(np.int64))
+    order = np.lexsort((diagonal, template, row))
+    at, template, place, diagonal, row = at[order], template[order], place[order], diagonal[order], row[order]
+    new_pair = np.r_[True, (row[1:] != row[:-1]) | (template[1:] != template[:-1])]
+    cuts = np.flatnonzero(new_pair | np.r_[True, np.diff(diagonal) > wide[template[1:]]])
     ends = np.searchsorted(rows, np.arange(len(texts) + 1))
+    out: list[tuple[int, int, int, int, int]] = []
 
-    def settle() -> None:
-        row, t = int(rows[at[group[0]]]), int(template[group[0]])
-        size = len(index.words[t])
-        wide = max(2, int(slack * size))
-        lo, hi = int(diagonal[group[0]]) - wide, int(diagonal[group[-1]]) + wide
-        base, stop = max(int(ends[row]), lo), min(int(ends[row + 1]), hi + size)
+    def settle(r: int, t: int, lo: int, hi: int) -> None:
+        lo, hi = lo - int(wide[t]), hi + int(wide[t])
+        base, stop = max(int(ends[r]), lo), min(int(ends[r + 1]), hi + int(size[t]))
         n, first, last = align(index.words[t], ids[base:stop], lo - base, hi - base)
-        if n >= min_coverage * size:
-            out.append((row, t, which[base + first], which[base + last], n))
-
-    for k in order:
-        if group:
-            g = group[-1]
-            near = diagonal[k] - diagonal[g] <= max(2, int(slack * len(index.words[int(template[k])])))
-            if rows[at[k]] != rows[at[g]] or template[k] != template[g] or not near:
-                settle()
-                group = []
-        group.append(int(k))
-    settle()
-    return out
+        if n >= min_coverage * size[t]:
+            out.append((r, t, int(which[base + first]), int(which[base + last]), n))
+
+    # neighbouring diagonals make one candidate
+    for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]):  # neighbouring diagonals make one candidate
+        settle(int(row[s]), int(template[s]), int(diagonal[s]), int(diagonal[e - 1]))
+    edges = np.flatnonzero(new_pair)
+    for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(at)]):  # what a longer insertion has split
+        if diagonal[e - 1] - diagonal[s] > wide[template[s]]:
+            r, t = int(row[s]), int(template[s])
+            for lo, hi in chains(at[s:e], place[s:e], int(wide[t]), int((1 + gap) * size[t])):
+                settle(r, t, lo, hi)
+    return apart(out)
+
+
+def apart(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Of each template the matches that do not overlap and have the most words together, in the narrowest spans."""
+    kept: list[tuple[int, int, int, int, int]] = []
+    for _, own in groupby(sorted(set(found)), lambda x: x[:2]):
+        mine = sorted(own, key=lambda x: (x[3], x[2]))
+        ends = [x[3] for x in mine]
+        best: list[tuple[tuple[int, int], int, bool]] = [((0, 0), 0, False)]  # words and minus span, where it goes on, whether taken
+        for k, x in enumerate(mine):
+            before = bisect_left(ends, x[2], 0, k)
+            words, span = best[before][0]
+            take = (words + x[4], span - (x[3] - x[2] + 1))
+            best.append((take, before, True) if take > best[k][0] else (best[k][0], k, False))
+        k, chosen = len(mine), []
+        while k:
+            _, before, taken = best[k]
+            chosen += [mine[k - 1]] if taken else []
+            k = before
+        kept += chosen[::-1]
+    return kept
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = 0.8, width: int = 3, window: int = 2) -> DataFrame:
@@ -205,18 +274,17 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, min_c
         all_rows = split_words(texts)[0]
         word_base = np.searchsorted(all_rows, np.arange(len(texts) + 1))
         rows, spans = [], []
-        for row in sorted({x[0] for x in found}):
+        for row, own in groupby(found, lambda x: x[0]):
             body = raw[at[row] : at[row + 1]]
             space = np.isin(body, np.frombuffer(b" \t\n\v\f\r", np.uint8))
             start = np.flatnonzero(~space & np.r_[True, space[:-1]])
             stop = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
             point = np.r_[0, np.cumsum((body & 0xC0) != 0x80)]
             base = word_base[row]
-            for r, t, first, last, n in found:
-                if r == row:
-                    size = len(index.words[t])
-                    rows.append(row)
-                    spans.append((index.names[t], int(point[start[first - base]]), int(point[stop[last - base]]), n, size, n / size))
+            for _, t, first, last, n in own:
+                size = len(index.words[t])
+                rows.append(row)
+                spans.append((index.names[t], int(point[start[first - base]]), int(point[stop[last - base]]), n, size, n / size))
         columns = list(zip(*spans)) or [()] * 6
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
         names = ("template", "start", "end", "matched_words", "template_words", "coverage")
