@@ -8,11 +8,14 @@ random model explains it better than the other by more than ``margin`` nats in a
 sign that is neither letter nor digit, and the parts on both sides of it are scored anew.
 
 The default samples are made here from a fixed seed: random strings over the alphabets
-that keys use, and identifiers joined from ordinary words in the usual styles. Callers
-can pass labelled samples of their own.
-
-Defined results: null and empty texts have no spans; repeated rows give repeated
-results; an empty table gives no rows; further columns of the input are not read.
+that keys use, and ordinary ones: identifiers, paths, words of several languages and of
+none, dates, rules and borders, one sign again and again. Callers can pass labelled
+samples of their own.
+
+Defined results: null and empty texts have no spans; texts and runs of any length are
+scored whole; repeated rows give repeated results; an empty table gives no rows; further
+columns of the input are not read. Of equally good segments the first is taken; spans of
+equal start are listed by kind.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,35 +40,59 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 MAY_ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}"""
 TOKEN = string.ascii_letters + string.digits + "+/_=-"
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+#: words of ordinary identifiers and prose in five languages
 WORDS = (
-    "account action address apply array attribute base batch buffer build button cache call change channel check class clear client close "
-    "code column command commit config connect context control copy count create current data date default delete device document "
-    "element enable end entry error event export field file filter find first format frame from function get group handle head height "
-    "host image import index info init input insert instance item job key label last layer layout left length level limit line link list "
-    "load local lock log main make manager map mask match max merge message method min mode model module move name network new next node "
-    "note number object offset open option order output page panel parent parse path pattern player point pool position print process "
-    "project property query queue random range read record region remove render report request reset resource response result return "
-    "right root row run sample save scale screen search section select send sequence server service session set setting shape signal size "
-    "sort source span split stack start state status step stop store stream string style submit system table target task template test "
-    "text thread time title total track tree type unit update upload user value vector version view width window word work write zone"
+    "account action address array attribute base batch buffer button cache change channel check class client code column command config "
+    "connect context control copy count create current data date default delete device document element enable entry error event export "
+    "field file filter first format function group handle head height image import index input insert item key label last layout length "
+    "level line list load main map message method mode model module name network new next number object offset open option order page "
+    "path pattern point position print process project query read record region remove report request reset result return row sample save "
+    "search section send server session setting shape size source start state status step stream string system table task test text time "
+    "total type unit update upload user value vector version view window word work write zone "
+    "über straße können zwischen gesellschaft verwaltung schiff entwicklung möglich niemand "
+    "château toujours beaucoup développement monsieur quelque jamais oiseaux travail nouveau "
+    "corazón siempre ciudad desarrollo mañana trabajo nosotros pequeño gobierno quizás"
 ).split()
+ONSETS = "b c d f g h j k l m n p r s t v w z br ch cl cr dr fl gr pl pr qu sch sh sp st str th tr".split()
+VOWELS = "a e i o u ai au ea ei eu ie io oi ou ui".split()
+CODAS = ["", "", "", "l", "m", "n", "r", "s", "t", "x", "ch", "ck", "ng", "nt", "rt", "st"]
+
+
+def ordinary(rng: random.Random) -> str:
+    """A run of token characters that is no secret: identifiers, paths, long words, dates, rules and borders."""
+    kind = rng.randrange(20)
+    words = [rng.choice(WORDS) for _ in range(rng.randint(2, 6))]
+    if kind < 9:
+        text = (
+            "_".join(words), "-".join(words), "/".join(words), "".join(words),
+            words[0] + "".join(w.title() for w in words[1:]), "_".join(words).upper(),
+        )[rng.randrange(6)]
+        return text + (str(rng.randint(0, 9999)) if rng.random() < 0.2 else "")
+    if kind < 14:  # long words of no language in particular
+        made = "".join(rng.choice(ONSETS) + rng.choice(VOWELS) + rng.choice(CODAS) for _ in range(rng.randint(3, 9)))
+        return (made, made.title(), made.upper(), made, f"{made}-{words[0]}")[rng.randrange(5)]
+    if kind < 16:
+        parts = [f"{rng.randint(1950, 2035)}", f"{rng.randint(1, 12):02}", f"{rng.randint(1, 28):02}", f"{rng.randint(0, 23):02}", f"{rng.randint(0, 59):02}"]
+        return rng.choice("-/_").join(parts[: rng.randint(3, 5)]) + rng.choice(["", "T", "Z", "-v1", f"_{words[0]}"])
+    if kind < 18:  # rules, borders, leaders
+        sign = rng.choice("-_=+/")
+        text = sign * rng.randint(4, 40)
+        return text if rng.random() < 0.6 else "".join(rng.choice("+-=_/") + text for _ in range(rng.randint(2, 5)))
+    if kind < 19:  # one sign again and again, or all in order
+        signs = rng.choice([string.ascii_lowercase, string.ascii_uppercase, string.digits + "abcdef", string.digits])
+        return rng.choice([rng.choice(signs) * rng.randint(8, 40), signs[rng.randint(0, 5) :]])
+    return "/".join([rng.choice(["", "home", "usr", "var", "https", "www"]), *words]) + rng.choice(["", "/", "-1", "_v2", f"/{rng.randint(1, 99)}"])
 
 
 def default_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """``(text, 1 if random)``: ``n`` of each label, the same for a seed on every machine."""
+    """``(text, 1 if random)``: ``n`` random and twice as many ordinary ones, the same for a seed on every machine."""
     rng = random.Random(seed)
     alphabets = [string.ascii_letters + string.digits] * 3 + [TOKEN, string.digits + "abcdef", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
     out = []
     for _ in range(n):
         alphabet = rng.choice(alphabets)
         out.append(("".join(rng.choice(alphabet) for _ in range(rng.randint(16, 48))), 1))
-        words = [rng.choice(WORDS) for _ in range(rng.randint(2, 6))]
-        style = rng.randrange(6)
-        text = (
-            "_".join(words), "-".join(words), "/".join(words), "".join(words),
-            words[0] + "".join(w.title() for w in words[1:]), "_".join(words).upper(),
-        )[style]
-        out.append((text + (str(rng.randint(0, 9999)) if rng.random() < 0.2 else ""), 0))
+        out += [(ordinary(rng), 0), (ordinary(rng), 0)]
     return out
 
 
@@ -82,10 +110,19 @@ class Markov:
         p = np.log(count / count.sum(2, keepdims=True))
         self.ratio = p[1] - p[0]
 
-    def each(self, text: bytes) -> np.ndarray:
-        """The ratio of every character, given the one before it."""
+    def each(self, text: bytes, memory: int = 16) -> np.ndarray:
+        """The ratio of every character, given the one before it.
+
+        A pair of characters that was there within the last ``memory`` ones is no further
+        sign of chance: patterns that repeat count once.
+        """
         seen = np.r_[0, self.code[np.frombuffer(text, np.uint8)]]
-        return self.ratio[seen[:-1], seen[1:]]
+        ratio = self.ratio[seen[:-1], seen[1:]]
+        pair = seen[:-1] * len(self.ratio) + seen[1:]
+        again = np.zeros(len(pair), bool)
+        for back in range(1, min(memory, len(pair) - 1) + 1):
+            again[back:] |= pair[back:] == pair[:-back]
+        return np.where(again, np.minimum(ratio, 0), ratio)
 
     def __call__(self, text: bytes) -> float:
         return float(self.each(text).sum())
@@ -144,22 +181,27 @@ def scan(texts: pa.Array, model: Markov, min_length: int, margin: float, rate: f
         k = raw[s:e].tobytes().find(b"AKIA")
         if k >= 0 and e - s - k >= 20:
             found.setdefault(int(row), []).append((int(s - at[row]) + k, 1, int(e - at[row])))
-    plain: dict[int, str] = {}
     may = pc.fill_null(pc.match_substring_regex(texts, MAY_ASSIGN), False)
     for row in np.flatnonzero(may.to_numpy(zero_copy_only=False)):
-        text = plain[row] = texts[int(row)].as_py()
+        text = texts[int(row)].as_py()
+        point = byte = 0
         for m in ASSIGN.finditer(text):
             if m.end(2) - m.start(2) >= 6:
-                s = len(text[: m.start()].encode())
-                found.setdefault(int(row), []).append((s, 0, s + len(m[0].encode())))
+                byte += len(text[point : m.start()].encode())
+                point = m.start()
+                found.setdefault(int(row), []).append((byte, 0, byte + len(m[0].encode())))
+    base = {row: sorted((s, e) for s, _, e in spans) for row, spans in found.items()}
+    for spans in base.values():  # ends as far as any span before reaches, so that both ends ascend
+        for k in range(1, len(spans)):
+            spans[k] = spans[k][0], max(spans[k][1], spans[k - 1][1])
     for row, s, e in zip(*runs(raw, at, TOKEN, min_length)):
-        a, b = int(s - at[row]), int(e - at[row])
-        base = sorted((x, y) for x, kind, y in found.get(int(row), ()) if kind < 3 and x < b and y > a)
-        for x, y in [*base, (b, b)]:
+        row, a, b = int(row), int(s - at[row]), int(e - at[row])
+        own = base.get(row, [])
+        for x, y in [*own[bisect_right(own, a, key=lambda z: z[1]) : bisect_left(own, b, key=lambda z: z[0])], (b, b)]:
             if x - a >= min_length:
                 part = raw[at[row] + a : at[row] + x].tobytes()
                 for u, v in segments(part, model, min_length, margin, rate):
-                    found.setdefault(int(row), []).append((a + u, 3, a + v))
+                    found.setdefault(row, []).append((a + u, 3, a + v))
             a = max(a, y)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
     for row, spans in found.items():
