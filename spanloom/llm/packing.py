@@ -8,14 +8,17 @@ The resulting plan has a few thousand rows at most, whatever the corpus holds, a
 each piece the bin that document-by-document best-fit decreasing would (up to the names
 of equal bins): the packing is that of the whole corpus, not of shards. A piece finds
 its row in the plan from its length and its rank among equal lengths, and ranks come from
-counts per bucket of documents, so no length is gathered in one task.
+counts per bucket of rows, so neither a length nor a repeated row is gathered in one task.
 
-Defined results: null and empty texts are the end token alone; repeated rows are packed
-one by one; an empty table gives no rows; further columns of the input are not read.
+Defined results: null and empty texts are the end token alone; texts of any length are
+coded whole and only then cut; repeated rows are packed one by one; an empty table gives
+no rows; further columns of the input are not read. Among pieces of equal length the order
+is that of the rows; among equally tight bins the one opened or reduced last is taken.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -114,7 +117,8 @@ class Encoder(dict):
     of letters are a token of their own, plain Latin ones with white space inside are cut by
     the pattern, and what is left is coded, many parts in one text. The dictionary itself
     holds what stands behind a space, under its bare text, and ``known`` other tokens; both
-    are bounded.
+    are bounded. Texts are cut only for a file with that byte-level pattern and no normaliser;
+    any other vocabulary codes whole texts.
     """
 
     SIGNS = ".,!?;:$%&*#|"
@@ -124,6 +128,10 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        setup = json.loads(self.model.to_str())
+        pattern = setup.get("pre_tokenizer") or {}
+        by_bytes = pattern.get("type") == "ByteLevel" and not pattern.get("add_prefix_space") and pattern.get("use_regex", True)
+        self.cuts = bool(by_bytes) and setup.get("normalizer") is None
         self.model.encode_special_tokens = True  # their strings are ordinary text
         self.most = most
         self.odd = re.compile(r" \s")
@@ -191,6 +199,9 @@ class Encoder(dict):
         return {x: b"".join(self[t[1:]] if t[0] == " " and t[1:] in self else self.known[t] for t in tokens) for x, tokens in zip(parts, cut)}
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        if not self.cuts:
+            yield from self.ids([text or "" for text in texts])
+            return
         trim(self, self.most)
         trim(self.known, self.most // 3)
         cut: list[tuple[str, list[str]]] = []
@@ -239,14 +250,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
 
 def pack(found: DataFrame, capacity: int = 1024, bucket_rows: int = 65_536) -> DataFrame:
     """Give every piece a sequence and an offset; ``found`` has the columns of ``pieces``."""
-    found = cut(found)
+    # buckets are stretches of rows: a repeated row or a common length fills many of them
+    found = cut(found.withColumn("row", F.monotonically_increasing_id()))
     sizes = {r[0]: r[1] for r in found.groupBy("length").count().collect()}  # at most ``capacity`` rows
     plan = best_fit_decreasing(sizes, capacity)
-    buckets = 1 + sum(sizes.values()) // bucket_rows
-    found = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    found = found.withColumn("bucket", F.expr(f"row div {bucket_rows}"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = found.groupBy("bucket", "length").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    inside = Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32")
+    inside = Window.partitionBy("bucket", "length").orderBy("row")
     ranked = found.withColumn("rank", F.row_number().over(inside) - 1)
     ranked = ranked.join(base.select("bucket", "length", "base"), ["bucket", "length"])
     ranked = ranked.select(*[c.split()[0] for c in PIECES.split(", ")], (F.col("rank") + F.col("base")).alias("rank"))
