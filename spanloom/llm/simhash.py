@@ -9,10 +9,11 @@ Keys that hold one fingerprint cannot link. Other keys are dealt out by key and
 a task walks its sorted rows, compares the fingerprints of a key in numpy, and gives out
 a spanning forest of each key's links, never all of its pairs. A key with more than
 ``cell`` fingerprints is cut into parts that meet pairwise in cells of bounded size on
-different tasks, so that a hot key is whole but never in one task.
+different tasks, so that a hot key is whole but never in one task. Sizes reach the rows of
+frequent keys and fingerprints by broadcast, of a number of keys that is bounded.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any
-other; repeated rows fall into one group; rows with a null doc_id get their fingerprint
+other; texts of any length are taken whole; repeated rows fall into one group; rows with a null doc_id get their fingerprint
 and the group's smallest id (null if the group has none); an empty table gives no rows;
 further columns of the input are not read.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import LOWER, WHITE, cut, map_slices, slices, table, text_bytes
+from spanloom.llm.common import LOWER, WHITE, cut, joined_by_count, map_slices, slices, table, text_bytes
 from spanloom.llm.graph import components, local_components
 from spanloom.llm.registry import QUERIES
 from spanloom.llm.xxh import xxh64
@@ -143,7 +144,7 @@ def forest(key: np.ndarray, fp: np.ndarray, side: np.ndarray, distance: int) ->
 def links(prints: DataFrame, distance: int = 3, blocks: int = 6, cell: int = 4096) -> DataFrame:
     """``(a, b)`` pairs of fingerprints that connect whatever is within ``distance`` bits.
 
-    ``prints`` has distinct ``fp``. Two fingerprints are connected by the result exactly
+    ``prints`` has distinct ``fp`` and is read more than once. Two fingerprints are connected by the result exactly
     if a chain of links within ``distance`` joins them.
     """
     masks = block_keys(blocks, distance)
@@ -151,7 +152,7 @@ def links(prints: DataFrame, distance: int = 3, blocks: int = 6, cell: int = 409
     key: Column = F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(_signed(m))), F.lit(k)) for k, m in enumerate(masks)])
     keyed = prints.select("fp", F.explode(key).alias("key"))
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    full = keyed.join(size, "key")
+    full = joined_by_count(keyed, size, "key", "n", len(masks) * prints.count(), cell)
     parts = F.ceil(F.col("n") / F.lit(cell))
     own = F.pmod(F.xxhash64("fp", F.lit(7)), parts)
     cells = F.when(parts <= 1, F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(2).alias("side")))).otherwise(
@@ -197,17 +198,17 @@ def groups(prints: DataFrame, distance: int = 3, blocks: int = 6, cell: int = 40
 def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 6, cell: int = 4096, width: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every document."""
     own = cut(fingerprints(docs, width))
-    prints = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    joined = prints.join(groups(prints.select("fp"), distance, blocks, cell), "fp")
+    prints = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    joined = cut(prints.join(groups(prints.select("fp"), distance, blocks, cell), "fp"))
     # a group's smallest document over all of its fingerprints
-    low = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = joined.join(low, "root").select("fp", "component_id")
-    return own.join(known, "fp").select("doc_id", "fp", "component_id")
+    low = joined.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))
+    known = cut(joined_by_count(joined, low, "root", "size", prints.count()).select("fp", "component_id", "n"))
+    return joined_by_count(own, known, "fp", "n", own.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, distance: int = 3, blocks: int = 6, cell: int = 4096, width: int = 3) -> DataFrame:
     """One row of each group, with all of its columns: that of the smallest doc_id, null ids last."""
-    own = cut(fingerprints(docs, width)).groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best"))
+    own = cut(cut(fingerprints(docs, width)).groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best")))
     chosen = own.join(groups(own.select("fp"), distance, blocks, cell), "fp").groupBy("root").agg(F.min("best").alias("best"))
     name = "fp"
     while name in docs.columns:
