@@ -8,13 +8,18 @@ A partition selects the k highest of an array, and the cells' lists merge into o
 
 The queries grow with the table, so they are not broadcast: both sides are dealt out to
 the cells by key, and block numbers come from the rows' hashes, so no key gathers rows.
-Each row goes to as many cells as the other side has blocks.
+Each row goes to as many cells as the other side has blocks: a search of all rows reads
+candidates times query blocks, so query blocks are as large as a task's memory allows,
+and vectors travel in the narrowest whole numbers that hold them all.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no
-part, nor do rows without an id; an empty vector scores zero with all; shorter vectors
-lack the further terms. Rows with the query's own id are its own row and are left out.
-Repeated rows of another id are candidates one by one; ties go to the smaller id.
-An empty table gives no rows; further columns of the input are not read.
+part, nor do rows without an id; an empty vector scores zero with all; vectors of any
+length are taken whole, and shorter ones lack the further terms. Rows with the query's own
+id are its own row and are left out. Repeated rows of another id are candidates one by one;
+rows that repeat a query id are one query, whose list ranks what each of them finds, so that
+a candidate stands in it once for each. Ties go to the smaller id. Components saturate at
+the bounds of a long; scores are exact, and those beyond a long are given as its bound, in
+the order of their doubles. An empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -35,13 +40,25 @@ def postings(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> dict[i
     return {int(terms[by[s]]): (rows[by[s:e]], weights[by[s:e]]) for s, e in zip(cuts[:-1], cuts[1:])}
 
 
-def accumulate(query: list[tuple[int, int]], index: dict[int, tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Dense scores of ``n`` candidates for one query of (term, weight) pairs."""
-    scores = np.zeros(n, np.int64)
+def dense(index: dict[int, tuple[np.ndarray, np.ndarray]], n: int, share: float = 0.25) -> dict[int, tuple[np.ndarray | slice, np.ndarray]]:
+    """The postings with a weight for every one of ``n`` rows, zero or not, where more than ``share`` of them hold the term."""
+    out: dict[int, tuple[np.ndarray | slice, np.ndarray]] = {}
+    for term, (rows, weights) in index.items():
+        out[term] = rows, weights
+        if len(rows) > share * n:
+            full = np.zeros(n, weights.dtype)
+            full[rows] = weights
+            out[term] = slice(None), full
+    return out
+
+
+def accumulate(query: list[tuple[int, int]], index: dict[int, tuple[np.ndarray | slice, np.ndarray]], scores: np.ndarray) -> np.ndarray:
+    """Fill the dense ``scores`` of all candidates for one query of (term, weight) pairs."""
+    scores[:] = 0
     for term, weight in query:
         if term in index:
             rows, weights = index[term]
-            scores[rows] += weight * weights
+            scores[rows] += weights * (weight if scores.dtype == object else scores.dtype.type(weight))
     return scores
 
 
@@ -65,41 +82,62 @@ def _sparse(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[full], terms[full], flat[full]
 
 
+def exact_type(left: np.ndarray, right: np.ndarray, terms: int) -> type:
+    """The narrowest number type that holds every sum of ``terms`` products, and its parts."""
+    high = [max((abs(int(x)) for x in (w.min(initial=0), w.max(initial=0))), default=0) for w in (left, right)]
+    bound = max(high[0], 1) * max(high[1], 1) * max(terms, 1)
+    return np.int32 if bound < 1 << 31 else np.int64 if bound < 1 << 63 else object
+
+
 def search_cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     """Each query's k best candidates within one cell; both frames hold ``vec_id, v``."""
     candidates = candidates.sort_values("vec_id", kind="stable")
     ids = candidates["vec_id"].to_numpy()
-    index = postings(*_sparse(candidates["v"]))
+    held, held_terms, held_weights = _sparse(candidates["v"])
     who, terms, weights = _sparse(queries["v"])
+    kind = exact_type(weights, held_weights, min(max(map(len, queries["v"]), default=0), max(map(len, candidates["v"]), default=0)))
+    index = dense(postings(held, held_terms, held_weights.astype(kind)), len(ids))
     ends = np.searchsorted(who, np.arange(len(queries) + 1))
-    out = []
+    scores, big = np.zeros(len(ids), kind), np.iinfo(np.int64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for q, query_id in enumerate(queries["vec_id"].to_numpy()):
         own = slice(ends[q], ends[q + 1])
-        scores = accumulate(list(zip(terms[own].tolist(), weights[own].tolist())), index, len(ids))
+        accumulate(list(zip(terms[own].tolist(), weights[own].tolist())), index, scores)
         lo, hi = np.searchsorted(ids, query_id, "left"), np.searchsorted(ids, query_id, "right")
-        left = np.r_[0:lo, hi : len(ids)]
-        place = left[select(scores[left], ids[left], k)]
-        out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[place], "score": scores[place]}))
-    return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
+        place = np.sort(np.concatenate([select(scores[:lo], ids[:lo], k), hi + select(scores[hi:], ids[hi:], k)]))
+        place = place[select(scores[place], ids[place], k)]
+        found.append((np.full(len(place), query_id), ids[place], scores[place]))
+    if not found:
+        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64), "over": np.zeros(0, np.float64)})
+    query, vec, score = (np.concatenate(x) for x in zip(*found))
+    over = np.zeros(len(score))
+    if kind is object:  # what a long cannot hold, for the order only
+        over = np.array([float(s) if not big.min <= s <= big.max else 0.0 for s in score])
+        score = np.array([min(max(s, big.min), big.max) for s in score], np.int64)
+    return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score.astype(np.int64), "over": over})
 
 
 def top_k(
-    vectors: DataFrame, is_query: Column, k: int = 20, query_rows: int = 1024, candidate_rows: int = 16_384
+    vectors: DataFrame, is_query: Column, k: int = 20, query_rows: int = 16_384, candidate_rows: int = 16_384
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``; ``vectors`` holds ``vec_id`` and whole numbers ``v``."""
-    n, nq = vectors.agg(F.count("*"), F.count_if(is_query)).first()
+    widest = F.max(F.array_max(F.transform("v", lambda c: F.greatest(c, -1 - c))))  # that of the least long is a long
+    n, nq, high = vectors.agg(F.count("*"), F.count_if(is_query), widest).first()
     blocks, query_blocks = 1 + n // candidate_rows, 1 + nq // query_rows
+    narrow = next(t for t, top in (("smallint", 1 << 15), ("int", 1 << 31), ("bigint", 1 << 64)) if (high or 0) < top)
+
     def numbers(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
     # both sides name a cell by two longs: the join of groups compares hashes of the keys as they are
     own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks).cast("long"))
     query_own = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks).cast("long"))
-    right = vectors.select("vec_id", "v", own.alias("c"), numbers(query_blocks).alias("q"))
-    left = vectors.where(is_query).select("vec_id", "v", numbers(blocks).alias("c"), query_own.alias("q"))
+    v = F.col("v").cast(f"array<{narrow}>").alias("v")
+    right = vectors.select("vec_id", v, own.alias("c"), numbers(query_blocks).alias("q"))
+    left = vectors.where(is_query).select("vec_id", v, numbers(blocks).alias("c"), query_own.alias("q"))
     each = left.groupBy("c", "q").cogroup(right.groupBy("c", "q"))
-    found = each.applyInPandas(lambda a, b: search_cell(a, b, k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = each.applyInPandas(lambda a, b: search_cell(a, b, k), "query_id long, vec_id long, score long, over double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("over"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
