@@ -27,11 +27,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import cut, map_slices, table, trim
+from spanloom.llm.common import codes, cut, map_slices, table, trim
 from spanloom.llm.registry import QUERIES
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -122,8 +123,10 @@ class Encoder(dict):
     """
 
     SIGNS = ".,!?;:$%&*#|"
+    #: a space that any white space of Unicode follows
+    ODD = r" [\s\x0b\x1c-\x1f\x{85}\pZ]"
 
-    def __init__(self, path: str, most: int = 450_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -134,7 +137,6 @@ class Encoder(dict):
         self.cuts = bool(by_bytes) and setup.get("normalizer") is None
         self.model.encode_special_tokens = True  # their strings are ordinary text
         self.most = most
-        self.odd = re.compile(r" \s")
         self.cut = re.compile(r" (?=\S)")
         self.plain = re.compile(r"[\n\t !-~\u00a1-\u00ff]*").fullmatch
         self.white = re.compile(r"\s").search
@@ -164,7 +166,7 @@ class Encoder(dict):
         raw = flat.tobytes()
         return [raw[s:e] for s, e in zip(ends, ends[1:])]
 
-    def learn(self, parts: set[str]) -> None:
+    def learn(self, parts: list[str]) -> None:
         """Make every part, as it stands behind a space, known."""
         behind: set[str] = set()  # without white space
         other: set[str] = set()
@@ -181,9 +183,9 @@ class Encoder(dict):
                 behind.add(part)
             else:
                 rest.append(part)
-        new = list(behind.difference(self))
+        new = [x for x in behind if x not in self]
         self.update(zip(new, self.spaced(new)))
-        new = list(other.difference(self.known))
+        new = [x for x in other if x not in self.known]
         self.known.update(zip(new, self.ids(new)))
         known = self.known
         self.update((part, self[core] + known[tail]) for part, core, tail in made)
@@ -192,26 +194,55 @@ class Encoder(dict):
     def cut_further(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of parts with white space inside, from those of the pattern's tokens where they are plain."""
         cut = [self.tokens(" " + x) if self.plain(x) else [" " + x] for x in parts]
-        heads = {t[0][1:] for t in cut if t[0][1:].isalpha()}.difference(self)
-        self.update(zip(heads, self.spaced(list(heads))))
-        new = list({t for x in cut for t in x if not (t[0] == " " and t[1:] in self)}.difference(self.known))
+        heads = [x for x in {t[0][1:] for t in cut} if x.isalpha() and x not in self]
+        self.update(zip(heads, self.spaced(heads)))
+        new = [x for x in {t for x in cut for t in x} if x not in self.known and not (x[0] == " " and x[1:] in self)]
         self.known.update(zip(new, self.ids(new)))
         return {x: b"".join(self[t[1:]] if t[0] == " " and t[1:] in self else self.known[t] for t in tokens) for x, tokens in zip(parts, cut)}
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+    def coded(self, parts: pa.ListArray) -> list[bytes]:
+        """Ids of texts given as their parts: each distinct part is looked up once, and the rest is gathered."""
+        flat, at = parts.flatten(), np.diff(parts.offsets.to_numpy()).cumsum()
+        first = np.r_[0, at[:-1]]
+        inner = np.ones(len(flat), bool)
+        inner[first] = False
+        code, kinds = codes(flat.filter(pa.array(inner)))
+        units = kinds.to_numpy(zero_copy_only=False).tolist()
+        new = [x for x in units if x not in self]
+        if new:
+            self.learn(new)
+        held = list(map(self.__getitem__, units)) + self.ids(flat.take(pa.array(first)).to_pylist())
+        which = np.empty(len(flat), np.int64)
+        which[inner] = code
+        which[first] = len(units) + np.arange(len(first))
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        begin = np.cumsum(size) - size
+        n = size[which]
+        ends = np.cumsum(n)
+        place = np.repeat(begin[which] - ends + n, n) + np.arange(ends[-1])
+        raw = np.frombuffer(b"".join(held), "<u4")[place].tobytes()
+        stops = (4 * ends[at - 1]).tolist()
+        return [raw[s:e] for s, e in zip([0, *stops], stops)]
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        if not len(texts):
+            return []
         if not self.cuts:
-            yield from self.ids([text or "" for text in texts])
-            return
+            return self.ids(texts.to_pylist())
         trim(self, self.most)
         trim(self.known, self.most // 3)
-        cut: list[tuple[str, list[str]]] = []
-        for text in texts:
-            text = text or ""
-            head, *tail = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-            cut.append((head, tail))
-        self.learn(set().union(*(tail for _, tail in cut)).difference(self))
-        for (_, tail), head in zip(cut, self.ids([head for head, _ in cut])):
-            yield head + b"".join(map(self.__getitem__, tail))
+        odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        if not odd.all():
+            plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+            for k, ids in zip(np.flatnonzero(~odd).tolist(), self.coded(plain)):
+                out[k] = ids
+        if odd.any():
+            cut = [self.cut.split(x) for x in texts.filter(pa.array(odd)).to_pylist()]
+            for k, ids in zip(np.flatnonzero(odd).tolist(), self.coded(pa.array(cut, pa.list_(pa.string())))):
+                out[k] = ids
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -231,7 +262,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
     def f(part: pa.RecordBatch) -> dict:
         out: list[tuple] = []
         rows: list[int] = []
-        for row, ids in enumerate(encoder(path)(part.column("text").to_pylist())):
+        for row, ids in enumerate(encoder(path)(part.column("text"))):
             ids += end
             n = len(ids) // 4
             first = n % capacity or capacity
