@@ -36,7 +36,9 @@ BLOCK = (
 )
 TAG = r"<[!/?a-zA-Z][^>]*>|<[!/?a-zA-Z][^<>]*\z"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
-LINK = r"(?i)<a\s[^>]*?href=\"([^\"]*)\""
+#: addresses of anchors and areas, in double, single or no quotes
+LINK = r"""(?i)<(?:a|area)\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+QUOTES = r"""^["']|["']\z"""
 #: fixed values: entities and what they stand for; the ampersand comes last
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&#160;", " "),
@@ -53,13 +55,19 @@ def plain_text(html: Column) -> Column:
     x = F.regexp_replace(x, BLOCK, "\n")
     x = decoded(F.regexp_replace(x, TAG, ""))
     x = F.regexp_replace(F.regexp_replace(x, " +", " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(x, r"^[ \n]+|[ \n]+\z", "")
+    return F.btrim(x, F.lit(" \n"))
 
 
 def decoded(x: Column) -> Column:
-    for entity, sign in ENTITIES:
-        x = F.replace(x, F.lit(entity), F.lit(sign))
-    return x
+    """``x`` with its entities as signs; texts are cut at the ampersands, and names looked up between these."""
+    signs = F.create_map(*[F.lit(y) for entity, sign in ENTITIES for y in (entity[1:-1], sign)])
+
+    def part(rest: Column, k: Column) -> Column:
+        name = F.substring_index(rest, ";", 1)
+        sign = F.when((k > 0) & F.contains(rest, F.lit(";")), F.element_at(signs, name))
+        return F.coalesce(F.concat(sign, F.substr(rest, F.length(name) + 2)), F.when(k > 0, F.concat(F.lit("&"), rest)).otherwise(rest))
+
+    return F.array_join(F.transform(F.split(x, "&"), part), "")  # x stands here once: it is computed once
 
 
 def one_line(x: Column) -> Column:
@@ -100,7 +108,7 @@ def derive(source: DataFrame) -> DataFrame:
 
     ``headers`` is the record's header as written to a file, ``block`` its content.
     """
-    links = F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), decoded)
+    links = F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: decoded(F.regexp_replace(x, QUOTES, "")))
     fields = F.concat(
         F.lit("title: "), one_line(decoded(F.regexp_extract("payload", TITLE, 1))), F.lit("\r\nlinks: "), F.size(links).cast("string"), F.lit("\r\n"),
         F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), one_line(x), F.lit("\r\n"))), ""),
@@ -200,7 +208,7 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = derive(responses(table(spark, sf_dir, "pages")))
     return made.select(
         "page_id", "record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest",
-        "source_payload_digest", "source_block_digest",
+        "source_payload_digest", "source_block_digest", "headers", "block",
     )
 
 
@@ -230,7 +238,7 @@ def _sql() -> str:
     text = swap(swap("payload", HIDDEN, "''"), r"[ \t\r\n\f\x0b]+", "' '")
     text = entities(swap(swap(text, BLOCK, "chr(10)"), TAG, "''"))
     text = swap(swap(swap(text, " +", "' '"), r" ?\n[ \n]*", "chr(10)"), r"^[ \n]+|[ \n]+\z", "''")
-    links = f"list_transform(regexp_extract_all(payload, {q(LINK)}, 1), lambda x: {entities('x')})"
+    links = f"list_transform(regexp_extract_all(payload, {q(LINK)}, 1), lambda x: {entities(swap('x', QUOTES, chr(39) * 2))})"
     outlinks = f"coalesce(array_to_string(list_transform({links}, lambda x: 'outlink: ' || {line('x')} || {crlf}), ''), '')"
     fields = " || ".join(
         [
@@ -240,6 +248,11 @@ def _sql() -> str:
             "'source-http: Content-Type: text/html; charset=utf-8'", crlf, "'source-http: Content-Length: '", "strlen(payload)::VARCHAR", crlf,
         ]
     )
+    named = (
+        ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"),
+        ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length::VARCHAR"),
+    )
+    header = " || ".join([f"'WARC/1.1' || {crlf}", *(f"'{name}: ' || {x} || {crlf}" for name, x in named)])
     return f"""
 WITH page AS (
   SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages
@@ -254,11 +267,13 @@ WITH page AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type, {fields} AS block FROM response
   UNION ALL
   SELECT *, 'conversion' AS record_type, 'text/plain' AS content_type, {text} AS block FROM response
+), record AS (
+  SELECT page_id, record_type, {ident("record_type", "record_id")} AS record_id, record_id AS refers_to, target_uri, warc_date, content_type,
+    strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, payload_digest AS source_payload_digest,
+    block_digest AS source_block_digest, block
+  FROM made
 )
-SELECT page_id, record_type, {ident("record_type", "record_id")} AS record_id, record_id AS refers_to, target_uri, warc_date, content_type,
-  strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, payload_digest AS source_payload_digest,
-  block_digest AS source_block_digest
-FROM made
+SELECT *, {header} AS headers FROM record
 """
 
 
