@@ -10,15 +10,18 @@ Plain text: comments, scripts, styles, noscripts and templates go; block tags be
 line ends and other tags nothing; named entities of markup and a few signs are decoded;
 spaces and line ends are folded. A tag that the page's end cuts off goes too.
 
-Defined results: a null page is an empty one, a null address an empty one; repeated rows
-give repeated records with equal identifiers; an empty table gives no rows; further
-columns of the input are kept by ``derive`` only under ``page_id``, the caller's key.
+Defined results: a null page is an empty one, a null address an empty one; pages of any
+length are taken whole; repeated rows give repeated records with equal identifiers; an
+empty table gives no rows; further columns of the input are kept by ``derive`` only under
+``page_id``, the caller's key, and a null in any of the others is empty. Entities other than those listed stay as they are.
 """
 
 from __future__ import annotations
 
-import gzip
+import codecs
+import hashlib
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +41,7 @@ TAG = r"<[!/?a-zA-Z][^>]*>|<[!/?a-zA-Z][^<>]*\z"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 #: addresses of anchors and areas, in double, single or no quotes
 LINK = r"""(?i)<(?:a|area)\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+CHARSET = re.compile(rb"""(?i)charset\s*=\s*["']?\s*([A-Za-z0-9._:-]+)""")
 QUOTES = r"""^["']|["']\z"""
 #: fixed values: entities and what they stand for; the ampersand comes last
 ENTITIES = (
@@ -106,15 +110,23 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 def derive(source: DataFrame) -> DataFrame:
     """Two records for each response: ``record_type`` metadata and conversion.
 
-    ``headers`` is the record's header as written to a file, ``block`` its content.
+    ``headers`` is the record's header as written to a file, ``block`` its content. Where
+    ``source`` has ``warc_headers``, the metadata record lists all of these lines.
     """
+    known = [c for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload", "payload_digest", "block_digest", "warc_headers") if c in source.columns]
+    source = source.select("page_id", *[F.coalesce(c, F.lit("")).alias(c) for c in known])
+
+    def lines(name: str, before: str) -> Column:
+        x = F.regexp_replace(name, r"(?:\r\n)+\z", "")
+        return F.when(x != "", F.concat(F.regexp_replace(x, r"(?m)^", before), F.lit("\r\n"))).otherwise("")
+
     links = F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: decoded(F.regexp_replace(x, QUOTES, "")))
     fields = F.concat(
         F.lit("title: "), one_line(decoded(F.regexp_extract("payload", TITLE, 1))), F.lit("\r\nlinks: "), F.size(links).cast("string"), F.lit("\r\n"),
         F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), one_line(x), F.lit("\r\n"))), ""),
         F.lit("source-record-id: "), F.col("record_id"), F.lit("\r\nsource-date: "), F.col("warc_date"),
         F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\nsource-block-digest: "), F.col("block_digest"), F.lit("\r\n"),
-        F.regexp_replace(F.regexp_replace("http_headers", r"(?:\r\n)+\z", ""), r"(?m)^", "source-http: "), F.lit("\r\n"),
+        lines("http_headers", "source-http: "), *([lines("warc_headers", "source-warc: ")] if "warc_headers" in source.columns else []),
     )
     made = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
@@ -150,58 +162,142 @@ def write_warc(records: DataFrame, path: str) -> None:
     lines.write.option("lineSep", "\r\n\r\n").text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of every record; gzip members are unpacked."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))  # type: ignore[arg-type]
-    while True:
-        first = stream.readline()
-        while first in (b"\r\n", b"\n"):
-            first = stream.readline()
-        if not first:
-            return
-        if not first.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {first[:40]!r}")
-        headers: dict[str, str] = {}
-        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        yield headers, stream.read(int(headers.get("content-length", 0)))
+class Reader:
+    """Records of one WARC file from its lines, which come one after the other and may be cut anywhere."""
+
+    def __init__(self) -> None:
+        self.headers: dict[str, str] = {}
+        self.head: list[bytes] = []
+        self.block: list[bytes] = []
+        self.left = -1  # bytes that the block still lacks; below zero outside a block
+
+    def feed(self, data: bytes) -> Iterator[tuple[dict[str, str], list[str], bytes]]:
+        """The records that ``data`` (a whole line of the header, or any bytes of a block) ends."""
+        while data:
+            if self.left >= 0:
+                self.block.append(data[: self.left])
+                self.left, data = self.left - len(self.block[-1]), data[self.left :]
+            else:
+                line, end, data = data.partition(b"\n")
+                text = line.rstrip(b"\r")
+                if text:
+                    if not self.head and not text.startswith(b"WARC/"):
+                        raise ValueError(f"not a WARC record: {text[:40]!r}")
+                    self.head.append(text)
+                    if len(self.head) > 1:
+                        name, _, value = text.decode("utf-8", "replace").partition(":")
+                        self.headers[name.strip().lower()] = value.strip()
+                elif self.head:
+                    self.left = int(self.headers.get("content-length", 0))
+            if self.left == 0:
+                yield self.headers, [x.decode("utf-8", "replace") for x in self.head[1:]], b"".join(self.block)
+                self.__init__()  # type: ignore[misc]
+
+
+RECORDS = (
+    "path string, record_type string, record_id string, refers_to string, target_uri string, warc_date string, headers map<string,string>, "
+    "header_lines array<string>, block binary"
+)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files (below 2 GB each, plain or gzip): headers as a map, and the block."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    schema = "path string, record_type string, record_id string, refers_to string, target_uri string, warc_date string, headers map<string,string>, block binary"
+def _batches(records: Iterator[tuple[str, dict[str, str], list[str], bytes]], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Records as batches of about ``limit`` bytes."""
+    names = {"record_type": "warc-type", "record_id": "warc-record-id", "refers_to": "warc-refers-to", "target_uri": "warc-target-uri", "warc_date": "warc-date"}
+    held: list[tuple[str, dict[str, str], list[str], bytes]] = []
+
+    def emit() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(
+            {"path": [x[0] for x in held]}
+            | {k: pa.array([x[1].get(n) for x in held], pa.string()) for k, n in names.items()}
+            | {
+                "headers": pa.array([list(x[1].items()) for x in held], pa.map_(pa.string(), pa.string())),
+                "header_lines": pa.array([x[2] for x in held], pa.list_(pa.string())),
+                "block": pa.array([x[3] for x in held], pa.binary()),
+            }
+        )
+
+    size = 0
+    for record in records:
+        held.append(record)
+        size += len(record[3])
+        if size > limit:
+            yield emit()
+            held, size = [], 0
+    if held:
+        yield emit()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date")
-        keys = ("record_type", "record_id", "refers_to", "target_uri", "warc_date")
-        for batch in batches:
-            for where, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                for headers, block in parse(data.as_py()):
-                    yield pa.RecordBatch.from_pydict(
-                        {"path": [where]}
-                        | {k: pa.array([headers.get(n)], pa.string()) for k, n in zip(keys, names)}
-                        | {"headers": pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), "block": pa.array([block], pa.binary())}
-                    )
 
-    return files.mapInArrow(run, schema)
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files: headers as a map and as lines, and the block.
+
+    Compressed files (``.gz``, any number of members) are streamed line by line, each on one
+    task, which holds a record at a time. Other files are loaded whole, below 2 GB each.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("line"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("path not like '%.gz'").select("path", "content")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[tuple[str, dict[str, str], list[str], bytes]]:
+            reader, last = Reader(), None
+            for batch in batches:
+                for where, line in zip(batch.column("path").to_pylist(), batch.column("line").to_pylist()):
+                    if where != last:
+                        reader, last = Reader(), where
+                    for record in reader.feed(line + b"\n"):
+                        yield where, *record
+
+        return _batches(records())
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[tuple[str, dict[str, str], list[str], bytes]]:
+            for batch in batches:
+                for where, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+                    reader, stream = Reader(), io.BytesIO(data.as_py())
+                    while piece := (stream.read(reader.left) if reader.left > 0 else stream.readline()):
+                        for record in reader.feed(piece):
+                            yield where, *record
+
+        return _batches(records())
+
+    return lines.mapInArrow(stream, RECORDS).unionByName(files.mapInArrow(load, RECORDS))
+
+
+def charset(head: bytes, body: bytes) -> str:
+    """The codec that the HTTP head names, or else the page's first bytes; UTF-8 where none is known."""
+    for part in (head, body[:1024]):
+        if m := CHARSET.search(part):
+            try:
+                return codecs.lookup(m[1].decode("ascii")).name
+            except LookupError:
+                pass
+    return "utf-8"
 
 
 def from_warc(records: DataFrame) -> DataFrame:
-    """Response records read by ``read_warc`` in the columns that ``derive`` takes; texts as UTF-8."""
-    block = F.col("block")
-    text = F.decode(block, "UTF-8")
-    cut = F.locate("\r\n\r\n", text)
-    head = F.when(cut > 0, F.substring(text, F.lit(1), cut + 3)).otherwise("")
-    body = F.when(cut > 0, F.substring(text, cut + 4, F.length(text))).otherwise(text)
-    fresh = records.where("record_type = 'response'")
-    return fresh.select(
-        F.lit(None).cast("long").alias("page_id"), "record_id", F.coalesce("target_uri", F.lit("")).alias("target_uri"), "warc_date",
-        head.alias("http_headers"), body.alias("payload"),
-        F.coalesce(F.col("headers")["warc-payload-digest"], digest(body)).alias("payload_digest"),
-        F.coalesce(F.col("headers")["warc-block-digest"], F.concat(F.lit("sha256:"), F.sha2(block, 256))).alias("block_digest"),
-    )
+    """Response records read by ``read_warc`` in the columns that ``derive`` takes; texts by their charset."""
+    schema = (
+        "page_id long, record_id string, target_uri string, warc_date string, http_headers string, payload string, payload_digest string, "
+        "block_digest string, warc_headers string"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                block, own = r["block"] or b"", dict(r["headers"] or ())
+                head, gap, body = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+                made = lambda x: "sha256:" + hashlib.sha256(x).hexdigest()
+                out.append((
+                    None, r["record_id"], r["target_uri"] or "", r["warc_date"], (head + gap).decode("utf-8", "replace"),
+                    body.decode(charset(head, body), "replace"), own.get("warc-payload-digest") or made(body),
+                    own.get("warc-block-digest") or made(block), "\r\n".join(r["header_lines"] or ()),
+                ))
+            kinds = [pa.int64(), *[pa.string()] * 8]
+            yield pa.RecordBatch.from_pydict({c.split()[0]: pa.array([x[k] for x in out], kinds[k]) for k, c in enumerate(schema.split(", "))})
+
+    fresh = records.where("record_type = 'response'").select("record_id", "target_uri", "warc_date", "headers", "header_lines", "block")
+    return fresh.mapInArrow(run, schema)
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
