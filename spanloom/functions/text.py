@@ -7,8 +7,10 @@ only, while texts hold any script. All are built-in expressions except ``normali
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -58,11 +60,25 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(x, SPACES, " "))
 
 
-@F.pandas_udf(StringType())
-def normalize_full(texts: pd.Series) -> pd.Series:
-    """Compatibility composition and full case folding as well; for texts beyond Latin-1."""
-    table = str.maketrans(dict.fromkeys(APOSTROPHES, "'"))
-    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().translate(table).split()))
+FOLD = str.maketrans(dict.fromkeys(APOSTROPHES, "'"))
+
+
+def folded(text: str) -> str:
+    """Compatibility composition, full case folding, one apostrophe, single spaces."""
+    return " ".join(unicodedata.normalize("NFKC", text).casefold().translate(FOLD).split())
+
+
+@F.arrow_udf(StringType())
+def normalize_full(texts: pa.Array) -> pa.Array:
+    """``normalize`` for any script: compatibility forms and full case folding as well.
+
+    Arrow batches; texts of ASCII alone, whose form the built-ins have, take a vectorised way.
+    """
+    plain = pc.fill_null(pc.string_is_ascii(texts), True)
+    if pc.all(plain).as_py() is not False:
+        x = pc.replace_substring(pc.ascii_lower(texts), "`", "'")
+        return pc.ascii_trim_whitespace(pc.replace_substring_regex(x, r"[\s\x0b\x1c-\x1f]+", " "))
+    return pa.array([None if t is None else folded(t) for t in texts.to_pylist()], pa.string())
 
 
 def digest(normalized: Column) -> Column:
@@ -71,7 +87,7 @@ def digest(normalized: Column) -> Column:
 
 
 def letters(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\p{L}"))
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
 
 
 def alphabet_ok(text: Column) -> Column:
@@ -99,14 +115,17 @@ MIXED = r"[A-Za-z][\x{0400}-\x{04FF}]|[\x{0400}-\x{04FF}][A-Za-z]"
 LETTER_DIGIT = r"\p{L}[0-9]|[0-9]\p{L}"
 #: one letter, digit or underline among other signs, a letter first
 SINGLE = r"^\p{L}[^\p{L}\p{N}_]*$"
+WORD_START, WORD_END = r"(?<![^\s\x{00A0}])", r"(?![^\s\x{00A0}])"
 
 
 def ocr_noise(text: Column) -> tuple[Column, Column]:
-    """Share of words with mixed scripts or letters next to digits, and of single letters; (1, 1) without words."""
-    w = words(text)
-    n = F.size(w)
-    noisy = F.size(F.filter(w, lambda x: x.rlike(MIXED + "|" + LETTER_DIGIT)))
-    single = F.size(F.filter(w, lambda x: x.rlike(SINGLE)))
+    """Share of words with mixed scripts or letters next to digits, and of single letters; (1, 1) without words.
+
+    Words are counted where they stand: no list of them is made.
+    """
+    n = F.regexp_count(text, F.lit(r"[^\s\x{00A0}]+"))
+    noisy = F.regexp_count(text, F.lit(rf"{WORD_START}[^\s\x{{00A0}}]*?(?:{MIXED}|{LETTER_DIGIT})"))
+    single = F.regexp_count(text, F.lit(rf"{WORD_START}\p{{L}}[^\p{{L}}\p{{N}}_\s\x{{00A0}}]*{WORD_END}"))
     return F.when(n == 0, 1.0).otherwise(noisy / n), F.when(n == 0, 1.0).otherwise(single / n)
 
 
@@ -117,28 +136,35 @@ def affix(mention: Column) -> Column:
     return F.coalesce(*hits, F.lit(""))
 
 
-def stop_share(tokens: Column, language: str) -> Column:
-    stop = F.array(*[F.lit(x) for x in STOP_WORDS[language]])
-    n = F.size(tokens)
-    return F.when(n == 0, 0.0).otherwise(F.size(F.filter(tokens, lambda w: F.array_contains(stop, w))) / n)
-
-
 def detect_language(text: Column) -> Column:
     """Language with the largest share of its frequent words; under 0.03 ``undetermined``.
 
     Letters that only one alphabet has raise its share, and a language whose alphabet is
-    absent has none. Ties go to the language named first.
+    absent has none. Ties go to the language named first. Words and shares are variables of
+    outer lambdas, so that each is computed once a text.
     """
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
     cyr, lat = text.rlike(r"[\x{0400}-\x{04FF}]"), text.rlike("[A-Za-z]")
-    share = {k: stop_share(tokens, k) for k in STOP_WORDS}
-    share["uz-cyrl"] = share["uz-cyrl"] + F.when(text.rlike("[ўқғҳЎҚҒҲ]"), 0.05).otherwise(0.0)
-    share = {k: F.when(cyr if k in ("uz-cyrl", "ru") else lat, v).otherwise(0.0) for k, v in share.items()}
-    top = F.greatest(*share.values())
-    out = F.when((F.size(tokens) == 0) | (top < 0.03), "undetermined")
-    for k, v in share.items():
-        out = out.when(v == top, k)
-    return out
+
+    def among(stop: list[str]) -> Callable[[Column], Column]:
+        return lambda w: w.isin(*stop)
+
+    def shares(tokens: Column) -> Column:
+        n = F.size(tokens)
+        out = []
+        for k, stop in STOP_WORDS.items():
+            share = F.when(n == 0, 0.0).otherwise(F.size(F.filter(tokens, among(stop))) / n)
+            if k == "uz-cyrl":
+                share = share + F.when(text.rlike("[ўқғҳЎҚҒҲ]"), 0.05).otherwise(0.0)
+            out.append(F.when(cyr if k in ("uz-cyrl", "ru") else lat, share).otherwise(0.0))
+        return F.when(n > 0, F.array(*out)).otherwise(F.array(F.lit(0.0)))
+
+    def choose(share: Column) -> Column:
+        top = F.array_max(share)
+        names = F.array(*map(F.lit, STOP_WORDS))
+        return F.when(top < 0.03, "undetermined").otherwise(F.element_at(names, F.array_position(share, top).cast("int")))
+
+    tokens = F.array(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)))
+    return F.element_at(F.transform(F.transform(tokens, shares), choose), 1)
 
 
 def fold_apostrophes(text: Column) -> Column:
@@ -178,13 +204,6 @@ def is_word_char(c: Column) -> Column:
     return c.rlike(WORD_CHAR)
 
 
-def token_category(text: Column, start: Column, end: Column) -> Column:
-    """``word``, ``init``, ``middle`` or ``fin``: whether word characters touch the token's ends."""
-    left = F.coalesce(is_word_char(F.substring(text, start, F.lit(1))) & (start > 0), F.lit(False))
-    right = F.coalesce(is_word_char(F.substring(text, end + 1, F.lit(1))), F.lit(False))
-    return F.when(left & right, "middle").when(left, "fin").when(right, "init").otherwise("word")
-
-
 def abbreviation_dot(text: Column, dot: Column, start: Column) -> Column:
     """Whether the dot at ``dot`` follows a single letter of the span that starts at ``start``."""
     one, two = F.substring(text, dot, F.lit(1)), F.substring(text, dot - 1, F.lit(1))

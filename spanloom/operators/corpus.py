@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.operators import dedup
 from spanloom.operators.passages import paragraphs as split_paragraphs
+from spanloom.operators.passages import split_passages
 
 
 def stateless_reason(text: Column, min_chars: int = 200, max_noise: float = 0.01, max_single: float = 0.06) -> Column:
@@ -17,43 +18,67 @@ def stateless_reason(text: Column, min_chars: int = 200, max_noise: float = 0.01
 
 
 def funnel(passages: DataFrame, excluded: DataFrame, near: DataFrame | None = None, paragraph: bool = False) -> DataFrame:
-    """One ``reason`` for each passage (``seq, passage``): the stateless tests, then excluded, exact, paragraph, near, else accepted.
+    """One ``reason`` for each passage: the stateless tests, then excluded, exact, paragraph, near, else accepted.
 
-    ``excluded`` holds normalised digests; ``near`` is ``(seq, near_dup)`` of first copies.
-    With ``paragraph``, the paragraph rule holds among passages that got so far. Later
-    copies count as exact whether or not the first one is accepted.
+    ``passages`` has ``seq`` and ``passage``; its other columns are kept. ``excluded`` holds
+    normalised digests; ``near`` is ``(seq, near_dup)`` of first copies. With ``paragraph``,
+    the paragraph rule holds among passages that got so far. Later copies count as exact
+    whether or not the first one is accepted. Digests are made of what passes the cheap tests.
     """
-    rows = passages.withColumn("early", stateless_reason(F.col("passage"))).withColumn("digest", T.digest(T.normalize(F.col("passage"))))
-    barred = excluded.select("digest").distinct().withColumn("barred", F.lit(True))
-    rows = rows.join(barred, "digest", "left")
-    rows = rows.withColumn("early", F.coalesce("early", F.when(F.col("barred"), "excluded")))
-    first = F.min(F.when(F.col("early").isNull(), F.col("seq"))).over(Window.partitionBy("digest"))
-    rows = rows.withColumn("reason", F.coalesce("early", F.when(F.col("seq") > first, "exact")))
+    rows = passages.withColumn("early", stateless_reason(F.col("passage")))
+    rows = rows.withColumn("digest", F.when(F.col("early").isNull(), T.digest(T.normalize(F.col("passage")))))
+    barred = excluded.select("digest").where("digest is not null").distinct()
+    found = rows.where("digest is not null").select("seq", "digest")
+    # what an excluded digest leaves, and of that the first of each digest: short lists of numbers, joined on seq
+    free = found.join(barred, "digest", "left_anti").groupBy("digest").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("is_first"))
+    hit = found.join(barred, "digest", "left_semi").select("seq", F.lit(True).alias("is_barred"))
+    rows = rows.join(free, "seq", "left").join(hit, "seq", "left")
+    late = F.when(F.col("is_barred"), "excluded").when(F.col("is_first").isNull(), "exact")
+    rows = rows.withColumn("reason", F.coalesce("early", late)).drop("early", "digest", "is_first", "is_barred")
     if paragraph:
         left = rows.where("reason is null").select("seq", "passage")
         seen = dedup.paragraph_duplicates(split_paragraphs(left)).where("paragraph_dup").select("seq", "paragraph_dup")
-        rows = rows.join(seen, "seq", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("paragraph_dup"), "paragraph")))
+        rows = rows.join(seen, "seq", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("paragraph_dup"), "paragraph"))).drop("paragraph_dup")
     if near is not None:
-        rows = rows.join(near, "seq", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("near_dup"), "near")))
-    return rows.withColumn("reason", F.coalesce("reason", F.lit("accepted"))).select("seq", "reason")
+        rows = rows.join(near, "seq", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("near_dup"), "near"))).drop("near_dup")
+    return rows.withColumn("reason", F.coalesce("reason", F.lit("accepted"))).drop("passage")
 
 
 def whole_funnel(passages: DataFrame, excluded: DataFrame) -> DataFrame:
     """``funnel`` with the paragraph rule and the greedy near rule, which sees what passed all other tests."""
-    left = passages.join(funnel(passages, excluded, paragraph=True).where("reason = 'accepted'"), "seq", "left_semi")
+    before = dedup._cut(funnel(passages, excluded, paragraph=True))
+    left = passages.select("seq", "passage").join(before.where("reason = 'accepted'"), "seq", "left_semi")
     keys = dedup.band_keys(dedup.minhash(left, T.normalize(F.col("passage"))))
-    return funnel(passages, excluded, dedup.greedy_near_duplicates(keys), paragraph=True)
+    near = dedup.greedy_near_duplicates(keys).where("near_dup")
+    return before.join(near, "seq", "left").withColumn("reason", F.when(F.col("near_dup"), "near").otherwise(F.col("reason"))).drop("near_dup")
 
 
-def quota_cut(accepted: DataFrame, quota: int, group: str = "source", order: str = "seq", size: str = "n_chars") -> DataFrame:
+def running_totals(rows: DataFrame, group: str, order: str, size: str, block_rows: int = 1_000_000) -> DataFrame:
+    """``rows`` with ``used``, the sum of ``size`` of the group's earlier rows, and ``nth``, from 1.
+
+    Sums run inside ranges of ``order`` with about ``block_rows`` rows, and the ranges'
+    totals are summed before them, so that a large group is dealt over many tasks.
+    """
+    n, low, high = rows.agg(F.count("*"), F.min(order), F.max(order)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) * block_rows // max(n, 1)))
+    rows = rows.withColumn("range", F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)))
+    per = rows.groupBy(group, "range").agg(F.sum(size).alias("t"), F.count("*").alias("c"))
+    earlier = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select(F.col(group).alias("base_group"), F.col("range").alias("base_range"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c"))
+    inside = Window.partitionBy(group, "range").orderBy(order)
+    rows = rows.withColumn("used", F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("nth", F.row_number().over(inside))
+    rows = rows.join(base, F.col(group).eqNullSafe(F.col("base_group")) & (F.col("range") == F.col("base_range")))
+    return rows.withColumn("used", F.col("used") + F.col("t")).withColumn("nth", F.col("nth") + F.col("c")).drop("range", "base_group", "base_range", "t", "c")
+
+
+def quota_cut(accepted: DataFrame, quota: int | Column, group: str = "source", order: str = "seq", size: str = "n_chars", block_rows: int = 1_000_000) -> DataFrame:
     """Rows up to and with the one that reaches the group's quota of characters.
 
-    The running sum is per group; for groups too large for one task, give ``group`` a finer key.
+    ``quota`` may be a column, such as a map's value for the group; a null quota has no end.
     """
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(size).over(before), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return accepted.withColumn("used", used).withColumn("nth", nth).where((F.col("nth") == 1) | (F.col("used") < quota)).drop("nth")
+    most = quota if isinstance(quota, Column) else F.lit(quota)
+    rows = running_totals(accepted, group, order, size, block_rows)
+    return rows.where((F.col("nth") == 1) | (F.col("used") < most) | most.isNull()).drop("nth")
 
 
 def holdout(accepted: DataFrame, n: int, order: str = "seq") -> DataFrame:
@@ -90,6 +115,34 @@ def manifest(rows: DataFrame, chars_per_token: float = 2.6) -> DataFrame:
     )
 
 
+def scripts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``(script, docs, chars)`` of the manifest's histogram."""
+    return rows.groupBy(T.script_of(F.col(text)).alias("script")).agg(F.count("*").alias("docs"), F.sum(F.length(text)).alias("chars"))
+
+
+def build(docs: DataFrame, excluded: DataFrame, quotas: dict[str, int | None], held: int, limit: int = 8000, total: int | None = None) -> DataFrame:
+    """The whole corpus: ``(doc_id, passage_no, seq, source, n_chars, reason, split)`` for every passage.
+
+    ``docs`` has ``doc_id, source, text``. Passages are numbered in the order of documents and
+    their places, go through ``whole_funnel``, and the accepted ones of each source are taken
+    up to its quota of characters (null: all); what is behind it is ``over_quota``. The first
+    ``held`` taken passages are the holdout, the others train; ``total`` stops the whole
+    stream likewise. The sum of all reasons is the number of passages.
+    """
+    cut = split_passages(docs.select("doc_id", "source", "text"), limit).withColumn("n_chars", F.length("passage").cast("long"))
+    # a document's passages are consecutive numbers: places inside documents fit below 2 ** 24
+    rows = dedup._cut(cut.withColumn("seq", F.col("doc_id") * F.lit(1 << 24) + F.col("passage_no")))
+    reasons = whole_funnel(rows, excluded)
+    quota = F.create_map(*[F.lit(x) for k, v in quotas.items() for x in (k, v)]).getItem(F.col("source")) if quotas else F.lit(None).cast("long")
+    taken = quota_cut(reasons.where("reason = 'accepted'"), quota.cast("long")).select("seq", "n_chars")
+    stream = running_totals(taken.withColumn("all", F.lit(0)), "all", "seq", "n_chars")
+    split = F.when(F.col("nth") <= held, "holdout").otherwise("train")
+    stream = stream.where(F.lit(True) if total is None else (F.col("used") < total) | (F.col("nth") == 1)).select("seq", split.alias("split"))
+    out = reasons.join(stream, "seq", "left")
+    reason = F.when((F.col("reason") == "accepted") & F.col("split").isNull(), "over_quota").otherwise(F.col("reason"))
+    return out.withColumn("reason", reason).select("doc_id", "passage_no", "seq", "source", "n_chars", "reason", "split")
+
+
 def calibrate(rows: DataFrame, order: str = "seq", sample: int = 200, max_chars: int = 20_000) -> DataFrame:
     """Characters per word token over the first ``sample`` rows, each cut at ``max_chars``."""
     cut = rows.orderBy(order).limit(sample).select(F.substring("text", 1, max_chars).alias("t"))

@@ -1,17 +1,17 @@
 """Exact, paragraph and near-duplicate removal in stream order.
 
-``seq`` is the stream order. Every rule here is one window or aggregation over a digest
-key, except the greedy near rule, which runs in rounds cut off in the checkpoint folder.
+``seq`` is the stream order, and names a row. A key's first row comes from partial minima,
+and whether a row is a first one from a join on ``seq``, so the rows of a frequent key never
+meet in one task. The greedy near rule runs in rounds cut off in the checkpoint folder.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import digest, normalize
+from spanloom.operators.joins import firsts, joined_by_count
 
 BANDS, ROWS = 8, 4
 # fixed value: odd constant that spreads the permutation masks
@@ -21,8 +21,8 @@ HASH_BITS = 60
 
 def exact_duplicates(rows: DataFrame, key: str = "digest", order: str = "seq") -> DataFrame:
     """``is_dup``: whether an earlier row has the key."""
-    first = F.min(order).over(Window.partitionBy(key))
-    return rows.withColumn("is_dup", F.col(order) > first)
+    first = firsts(rows, key, order=order).withColumn("is_first", F.lit(True))
+    return rows.join(first, order, "left").withColumn("is_dup", F.col("is_first").isNull()).drop("is_first")
 
 
 def without(rows: DataFrame, excluded: DataFrame, key: str = "digest") -> DataFrame:
@@ -35,12 +35,9 @@ def paragraph_duplicates(paragraphs: DataFrame, order: str = "seq", min_chars: i
     ``min_chars`` and an earlier passage has each of them."""
     p = paragraphs.withColumn("paragraph", F.regexp_replace("paragraph", r"^[\s\x{00A0}]+|[\s\x{00A0}]+\z", ""))
     long = p.where(F.length("paragraph") > min_chars).withColumn("key", digest(normalize(F.col("paragraph"))))
-    first = long.groupBy("key").agg(F.min(order).alias("first"))
-    seen = long.join(first, "key").groupBy(order).agg(F.count("*").alias("n_long"), F.every(F.col("first") < F.col(order)).alias("all_seen"))
-    every = paragraphs.select(order).distinct()
-    return every.join(seen, order, "left").select(
-        order, F.coalesce("n_long", F.lit(0)).alias("n_long"), F.coalesce("all_seen", F.lit(False)).alias("paragraph_dup")
-    )
+    fresh = firsts(long, "key", order=order).withColumn("fresh", F.lit(True))  # passages that bring a paragraph
+    every = p.groupBy(order).agg(F.count_if(F.length("paragraph") > min_chars).alias("n_long"))
+    return every.join(fresh, order, "left").select(order, "n_long", ((F.col("n_long") > 0) & F.col("fresh").isNull()).alias("paragraph_dup"))
 
 
 def shingles(normalized: Column, width: int = 5) -> Column:
@@ -76,41 +73,63 @@ def band_keys(signatures: DataFrame, order: str = "seq", bands: int = BANDS, row
 def bucket_links(keys: DataFrame, order: str = "seq") -> DataFrame:
     """``(a, b)``: each row b with the first row a of each of its buckets, instead of all pairs of a bucket.
 
-    Rows that share buckets are connected by these links just as by all pairs.
+    Rows that share buckets are connected by these links just as by all pairs; buckets of
+    equal rows and near ones alike give one link a row, and a bucket is its own membership.
     """
-    first = F.min(order).over(Window.partitionBy("band", "key"))
-    return keys.select(first.alias("a"), F.col(order).alias("b")).where("a < b").distinct()
+    size = keys.groupBy("band", "key").agg(F.min(order).alias("a"), F.count("*").alias("n")).where("n > 1")
+    named = size.select(F.struct("band", "key").alias("bucket"), "a", "n")
+    rows = keys.select(order, F.struct("band", "key").alias("bucket"))
+    found = joined_by_count(rows, named, "bucket", "n", keys.count())
+    return found.select("a", F.col(order).alias("b")).where("a < b").distinct()
+
+
+def _all_first(keys: DataFrame, order: str) -> DataFrame:
+    """``(seq, all_first)``: whether the row is the first one in each of its buckets."""
+    won = keys.groupBy("band", "key").agg(F.min(order).alias(order)).groupBy(order).agg(F.count("*").alias("won"))
+    each = keys.groupBy(order).agg(F.countDistinct("band", "key").alias("n"))
+    return each.join(won, order, "left").select(order, (F.coalesce("won", F.lit(0)) == F.col("n")).alias("all_first"))
 
 
 def first_in_bucket(keys: DataFrame, order: str = "seq") -> DataFrame:
     """``(seq, near_dup)``: whether any of a row's keys is an earlier row's (one pass, stricter than the greedy rule)."""
-    first = F.min(order).over(Window.partitionBy("band", "key"))
-    return keys.withColumn("first", first).groupBy(order).agg(F.bool_or(F.col("first") < F.col(order)).alias("near_dup"))
+    return _all_first(keys, order).select(order, (~F.col("all_first")).alias("near_dup"))
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
+    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names, which all executors share."""
+    session = df.sparkSession
+    if session.sparkContext.getCheckpointDir() is None:
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        session.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
 def greedy_near_duplicates(keys: DataFrame, order: str = "seq") -> DataFrame:
     """``(seq, near_dup)``: a row is one if it shares a key with an earlier *accepted* row.
 
-    Rounds: undecided rows that are first among the undecided of all their buckets are
-    accepted; undecided rows behind an accepted one in a bucket are rejected. Rejected
-    rows shield nobody. Each round settles at least the first undecided row.
+    Rounds: undecided rows that are first among the undecided of all their
+    buckets are accepted; undecided rows behind an accepted one in a bucket are rejected.
+    Rejected rows shield nobody. Each round settles at least the first undecided row.
     """
-    undecided = _cut(keys.select(order, "band", "key"))
-    done = None
-    while not undecided.isEmpty():
-        bucket = Window.partitionBy("band", "key")
-        ranked = undecided.withColumn("first", F.min(order).over(bucket))
-        accepted = ranked.groupBy(order).agg(F.every(F.col("first") == F.col(order)).alias("ok")).where("ok").select(order)
-        taken = undecided.join(accepted, order, "left_semi").groupBy("band", "key").agg(F.min(order).alias("winner"))
-        hit = undecided.join(taken, ["band", "key"]).where(F.col("winner") < F.col(order)).select(order).distinct()
+    state = _cut(keys.select(order, F.struct("band", "key").alias("bucket"), F.lit(None).cast("boolean").alias("near_dup")))
+    total = state.count()
+    done: list[DataFrame] = []
+    left = total
+    while left:
+        first = state.groupBy("bucket").agg(F.min(order).alias(order), F.count("*").alias("n"))
+        won = first.groupBy(order).agg(F.count("*").alias("won"))
+        each = state.groupBy(order).agg(F.countDistinct("bucket").alias("n"))
+        accepted = each.join(won, order).where("won = n").select(order)
+        # an accepted row is the first of its buckets, so a bucket's winner is its first row if that is accepted
+        winner = first.where("n > 1").withColumnRenamed(order, "winner").join(accepted.withColumnRenamed(order, "winner"), "winner", "left_semi")
+        hit = joined_by_count(state.select(order, "bucket"), winner, "bucket", "n", total).where(F.col(order) > F.col("winner")).select(order).distinct()
         settled = _cut(accepted.withColumn("near_dup", F.lit(False)).unionByName(hit.withColumn("near_dup", F.lit(True))))
-        done = settled if done is None else done.unionByName(settled)
-        undecided = _cut(undecided.join(settled, order, "left_anti"))
-    return done if done is not None else keys.select(order, F.lit(False).alias("near_dup")).limit(0)
+        done.append(settled)
+        state = _cut(state.join(settled.select(order), order, "left_anti"))
+        left = state.count()
+    out = keys.select(order, F.lit(False).alias("near_dup")).limit(0)
+    for settled in done:
+        out = out.unionByName(settled)
+    return out

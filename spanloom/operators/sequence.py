@@ -122,13 +122,18 @@ def transition_array(rows: DataFrame, scheme: str, weight: float = 1.0) -> np.nd
     return weight * out
 
 
-def blocks(sizes: DataFrame, content: int, order: str = "seq", n: str = "n_tokens", buckets: int = 64) -> DataFrame:
+def blocks(
+    sizes: DataFrame, content: int, order: str = "seq", n: str = "n_tokens", buckets: int | None = None, carry: int = 0, whole: bool = False
+) -> DataFrame:
     """``(seq, block, from, to)``: where each document's tokens lie when all are joined and cut every ``content``.
 
     Running offsets are sums within ranges of the order plus sums of the ranges before, so
-    no task orders the whole table. The last block may be short; drop it for a single pass.
+    no task orders the whole table; without ``buckets``, a range has about a million rows.
+    ``carry`` tokens of an earlier pass come first. ``whole`` drops the short block at the
+    end, whose tokens are what the next pass carries.
     """
-    low, high = sizes.agg(F.min(order), F.max(order)).first()
+    count, low, high, all_tokens = sizes.agg(F.count("*"), F.min(order), F.max(order), F.sum(n)).first()
+    buckets = buckets or 1 + count // 1_000_000
     if low is None:
         return sizes.select(order, F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("to")).limit(0)
     bucket = F.floor((F.col(order) - low) / F.lit(max(1, math.ceil((high - low + 1) / buckets))))
@@ -136,10 +141,12 @@ def blocks(sizes: DataFrame, content: int, order: str = "seq", n: str = "n_token
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("bucket").agg(F.sum(n).alias("t")).withColumn("base", F.coalesce(F.sum("t").over(earlier), F.lit(0))).select("bucket", "base")
     inside = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("at", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(F.broadcast(base), "bucket")  # at most ``buckets`` rows
-    off = F.col("base") + F.col("at")
+    rows = rows.withColumn("at", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(base, "bucket")
+    off = F.col("base") + F.col("at") + F.lit(carry)
     rows = rows.where(F.col(n) > 0).select(order, off.alias("off"), (off + F.col(n)).alias("stop"))
     each = rows.select(order, "off", "stop", F.explode(F.sequence(F.floor(F.col("off") / content), F.floor((F.col("stop") - 1) / content))).alias("block"))
+    if whole:
+        each = each.where(F.col("block") < (carry + (all_tokens or 0)) // content)
     return each.select(
         order, "block", (F.greatest(F.col("off"), F.col("block") * content) - F.col("off")).alias("from"),
         (F.least(F.col("stop"), (F.col("block") + 1) * content) - F.col("off")).alias("to"),

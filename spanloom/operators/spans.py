@@ -7,12 +7,16 @@ meet on the document, so that a range condition only compares spans of one docum
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import takewhile
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 LABELS = ("ORG", "NAME", "GEO")
 PREFIXES = {"bio": ("B", "I"), "bilou": ("B", "I", "L", "U")}
@@ -23,13 +27,41 @@ def tags(scheme: str) -> list[str]:
     return ["O", *(f"{p}-{label}" for label in LABELS for p in PREFIXES[scheme])]
 
 
-def words_with_offsets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, pos, w, start, end)`` for the words between single spaces; one shuffle by document."""
-    each = docs.select("doc_id", F.posexplode(F.split(text, " ")).alias("pos", "w"))
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("w") + 1).over(before), F.lit(0))
-    rows = each.withColumn("start", start).where("w <> ''")
-    return rows.withColumn("end", F.col("start") + F.length("w"))
+def words_with_offsets(docs: DataFrame, text: str = "text", following: bool = False) -> DataFrame:
+    """``(doc_id, pos, w, start, end)`` for the words between single spaces; row by row, without a shuffle.
+
+    Offsets are sums of lengths within a text, taken over whole Arrow batches. With
+    ``following``, ``next_w`` and ``next_end`` are those of the document's next word.
+    """
+    key = docs.schema["doc_id"].dataType
+    fields = [("doc_id", key), ("pos", IntegerType()), ("w", StringType()), ("start", LongType()), ("end", LongType())]
+    fields += [("next_w", StringType()), ("next_end", LongType())] if following else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(1)
+                if not pa.types.is_large_string(texts.type):
+                    texts = texts.cast(pa.large_string())
+                parts = pc.split_pattern(texts, " ")
+                words, row = pc.list_flatten(parts), pc.list_parent_indices(parts).to_numpy()
+                size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+                first = np.searchsorted(row, row, "left")
+                total = np.cumsum(size + 1) - size - 1
+                start = total - total[first] if len(row) else total
+                full = size > 0
+                row, pos, start, size = row[full], (np.arange(len(full)) - first)[full], start[full], size[full]
+                words = words.filter(pa.array(full)).cast(pa.string())
+                columns = [part.column(0).take(pa.array(row)), pa.array(pos, pa.int32()), words, pa.array(start), pa.array(start + size)]
+                if following:
+                    ahead = np.arange(1, len(row) + 1)
+                    none = np.r_[row[1:] != row[:-1], True][: len(row)]
+                    index = pa.array(np.where(none, 0, ahead), mask=none)
+                    columns += [words.take(index), columns[4].take(index)]
+                yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in fields])
+
+    return docs.select("doc_id", text).mapInArrow(run, StructType([StructField(*f) for f in fields]))
 
 
 def mention(text: Column, start: Column, end: Column) -> Column:

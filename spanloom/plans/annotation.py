@@ -69,8 +69,7 @@ BIO = f"CASE WHEN span IS NULL THEN 'O' ELSE CASE WHEN {FIRST} THEN 'B' ELSE 'I'
 
 
 def aligned(spark, d):
-    tok = D.tokens(spark, d)
-    return spans.align(tok, D.gold_tokens(tok).select("doc_id", "label", "start", "end"))
+    return spans.align(D.tokens(spark, d), D.gold(spark, d))
 
 
 @query("token_entity_align", D.with_base('SELECT doc_id, pos, span.label AS label, span.s AS span_start, span.e AS span_end FROM aligned WHERE span IS NOT NULL', ALIGNED))
@@ -196,7 +195,7 @@ def forbidden_transitions(spark, d):
 
 def mention_probs(spark, d, n_tags: int):
     """Fractions for each tag of each capitalised word, as rows."""
-    rows = D.gold_tokens(D.tokens(spark, d))
+    rows = D.gold_tokens(spark, d)
     ps = [D.fraction(k, F.length("w"), F.col("start"), F.col("pos")) for k in range(n_tags)]
     return rows.select("doc_id", "pos", "start", F.col("word_end").alias("end"), F.array(*ps).alias("probs"))
 
@@ -224,7 +223,7 @@ WINDOW_P = f"""wp AS (SELECT doc_id, start, "end", t AS tag, ((length(w) * 3 + w
 
 @query("window_average", D.with_base('SELECT doc_id, start, "end", tag, round(avg(p), 6) AS p FROM wp GROUP BY ALL', WINDOW_P))
 def window_average(spark, d):
-    rows = D.gold_tokens(D.tokens(spark, d)).select("doc_id", "pos", "w", "start", F.col("word_end").alias("end"))
+    rows = D.gold_tokens(spark, d).select("doc_id", "pos", "w", "start", F.col("word_end").alias("end"))
     rows = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("win")).where("win = 0 or pos % 3 = 0")
     rows = rows.select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("tag"))
     rows = rows.withColumn("p", D.fraction(F.col("tag"), F.length("w"), F.col("win")))

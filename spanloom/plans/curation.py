@@ -199,7 +199,7 @@ FUNNEL = f"""r AS (SELECT doc_id AS seq, text, source, n_chars, {dig()} AS diges
 
 def funnel(spark, d):
     bench = spark.read.parquet(f"{d}/benchmark.parquet").select(T.digest(T.normalize(F.col("text"))).alias("digest"))
-    rows = D.docs(spark, d).select(F.col("doc_id").alias("seq"), F.col("text").alias("passage"))
+    rows = D.docs(spark, d).select(F.col("doc_id").alias("seq"), F.col("text").alias("passage"), "source", "n_chars")
     return corpus.funnel(rows, bench)
 
 
@@ -209,7 +209,7 @@ def drop_reason_funnel(spark, d):
 
 
 def accepted(spark, d):
-    return keyed(spark, d).join(funnel(spark, d).where("reason = 'accepted'"), "seq", "left_semi")
+    return funnel(spark, d).where("reason = 'accepted'")
 
 
 @query(
@@ -229,11 +229,11 @@ def holdout_split(spark, d):
 
 def whole_funnel(spark, d):
     bench = spark.read.parquet(f"{d}/benchmark.parquet").select(T.digest(T.normalize(F.col("text"))).alias("digest"))
-    return corpus.whole_funnel(D.docs(spark, d).select(F.col("doc_id").alias("seq"), F.col("text").alias("passage")), bench)
+    return corpus.whole_funnel(D.docs(spark, d).select(F.col("doc_id").alias("seq"), F.col("text").alias("passage"), "source", "n_chars"), bench)
 
 
 def whole_accepted(spark, d):
-    return keyed(spark, d).join(whole_funnel(spark, d).where("reason = 'accepted'"), "seq", "left_semi")
+    return whole_funnel(spark, d).where("reason = 'accepted'")
 
 
 # no SQL: the greedy near rule is beyond it
@@ -252,6 +252,19 @@ def holdout_split_whole_funnel(spark, d):
     return corpus.holdout(whole_accepted(spark, d), 100).select("seq")
 
 
+@query("corpus_build")
+def corpus_build(spark, d):
+    """Split, six tests, paragraph and near rules, quotas of sources, holdout; without SQL for the greedy near rule."""
+    bench = spark.read.parquet(f"{d}/benchmark.parquet").select(T.digest(T.normalize(F.col("text"))).alias("digest"))
+    quotas = {r["source"]: 400_000 for r in D.docs(spark, d).select("source").distinct().orderBy("source").collect()}
+    return corpus.build(D.docs(spark, d), bench, quotas, held=100, limit=2000)
+
+
+@query("script_histogram", f"SELECT {SCRIPT} AS script, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ALL")
+def script_histogram(spark, d):
+    return corpus.scripts(D.docs(spark, d))
+
+
 @query(
     "source_share_manifest",
     """SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars, round(sum(length(text)) / (SELECT sum(length(text)) FROM documents), 4) AS share,

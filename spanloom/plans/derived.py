@@ -7,7 +7,7 @@ lengths and positions for probabilities.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators.spans import words_with_offsets
@@ -24,24 +24,29 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_with_offsets(docs(spark, sf_dir))
 
 
-def gold_tokens(tok: DataFrame) -> DataFrame:
+def gold_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised words; of even length, a span takes in the next word unless that is capitalised too."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    rows = tok.withColumn("next_w", F.lead("w").over(order)).withColumn("next_end", F.lead("end").over(order)).where(F.col("w").rlike(CAPITAL))
+    rows = words_with_offsets(docs(spark, sf_dir), following=True).where(F.col("w").rlike(CAPITAL))
     wide = (F.length("w") % 2 == 0) & F.col("next_w").isNotNull() & ~F.col("next_w").rlike(CAPITAL)
     label = F.element_at(F.array(F.lit("ORG"), F.lit("NAME"), F.lit("GEO")), F.length("w") % 3 + 1)
-    return rows.select("doc_id", "pos", "w", label.alias("label"), "start", F.when(wide, F.col("next_end")).otherwise(F.col("end")).alias("end"), F.col("end").alias("word_end"))
+    gap = F.repeat(F.lit(" "), (F.col("next_end") - F.length("next_w") - F.col("end")).cast("int"))
+    return rows.select(
+        "doc_id", "pos", "w", label.alias("label"), "start", F.when(wide, F.col("next_end")).otherwise(F.col("end")).alias("end"), F.col("end").alias("word_end"),
+        F.when(wide, F.concat("w", gap, "next_w")).otherwise(F.col("w")).alias("mention"),
+    )
+
+
+def gold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold_words(spark, sf_dir).drop("mention")
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold_tokens(tokens(spark, sf_dir)).select("doc_id", "label", "start", "end")
+    return gold_words(spark, sf_dir).select("doc_id", "label", "start", "end")
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold spans with their text."""
-    g = gold(spark, sf_dir)
-    text = docs(spark, sf_dir).select("doc_id", "text")
-    return g.join(text, "doc_id").select("doc_id", "label", "start", "end", F.expr("substring(text, int(start + 1), int(end - start))").alias("mention"))
+    return gold_words(spark, sf_dir).select("doc_id", "label", "start", "end", "mention")
 
 
 def predicted(g: DataFrame) -> DataFrame:
