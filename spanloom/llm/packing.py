@@ -18,7 +18,6 @@ is that of the rows; among equally tight bins the one opened or reduced last is
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
@@ -126,15 +125,14 @@ class Encoder(dict):
     #: a space that any white space of Unicode follows
     ODD = r" [\s\x0b\x1c-\x1f\x{85}\pZ]"
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 350_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.model = Tokenizer.from_file(path)
-        setup = json.loads(self.model.to_str())
-        pattern = setup.get("pre_tokenizer") or {}
-        by_bytes = pattern.get("type") == "ByteLevel" and not pattern.get("add_prefix_space") and pattern.get("use_regex", True)
-        self.cuts = bool(by_bytes) and setup.get("normalizer") is None
+        pattern = self.model.pre_tokenizer
+        self.cuts = isinstance(pattern, ByteLevel) and not pattern.add_prefix_space and pattern.use_regex and self.model.normalizer is None
         self.model.encode_special_tokens = True  # their strings are ordinary text
         self.most = most
         self.cut = re.compile(r" (?=\S)")
@@ -276,7 +274,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
             "piece": pa.array(columns[0], pa.int32()),
         } | {k: pa.array(columns[i], pa.int64()) for i, k in enumerate(("start", "length", "ids_crc32"), 1)}
 
-    return map_slices(docs, ["doc_id", "text"], f, PIECES, limit=2 << 20)
+    return map_slices(docs, ["doc_id", "text"], f, PIECES, limit=1 << 20)
 
 
 def pack(found: DataFrame, capacity: int = 1024, bucket_rows: int = 65_536) -> DataFrame:
