@@ -20,7 +20,8 @@ def uniform(*parts: Column, seed: int) -> Column:
 def gazetteer(mentions: DataFrame) -> DataFrame:
     """``(level, label, script, affix, forms)``: sorted distinct forms at three key levels; short mentions go.
 
-    Level 0 keys by label, script and affix, 1 by label and script, 2 by label.
+    Level 0 keys by label, script and affix, 1 by label and script, 2 by label. A row holds
+    all forms of its key by definition: this is the report; joins go through ``numbered``.
     """
     rows = mentions.where(F.length("mention") >= 2).select(
         "label", "mention", T.span_script(F.col("mention")).alias("script"), T.affix(F.col("mention")).alias("affix")
@@ -32,15 +33,43 @@ def gazetteer(mentions: DataFrame) -> DataFrame:
     return distinct.groupBy("k.level", "label", "k.script", "k.affix").agg(F.array_sort(F.collect_set("mention")).alias("forms"))
 
 
+LEVELS = (("script", "affix"), ("script",), ())
+
+
+def numbered(mentions: DataFrame, buckets: int = 256) -> DataFrame:
+    """``(level, label, script, affix, form, k, n)``: each key's distinct forms by number from 0, and how many there are.
+
+    Forms are numbered inside buckets of their hash, behind the buckets before, so that a
+    key with many forms is not one task's.
+    """
+    rows = mentions.where(F.length("mention") >= 2).select(
+        "label", F.col("mention").alias("form"), T.span_script(F.col("mention")).alias("script"), T.affix(F.col("mention")).alias("affix")
+    ).distinct()
+    keys = F.array(*[
+        F.struct(F.lit(k).alias("level"), *[(F.col(c) if c in on else F.lit("")).alias(c) for c in ("script", "affix")]) for k, on in enumerate(LEVELS)
+    ])
+    each = rows.select("label", "form", F.explode(keys).alias("key")).select("label", "form", "key.*").withColumn("bucket", F.pmod(F.xxhash64("form"), F.lit(buckets)))
+    key = ["level", "label", "script", "affix"]
+    inside = Window.partitionBy(*key, "bucket").orderBy("form")
+    per = each.groupBy(*key, "bucket").agg(F.count("*").alias("c"))
+    every = Window.partitionBy(*key)
+    base = per.withColumn("base", F.sum("c").over(every.orderBy("bucket")) - F.col("c")).withColumn("n", F.sum("c").over(every)).drop("c")
+    return each.withColumn("k", F.row_number().over(inside) - 1).join(base, [*key, "bucket"]).select(*key, "form", (F.col("k") + F.col("base")).alias("k"), "n")
+
+
 def candidates(mentions: DataFrame, forms: DataFrame, least: int = MIN_CANDIDATES) -> DataFrame:
-    """``mentions`` with ``level`` and ``forms``: the first level with ``least`` forms, else the last."""
+    """``mentions`` with ``level`` and ``n``: the first level with ``least`` forms, else the last, and its number of forms.
+
+    ``forms`` is ``numbered``; its keys are labels, two scripts and the listed suffixes, so
+    their counts are few at any size, and are broadcast.
+    """
+    count = F.broadcast(forms.groupBy("level", "label", "script", "affix").agg(F.first("n").alias("n")))
     m = mentions.withColumn("script", T.span_script(F.col("mention"))).withColumn("affix", T.affix(F.col("mention")))
-    level = lambda k, *on: forms.where(F.col("level") == k).select(*on, F.col("forms").alias(f"f{k}"))
-    j = m.join(level(0, "label", "script", "affix"), ["label", "script", "affix"], "left")
-    j = j.join(level(1, "label", "script"), ["label", "script"], "left").join(level(2, "label"), "label", "left")
-    size = lambda k: F.coalesce(F.size(f"f{k}"), F.lit(0))
+    for k, on in enumerate(LEVELS):
+        m = m.join(count.where(F.col("level") == k).select("label", *on, F.col("n").alias(f"n{k}")), ["label", *on], "left")
+    size = lambda k: F.coalesce(f"n{k}", F.lit(0))
     pick = F.when(size(0) >= least, 0).when(size(1) >= least, 1).otherwise(2)
-    return j.withColumn("level", pick).withColumn("forms", F.when(pick == 0, F.col("f0")).when(pick == 1, F.col("f1")).otherwise(F.col("f2"))).drop("f0", "f1", "f2")
+    return m.withColumn("level", pick).withColumn("n", F.when(pick == 0, size(0)).when(pick == 1, size(1)).otherwise(size(2))).drop("n0", "n1", "n2")
 
 
 def swapped_offsets(spans: DataFrame) -> DataFrame:
@@ -65,12 +94,18 @@ def swapped_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.when(F.col("s").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail)).alias("text"))
 
 
-def swap(mentions: DataFrame, forms: DataFrame, seed: int) -> DataFrame:
-    """Adds ``replacement``: a candidate chosen by hash, in the case of the mention."""
+def swap(mentions: DataFrame, forms: DataFrame, seed: int, share: float = 0.5) -> DataFrame:
+    """Adds ``replacement``: with probability ``share`` a candidate chosen by hash, in the case of the mention.
+
+    The candidate's number and key meet ``numbered`` forms in a join, a row each.
+    """
     rows = candidates(mentions, forms)
-    at = F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.size("forms")).cast("int")
-    chosen = F.when(F.coalesce(F.size("forms"), F.lit(0)) > 0, F.get("forms", at)).otherwise(F.col("mention"))
-    return rows.withColumn("replacement", T.case_like(chosen, F.col("mention"))).drop("forms", "script", "affix")
+    at = F.when((F.col("n") > 0) & (uniform(F.col("doc_id"), F.col("start"), seed=seed + 2) < share), F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.col("n")))
+    rows = rows.withColumn("k", at)
+    rows = rows.withColumn("script", F.when(F.col("level") < 2, F.col("script")).otherwise("")).withColumn("affix", F.when(F.col("level") < 1, F.col("affix")).otherwise(""))
+    rows = rows.join(forms.drop("n"), ["level", "label", "script", "affix", "k"], "left")
+    new = F.col("form").isNotNull() & (F.col("form") != F.col("mention"))
+    return rows.withColumn("replacement", F.when(new, T.case_like(F.col("form"), F.col("mention"))).otherwise(F.col("mention"))).drop("form", "script", "affix", "k", "n")
 
 
 def case_mode(key: Column, seed: int) -> Column:
@@ -103,6 +138,27 @@ def epoch_seed(seed: int, epoch: int) -> int:
     return seed * 1000 + epoch
 
 
+def augmented(
+    docs: DataFrame, mentions: DataFrame, forms: DataFrame, seed: int, epoch: int = 0, swap_probability: float = 0.5, swap_share: float = 0.5, case_probability: float = 0.5
+) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text)`` and ``(doc_id, label, start, end, mention)`` of an epoch.
+
+    Records are chosen by hash for a swap of mentions, and then, on what that gives, for a
+    change of case; either may fall on a record, both or none.
+    """
+    own = epoch_seed(seed, epoch)
+    hit = lambda probability, k: uniform(F.col("doc_id"), seed=own + k) < probability
+    plain = mentions.select("doc_id", "label", "start", "end", "mention")
+    chosen = swap(plain.where(hit(swap_probability, 11)), forms, own, swap_share).select(*plain.columns, "replacement")
+    spans = chosen.unionByName(plain.where(~hit(swap_probability, 11)).withColumn("replacement", F.col("mention")))
+    text = swapped_text(docs.select("doc_id", "text"), spans)
+    moved = swapped_offsets(spans).select("doc_id", "label", F.col("new_start").alias("start"), F.col("new_end").alias("end"), F.col("replacement").alias("mention"))
+    cased = distort_case(text.where(hit(case_probability, 13)), moved, own).select("doc_id", "text")
+    text = cased.unionByName(text.where(~hit(case_probability, 13)))
+    mention = F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    return text, moved.drop("mention").join(text, "doc_id").select("doc_id", "label", "start", "end", mention.alias("mention"))
+
+
 def mask_words(tokens: DataFrame, probability: float, seed: int, key: str = "block") -> DataFrame:
     """Whole-word masking: adds ``action``: mask, random or keep for chosen words' tokens, else null.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.checkpoint import cut
 from spanloom.functions import text as T
 from spanloom.operators import dedup
 from spanloom.operators.passages import paragraphs as split_paragraphs
@@ -46,7 +47,7 @@ def funnel(passages: DataFrame, excluded: DataFrame, near: DataFrame | None = No
 
 def whole_funnel(passages: DataFrame, excluded: DataFrame) -> DataFrame:
     """``funnel`` with the paragraph rule and the greedy near rule, which sees what passed all other tests."""
-    before = dedup._cut(funnel(passages, excluded, paragraph=True))
+    before = cut(funnel(passages, excluded, paragraph=True))
     left = passages.select("seq", "passage").join(before.where("reason = 'accepted'"), "seq", "left_semi")
     keys = dedup.band_keys(dedup.minhash(left, T.normalize(F.col("passage"))))
     near = dedup.greedy_near_duplicates(keys).where("near_dup")
@@ -129,11 +130,11 @@ def build(docs: DataFrame, excluded: DataFrame, quotas: dict[str, int | None], h
     ``held`` taken passages are the holdout, the others train; ``total`` stops the whole
     stream likewise. The sum of all reasons is the number of passages.
     """
-    cut = split_passages(docs.select("doc_id", "source", "text"), limit).withColumn("n_chars", F.length("passage").cast("long"))
+    parts = split_passages(docs.select("doc_id", "source", "text"), limit).withColumn("n_chars", F.length("passage").cast("long"))
     # a document's passages are consecutive numbers: places inside documents fit below 2 ** 24
-    rows = dedup._cut(cut.withColumn("seq", F.col("doc_id") * F.lit(1 << 24) + F.col("passage_no")))
+    rows = cut(parts.withColumn("seq", F.col("doc_id") * F.lit(1 << 24) + F.col("passage_no")))
     reasons = whole_funnel(rows, excluded)
-    quota = F.create_map(*[F.lit(x) for k, v in quotas.items() for x in (k, v)]).getItem(F.col("source")) if quotas else F.lit(None).cast("long")
+    quota = F.create_map(*[F.lit(x) for k, v in quotas.items() for x in (k, v)])[F.col("source")] if quotas else F.lit(None).cast("long")
     taken = quota_cut(reasons.where("reason = 'accepted'"), quota.cast("long")).select("seq", "n_chars")
     stream = running_totals(taken.withColumn("all", F.lit(0)), "all", "seq", "n_chars")
     split = F.when(F.col("nth") <= held, "holdout").otherwise("train")
@@ -145,8 +146,8 @@ def build(docs: DataFrame, excluded: DataFrame, quotas: dict[str, int | None], h
 
 def calibrate(rows: DataFrame, order: str = "seq", sample: int = 200, max_chars: int = 20_000) -> DataFrame:
     """Characters per word token over the first ``sample`` rows, each cut at ``max_chars``."""
-    cut = rows.orderBy(order).limit(sample).select(F.substring("text", 1, max_chars).alias("t"))
-    both = cut.agg(F.sum(F.length("t")).alias("chars"), F.sum(F.size(T.words(F.col("t")))).alias("tokens"))
+    first = rows.orderBy(order).limit(sample).select(F.substring("text", 1, max_chars).alias("t"))
+    both = first.agg(F.sum(F.length("t")).alias("chars"), F.sum(F.size(T.words(F.col("t")))).alias("tokens"))
     return both.select("chars", "tokens", F.round(F.col("chars") / F.col("tokens"), 6).alias("chars_per_token"))
 
 

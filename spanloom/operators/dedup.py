@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.checkpoint import cut
 from spanloom.functions.text import digest, normalize
 from spanloom.operators.joins import firsts, joined_by_count
 
@@ -95,17 +96,6 @@ def first_in_bucket(keys: DataFrame, order: str = "seq") -> DataFrame:
     return _all_first(keys, order).select(order, (~F.col("all_first")).alias("near_dup"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names, which all executors share."""
-    session = df.sparkSession
-    if session.sparkContext.getCheckpointDir() is None:
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        session.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def greedy_near_duplicates(keys: DataFrame, order: str = "seq") -> DataFrame:
     """``(seq, near_dup)``: a row is one if it shares a key with an earlier *accepted* row.
 
@@ -113,7 +103,7 @@ def greedy_near_duplicates(keys: DataFrame, order: str = "seq") -> DataFrame:
     buckets are accepted; undecided rows behind an accepted one in a bucket are rejected.
     Rejected rows shield nobody. Each round settles at least the first undecided row.
     """
-    state = _cut(keys.select(order, F.struct("band", "key").alias("bucket"), F.lit(None).cast("boolean").alias("near_dup")))
+    state = cut(keys.select(order, F.struct("band", "key").alias("bucket"), F.lit(None).cast("boolean").alias("near_dup")))
     total = state.count()
     done: list[DataFrame] = []
     left = total
@@ -125,9 +115,9 @@ def greedy_near_duplicates(keys: DataFrame, order: str = "seq") -> DataFrame:
         # an accepted row is the first of its buckets, so a bucket's winner is its first row if that is accepted
         winner = first.where("n > 1").withColumnRenamed(order, "winner").join(accepted.withColumnRenamed(order, "winner"), "winner", "left_semi")
         hit = joined_by_count(state.select(order, "bucket"), winner, "bucket", "n", total).where(F.col(order) > F.col("winner")).select(order).distinct()
-        settled = _cut(accepted.withColumn("near_dup", F.lit(False)).unionByName(hit.withColumn("near_dup", F.lit(True))))
+        settled = cut(accepted.withColumn("near_dup", F.lit(False)).unionByName(hit.withColumn("near_dup", F.lit(True))))
         done.append(settled)
-        state = _cut(state.join(settled.select(order), order, "left_anti"))
+        state = cut(state.join(settled.select(order), order, "left_anti"))
         left = state.count()
     out = keys.select(order, F.lit(False).alias("near_dup")).limit(0)
     for settled in done:

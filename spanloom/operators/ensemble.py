@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.metrics import KEY, by_run, with_ratios
-from spanloom.operators.spans import tags, without_overlaps
+from spanloom.operators.spans import LABELS, PREFIXES, tags, without_overlaps
 
 
 def majority(runs: int) -> int:
@@ -21,11 +22,11 @@ def votes(runs: DataFrame) -> DataFrame:
 
 
 def elected(tally: DataFrame, threshold: int, prefer_votes: bool = True) -> DataFrame:
-    """Spans with ``threshold`` votes, without overlaps: more votes first, or longer spans first."""
+    """Spans with ``threshold`` votes, without overlaps: more votes first and then longer ones, or the other way round."""
     rows = tally.where(F.col("n") >= threshold)
     one = F.collect_list(F.struct("label", "start", "end", F.col("n").cast("long").alias("n")))
-    first = (lambda s: s["n"]) if prefer_votes else None
-    kept = rows.groupBy("doc_id").agg(one.alias("spans")).select("doc_id", F.explode(without_overlaps(F.col("spans"), first)).alias("s"))
+    chosen = without_overlaps(F.col("spans"), *([lambda s: s["n"]] if prefer_votes else [None, lambda s: s["n"]]))
+    kept = rows.groupBy("doc_id").agg(one.alias("spans")).select("doc_id", F.explode(chosen).alias("s"))
     return kept.select("doc_id", "s.label", "s.start", "s.end")
 
 
@@ -47,19 +48,17 @@ def best(rows: DataFrame, by: str = "f1", order: str = "threshold") -> DataFrame
     return rows.orderBy(F.desc(by), order).limit(1)
 
 
+#: what a prefix says of its token: 0 the first of a span, 1 a further one
+ROLE = {"B": 0, "U": 0, "I": 1, "L": 1}
+
+
 def projection(source: str, target: str) -> dict[str, str]:
-    """Tag of ``source`` to its tag of ``target``: itself, or ``U`` to ``B`` and ``L`` to ``I``."""
-    have, fold = set(tags(target)), {"U": "B", "L": "I"}
-    out = {}
-    for tag in tags(source):
-        prefix, dash, label = tag.partition("-")
-        to = tag if tag in have else f"{fold.get(prefix, prefix)}{dash}{label}"
-        if to not in have:
-            raise ValueError(f"{tag} has no place in {target}")
-        out[tag] = to
-    if have - set(out.values()):
-        raise ValueError(f"{source} cannot fill {sorted(have - set(out.values()))}")
-    return out
+    """Tag of ``source`` to its tag of ``target``: prefixes that ``target`` lacks go to its prefix of the same role."""
+    have = PREFIXES[target]
+    to = {p: p if p in have else next(x for x in have if ROLE[x] == ROLE[p]) for p in PREFIXES[source]}
+    if set(to.values()) != set(have):
+        raise ValueError(f"{source} does not fill the prefixes of {target}")
+    return dict(zip(tags(source), ["O", *(f"{to[p]}-{label}" for label in LABELS for p in PREFIXES[source])]))
 
 
 def projected(probs: DataFrame, source: str, target: str, *keys: str) -> DataFrame:
@@ -85,32 +84,49 @@ def blend(parts: DataFrame, weights: dict) -> DataFrame:
     return parts.groupBy("doc_id", "start", "end", "tag").agg(F.when(weight > 0, total / weight).otherwise(0.0).alias("p"))
 
 
-def top_tag(probs: DataFrame, order: list[str]) -> DataFrame:
+def top_tag(probs: DataFrame, order: list[str], *keys: str) -> DataFrame:
     """The likeliest tag of each token; ties go to the tag named first."""
     place = F.array_position(F.array(*[F.lit(t) for t in order]), F.col("tag"))
     best_tag = F.max_by("tag", F.struct(F.col("p"), -place))
-    return probs.groupBy("doc_id", "start", "end").agg(best_tag.alias("tag"))
+    return probs.groupBy(*keys, "doc_id", "start", "end").agg(best_tag.alias("tag"))
+
+
+def coarsest(models: DataFrame, *keys: str) -> DataFrame:
+    """``bio`` if any model (of the keys) uses it, else ``bilou``."""
+    return models.groupBy(*keys).agg(F.when(F.bool_or(F.col("scheme") == "bio"), "bio").otherwise("bilou").alias("scheme"))
+
+
+def blend_all(parts: DataFrame, trials: list[dict]) -> DataFrame:
+    """``blend`` under every one of a few weightings in one job; ``trial`` is its place in the list."""
+    table = F.array(*[F.create_map(*[F.lit(x) for k, v in t.items() for x in (k, float(v))]) for t in trials])
+    each = parts.select("*", F.posexplode(table).alias("trial", "weights"))
+    w = F.element_at("weights", F.col("model"))
+    total, weight = F.sum(w * F.col("total")), F.sum(w * F.col("weight"))
+    return each.groupBy("trial", "doc_id", "start", "end", "tag").agg(F.when(weight > 0, total / weight).otherwise(0.0).alias("p"))
+
 
+def weight_search(
+    score: Callable[[dict], float] | None, models: list, values=(0, 0.5, 1, 2, 3, 4), passes: int = 2, least: float = 1e-6,
+    score_all: Callable[[list[dict]], list[float]] | None = None,
+) -> tuple[dict, float]:
+    """Coordinate search over model weights from all ones, a weight at a time with all of its values.
 
-def coarsest(models: DataFrame) -> DataFrame:
-    """``bio`` if any model uses it, else ``bilou``."""
-    return models.agg(F.when(F.bool_or(F.col("scheme") == "bio"), "bio").otherwise("bilou").alias("scheme"))
+    ``score_all`` scores a list of weightings in one job; ``score`` does one at a time. A value
+    is taken if it beats the best so far by ``least``; a pass without any ends the search.
+    """
+    many = score_all or (lambda trials: [score(t) for t in trials])
 
+    def improve(state: tuple[dict, float], model) -> tuple[dict, float]:
+        trials = [t for t in ({**state[0], model: float(v)} for v in values) if any(t.values())]
+        return reduce(lambda best, got: got if got[1] > best[1] + least else best, zip(trials, many(trials)), state)
 
-def weight_search(score: Callable[[dict], float], models: list, values=(0, 0.5, 1, 2, 3, 4), passes: int = 2, least: float = 1e-6) -> tuple[dict, float]:
-    """Coordinate descent over model weights from all ones; ``score`` runs a query over kept parts."""
-    now = dict.fromkeys(models, 1.0)
-    top = score(now)
+    start = dict.fromkeys(models, 1.0)
+    state = start, many([start])[0]
     for _ in range(passes):
-        moved = False
-        for model in models:
-            for value in values:
-                trial = now | {model: float(value)}
-                if value != now[model] and any(trial.values()) and (got := score(trial)) > top + least:
-                    now, top, moved = trial, got, True
-        if not moved:
+        before, state = state, reduce(improve, models, state)
+        if state == before:
             break
-    return now, top
+    return state
 
 
 def run_scores(gold: DataFrame, runs: DataFrame) -> DataFrame:

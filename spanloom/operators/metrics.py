@@ -128,3 +128,34 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 def perplexity(loss: Column) -> Column:
     return F.exp(F.least(loss, F.lit(20.0)))
+
+
+def text_differences(gold: DataFrame, predicted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Keys whose prediction carries a text, and another one than the gold record."""
+    g, p = gold.select(key, F.col("text").alias("gold_text")), predicted.where("text is not null").select(key, "text")
+    return g.join(p, key).where(~F.col("text").eqNullSafe(F.col("gold_text"))).select(key)
+
+
+def zipped(left: DataFrame, right: DataFrame, place: str = "pos") -> DataFrame:
+    """Rows of both sides by place, with ``problem`` where only one side has it: missing or extra."""
+    a, b = (x.select(place, F.struct(*[c for c in x.columns if c != place]).alias(name)) for x, name in ((left, "left"), (right, "right")))
+    problem = F.when(F.col("right").isNull(), "missing").when(F.col("left").isNull(), "extra")
+    return a.join(b, place, "full_outer").withColumn("problem", problem)
+
+
+def response_problems(request: DataFrame, response: DataFrame, key: str = "hash", place: str = "pos") -> DataFrame:
+    """``(pos, problem)`` of places where the response does not answer the request: missing, extra or order."""
+    both = zipped(request.select(place, key), response.select(place, key), place)
+    other = F.when(~F.col(f"left.{key}").eqNullSafe(F.col(f"right.{key}")), "order")
+    return both.select(place, F.coalesce("problem", other).alias("problem")).where("problem is not null")
+
+
+def by_size(rows: DataFrame, size: str = "n", *ties: str) -> DataFrame:
+    """Buckets of a report, the largest first."""
+    return rows.orderBy(F.desc(size), *ties)
+
+
+def most_common(rows: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """Keys with their counts, the most frequent first, ties by key; the first ``n`` of them if given."""
+    counts = by_size(rows.groupBy(*keys).agg(F.count("*").alias("n")), "n", *keys)
+    return counts if n is None else counts.limit(n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -102,15 +103,65 @@ def viterbi_path(p: np.ndarray, category: np.ndarray, log_t: np.ndarray) -> np.n
     return np.array(path[::-1])
 
 
+def document_tokens(windows: DataFrame) -> DataFrame:
+    """``(doc_id, pos, start, end)``: the distinct tokens of a document's overlapping windows in order, special ones left out."""
+    rows = windows.where("start < end").select("doc_id", "start", "end").distinct()
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end")) - 1)
+
+
 def viterbi(tokens: DataFrame, log_t: np.ndarray, tag_names: list[str]) -> DataFrame:
-    """``(doc_id, start, end, tag)`` from ``(doc_id, start, end, category int, probs array)``; a document is one group."""
+    """``(doc_id, start, end, tag)`` from ``(doc_id, start, end, category int, probs array)``.
+
+    Tokens are dealt by document and sorted; a batch holds many documents, and what a batch
+    cuts off waits for the next.
+    """
 
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end"])
-        path = viterbi_path(np.stack(pdf["probs"].to_numpy()), pdf["category"].to_numpy(), log_t)
+    def decoded(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["doc_id"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
+        probs, category = np.stack(pdf["probs"].to_numpy()), pdf["category"].to_numpy()
+        path = [k for s, e in zip(cuts[:-1], cuts[1:]) for k in viterbi_path(probs[s:e], category[s:e], log_t)]
         return pdf[["doc_id", "start", "end"]].assign(tag=[tag_names[k] for k in path])
 
-    return tokens.groupBy("doc_id").applyInPandas(f, "doc_id long, start long, end long, tag string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = batch["doc_id"].to_numpy()
+            last = int(np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])[-1])
+            if held and (last or held[-1]["doc_id"].iloc[-1] != ids[0]):
+                yield decoded(pd.concat([*held, batch.iloc[:last]]))
+                held = []
+            elif last:
+                yield decoded(batch.iloc[:last])
+            held.append(batch.iloc[last:] if last else batch)
+        if held:
+            yield decoded(pd.concat(held))
+
+    dealt = tokens.select("doc_id", "start", "end", "category", "probs").repartition("doc_id").sortWithinPartitions("doc_id", "start", "end")
+    return dealt.mapInPandas(run, "doc_id long, start long, end long, tag string")
+
+
+def empty_predictor(batch: pd.DataFrame) -> list[list[dict]]:
+    """No spans for any record: what stands in where there is no model."""
+    return [[] for _ in range(len(batch))]
+
+
+def predicted(records: DataFrame, predictor: Callable[[pd.DataFrame], list[list[dict]]] = empty_predictor, key: str = "hash", batch: int = 1024) -> DataFrame:
+    """``(key, entities)``: ``predictor`` takes a batch of records (key and text) and gives their spans in the same order."""
+    schema = f"{key} {records.schema[key].dataType.simpleString()}, entities array<struct<label:string,start:int,end:int>>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(0, len(rows), batch):
+                part = rows.iloc[at : at + batch]
+                got = predictor(part)
+                if len(got) != len(part):
+                    raise ValueError(f"{len(got)} answers for {len(part)} records")
+                yield pd.DataFrame({key: part[key].to_numpy(), "entities": pd.Series(got, dtype=object).to_numpy()})
+
+    return records.select(key, "text").mapInPandas(run, schema)
 
 
 def transition_array(rows: DataFrame, scheme: str, weight: float = 1.0) -> np.ndarray:

@@ -7,6 +7,7 @@ meet on the document, so that a range condition only compares spans of one docum
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import takewhile
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 LABELS = ("ORG", "NAME", "GEO")
 PREFIXES = {"bio": ("B", "I"), "bilou": ("B", "I", "L", "U")}
@@ -139,20 +140,44 @@ def decode(tagged: DataFrame) -> DataFrame:
     return inside.groupBy("doc_id", "island", "name").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", F.col("name").alias("label"), "start", "end")
 
 
-def without_overlaps(spans: Column, first: Column | None = None) -> Column:
+SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("label", StringType())]))
+
+
+@F.arrow_udf(SPANS)
+def apart(ranked: pa.Array) -> pa.Array:
+    """Of spans in order of preference, those that no earlier kept one overlaps, by start; kept ones are searched by bisection."""
+    flat = pc.list_flatten(ranked)
+    start, end = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+    sizes = pc.fill_null(pc.list_value_length(ranked), 0).to_numpy(zero_copy_only=False)
+    chosen: list[int] = []
+    counts: list[int] = []
+    at = 0
+    for n in sizes.tolist():
+        kept: list[tuple[int, int, int]] = []
+        for k in range(at, at + n):
+            span = (int(start[k]), int(end[k]), k)
+            place = bisect_left(kept, span)
+            if (place == 0 or kept[place - 1][1] <= span[0]) and (place == len(kept) or kept[place][0] >= span[1]):
+                kept.insert(place, span)
+        chosen += [k for _, _, k in kept]
+        counts.append(len(kept))
+        at += n
+    values = pc.take(flat, pa.array(chosen, pa.int64()))
+    fields = [pc.struct_field(values, "start").cast(pa.int64()), pc.struct_field(values, "end").cast(pa.int64()), pc.struct_field(values, "label").cast(pa.string())]
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts, dtype=np.int64)].astype(np.int32)), pa.StructArray.from_arrays(fields, ["start", "end", "label"]))
+
+
+def without_overlaps(spans: Column, first: Column | None = None, second: Column | None = None) -> Column:
     """Greedy choice from an array of ``(label, start, end)`` structs: the best first, then whatever does not touch it.
 
-    Best is longest, then leftmost, then by label; ``first``, a function of a struct, ranks before that.
+    Best is longest, then leftmost, then by label; ``first``, a function of a struct whose
+    highest value wins, ranks before the length, and ``second`` right behind it.
     """
+    higher = lambda f, s: [-f(s)] if f is not None else []
     rank = lambda s: F.struct(
-        *([-first(s)] if first is not None else []), (s["start"] - s["end"]).alias("size"), s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")
+        *higher(first, s), (s["start"] - s["end"]).alias("size"), *higher(second, s), s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")
     )
-    order = F.array_sort(F.transform(F.array_distinct(spans), rank))
-    empty = F.filter(order, lambda s: F.lit(False))
-    kept = F.aggregate(
-        order, empty, lambda acc, s: F.when(F.exists(acc, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])), acc).otherwise(F.concat(acc, F.array(s)))
-    )
-    return F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))))
+    return apart(F.array_sort(F.transform(F.array_distinct(spans), rank)))
 
 
 # fixed values: signs dropped at a span's ends, bracket pairs, and the longest suffix that is taken in

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
@@ -213,8 +214,27 @@ def argmax_decode(spark, d):
 @query("viterbi_decode")
 def viterbi_decode(spark, d):
     log_t = sequence.transition_array(sequence.log_transitions(transitions(spark, d), "bilou"), "bilou", weight=0.4)
-    rows = mention_probs(spark, d, 13).withColumn("category", F.lit(0))
-    return sequence.viterbi(rows, log_t, spans.tags("bilou"))
+    kinds = F.array(*map(F.lit, sequence.CATEGORIES))
+    rows = mention_probs(spark, d, 13)
+    cats = sequence.categories(rows.select("doc_id", "start", "end"), D.docs(spark, d))
+    cats = cats.select("doc_id", "start", "end", (F.array_position(kinds, F.col("category")) - 1).cast("int").alias("category"))
+    return sequence.viterbi(rows.join(cats, ["doc_id", "start", "end"]), log_t, spans.tags("bilou"))
+
+
+@query("document_tokens", D.with_base("SELECT doc_id, count(*) AS n, max(e) AS last FROM (SELECT DISTINCT doc_id, start, \"end\" AS e FROM tok) GROUP BY doc_id"))
+def document_tokens(spark, d):
+    """The tokens of overlapping windows, each once."""
+    tok = D.tokens(spark, d)
+    win = sequence.windows(tok, 128, 30)
+    inside = tok.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).join(win, "doc_id").where("i >= first and i < last")
+    return sequence.document_tokens(inside.select("doc_id", "win", "start", "end")).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end").alias("last"))
+
+
+@query("augmented_epoch")
+def augmented_epoch(spark, d):
+    """Swap, then case, of an epoch; without SQL for the engine's hash."""
+    m = D.mentions(spark, d)
+    return augment.augmented(D.docs(spark, d), m, augment.numbered(m), seed=7, epoch=2)[1]
 
 
 WINDOW_P = f"""wp AS (SELECT doc_id, start, "end", t AS tag, ((length(w) * 3 + win * 5 + 5 * t) % 11 + 1) / 12.0::DOUBLE AS p
@@ -307,12 +327,13 @@ def blend_weight_search(spark, d):
     parts = grid_parts(spark, d).persist()
     gold = D.gold(spark, d).where("label = 'ORG'").select("doc_id", "start").distinct().withColumn("gold", F.lit(True))
 
-    def score(weights: dict) -> float:
-        got = ensemble.top_tag(ensemble.blend(parts, weights), list(GRID_TAGS)).join(gold, ["doc_id", "start"], "left")
+    def scores(trials: list[dict]) -> list[float]:
+        got = ensemble.top_tag(ensemble.blend_all(parts, trials), list(GRID_TAGS), "trial").join(gold, ["doc_id", "start"], "left")
         hit = (F.col("tag") != "O").eqNullSafe(F.coalesce("gold", F.lit(False)))
-        return float(got.agg(F.avg(hit.cast("int"))).first()[0] or 0.0)
+        by = dict(got.groupBy("trial").agg(F.avg(hit.cast("int"))).collect())  # one row a trial
+        return [float(by.get(k) or 0.0) for k in range(len(trials))]
 
-    best, top = ensemble.weight_search(score, ["a", "b"], values=(0, 1, 3), passes=1)
+    best, top = ensemble.weight_search(None, ["a", "b"], score_all=scores)
     parts.unpersist()
     return spark.createDataFrame([(best["a"], best["b"], top)], "a double, b double, score double")
 
@@ -352,7 +373,7 @@ def gazetteer_grouping_sets(spark, d):
 )
 def gazetteer_lookup(spark, d):
     m = D.mentions(spark, d)
-    return augment.candidates(m, augment.gazetteer(m)).groupBy("label", "level").agg(F.count("*").alias("n"), F.sum(F.size("forms")).alias("forms"))
+    return augment.candidates(m, augment.numbered(m)).groupBy("label", "level").agg(F.count("*").alias("n_"), F.sum("n").alias("forms")).withColumnRenamed("n_", "n")
 
 
 REPLACED = "lower(mention) || repeat('x', (start % 4)::INTEGER)"
@@ -372,7 +393,7 @@ def swap_offset_rewrite(spark, d):
 @query("entity_swap")
 def entity_swap(spark, d):
     m = D.mentions(spark, d)
-    s = augment.swap(m, augment.gazetteer(m), seed=7)
+    s = augment.swap(m, augment.numbered(m), seed=7)
     return augment.swapped_text(D.docs(spark, d).select("doc_id", "text"), s.select("doc_id", "start", "end", "replacement"))
 
 

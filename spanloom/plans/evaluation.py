@@ -211,4 +211,4 @@ def weighted_loss(spark, d):
 @query("coarsest_scheme", "SELECT source, CASE WHEN bool_or(lang = 'fr') THEN 'bio' ELSE 'bilou' END AS scheme FROM documents GROUP BY source")
 def coarsest_scheme(spark, d):
     rows = D.docs(spark, d).select("source", F.when(F.col("lang") == "fr", "bio").otherwise("bilou").alias("scheme"))
-    return rows.groupBy("source").agg(F.when(F.bool_or(F.col("scheme") == "bio"), "bio").otherwise("bilou").alias("scheme"))
+    return ensemble.coarsest(rows, "source")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.operators.spans import LABELS
+
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
     """One JSON object a line, characters as they are, null fields left out."""
@@ -33,3 +37,33 @@ def predictions(records: DataFrame, spans: DataFrame, key: str = "doc_id") -> Da
     shaped = F.transform("s", lambda x: F.struct(x["label"].alias("label"), x["start"].alias("start"), x["end"].alias("end")))
     empty = F.array().cast("array<struct<label:string,start:bigint,end:bigint>>")
     return records.select(key).join(per, key, "left").select(key, F.coalesce(shaped, empty).alias("entities"))
+
+
+def rendered(rows: DataFrame, digits: int = 4) -> str:
+    """The few rows of a report as an aligned text table: numbers to the right, null as a dash."""
+    def cell(x) -> str:
+        return "-" if x is None else f"{x:.{digits}f}" if isinstance(x, float) else str(x)
+
+    table = [list(map(cell, r)) for r in rows.collect()]
+    right = [t not in ("string", "boolean") for _, t in rows.dtypes]
+    width = [max(map(len, column)) for column in zip(rows.columns, *table)]
+    line = lambda cells: "  ".join(c.rjust(w) if r else c.ljust(w) for c, w, r in zip(cells, width, right)).rstrip()
+    return "\n".join([line(rows.columns), *map(line, table)])
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The Parquet table at ``path``, made and written first where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def contract(text: Column, entities: Column) -> Column:
+    """The entities as the contract has them: label, start and end only, known labels inside the text, sorted, each once."""
+    fine = F.filter(entities, lambda s: s["label"].isin(*LABELS) & (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)))
+    order = F.array_sort(F.array_distinct(F.transform(fine, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))))
+    return F.transform(order, lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end")))
