@@ -7,7 +7,6 @@ one slice plus the longest single text, whatever the batch holds.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -17,6 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.checkpoint import cut, shared_folder  # noqa: F401
+from spanloom.operators.joins import joined_by_count  # noqa: F401
+
 SLICE_BYTES = 2 << 20
 #: ASCII white space, and bytes with A-Z in lower case
 WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
@@ -27,42 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder (``spark.checkpoint.dir``), which all executors share.
-
-    Only where the session names none, as in tests on one machine, is a temporary one made.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared checkpoint folder and read it back."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
     """``df``, cut off, and marked for broadcast if it has ``rows`` rows at most (of a few numbers each)."""
     df = cut(df)
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def joined_by_count(rows: DataFrame, counted: DataFrame, key: str, n: str, total: int, least: int = 4096, most: int = 10_000) -> DataFrame:
-    """``rows`` joined with ``counted`` on ``key``, without the rows of a frequent key in one task.
-
-    ``counted`` has one row a key, and ``n`` says how many of ``rows`` have it, ``total`` at
-    most in all. So fewer than ``most`` keys have over ``total / most`` rows: these few are
-    broadcast, a list of bounded size, and the others are joined by key.
-    """
-    limit = max(least, total // most)
-    hot = F.broadcast(counted.where(F.col(n) > limit))
-    cold = rows.join(hot.select(key), key, "left_anti").join(counted.where(F.col(n) <= limit), key)
-    return rows.join(hot, key).select(cold.columns).unionByName(cold)
-
-
 def keep_rows(docs: DataFrame, verdict: Callable[[pa.Array], np.ndarray], text: str = "text") -> DataFrame:
     """The rows, with all of their columns, whose text ``verdict`` accepts; without a shuffle."""
 

@@ -11,7 +11,8 @@ pieces is that path exactly if every two neighbours stand as they are when merge
 own, and each position has one last piece: so an edge relaxes its end if it is compatible
 with the last piece at its start. Characters that no piece covers fall back to bytes.
 
-Defined results: null and empty texts have no pieces; repeated rows give repeated results;
+Defined results: null and empty texts have no pieces; texts, words and runs of any length
+are encoded whole; of two equally good merges the left one is first; repeated rows give repeated results;
 an empty table gives no rows; further columns of the input are not read. Texts that hold
 U+2581 decode with a space in its place, as the format itself has it.
 """

@@ -8,9 +8,13 @@ the larger of the two neighbours' values at a suffix is the length of the longes
 repeated substring that starts there, which is where the LCP intervals peak. The
 union of these spans is the repeated part of a text.
 
-Defined results: null and empty texts have no words (``n_words`` 0, rejected by the
-base rule); repeated rows give repeated results; an empty table gives no rows; further
-columns of the input are not read.
+The intervals themselves are not listed: the peak at a suffix is that of its interval, so
+the spans and the longest repeat are the same.
+
+Defined results: null and empty texts have no words (``n_words`` 0, rejected by the base
+rule); texts of any length are taken whole, alone in their slice where they are longer than
+one; repeated rows give repeated results; a covered share or a repeat equal to its limit is
+kept; an empty table gives no rows; further columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ of windows of each, both by hash. Labels are of documents, so windows of a toxic
 that the network itself finds clean after the first pass count as clean from then on,
 except its highest one.
 
-Defined results: null and empty texts get the score of an empty window; repeated rows get
-equal scores; rows with a null doc_id are scored and count as neither held out nor used
+Defined results: null and empty texts get the score of an empty window; texts of any length
+are scored in all of their windows; repeated rows get equal scores; a score of one half is
+toxic; documents of equal hash are taken in the order of their ids; rows with a null doc_id are scored and count as neither held out nor used
 in training; where a class has no labelled rows the score is the share of toxic ones;
 labels that are null are not used; several labels of one document all count; an empty
 table gives no rows; further columns of the input are not read.

@@ -10,8 +10,10 @@ A logistic scorer over hashed words and word shapes is then fitted to the poster
 labels of a bounded sample of texts, chosen by hash, and scores every whole text.
 
 Defined results: null and empty texts have no words, are voted on as such and scored by
-the bias alone; repeated rows get equal scores; an empty table gives no rows; where all
-posteriors agree the scorer learns that constant; further columns of the input are not read.
+the bias alone; texts of any length are measured and scored whole; repeated rows get equal
+scores; a score equal to the threshold is kept, and a value equal to a labeller's limit has
+its vote; an empty table gives no rows; where all posteriors agree the scorer learns that
+constant; further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -251,7 +253,8 @@ def fit(docs: DataFrame, sample: int = 4000, seed: int = 17) -> QualityModel:
     """EM over the votes of all texts; the scorer from about ``sample`` of them.
 
     A text is in the sample if its hash falls under ``sample`` over the number of texts,
-    and the sample is cut at twice ``sample`` rows. Only pattern counts and the sample's
+    and of the sample the lowest twice ``sample`` hashes count, whatever the order of rows.
+    Only pattern counts and the sample's
     sparse features reach the driver.
     """
 
@@ -261,7 +264,8 @@ def fit(docs: DataFrame, sample: int = 4000, seed: int = 17) -> QualityModel:
     got = map_slices(docs, ["text"], votes, "pattern long").groupBy("pattern").count().toPandas()
     weak = estimate(got["pattern"].to_numpy(np.int64), got["count"].to_numpy(np.float64))
     total = int(got["count"].sum())
-    chance = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, sample / max(total, 1)) * (1 << 30))
+    place = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(seed)), F.lit(1 << 30)).alias("place")
+    chosen = docs.select("text", place).where(F.col("place") < int(min(1.0, sample / max(total, 1)) * (1 << 30)))
 
     def features(part: pa.RecordBatch) -> dict:
         w = Words(part.column("text"))
@@ -271,10 +275,10 @@ def fit(docs: DataFrame, sample: int = 4000, seed: int = 17) -> QualityModel:
         ends = np.searchsorted(key, np.arange(w.n + 1) * COLUMNS)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((key % COLUMNS).astype(np.int32)))
         times = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.astype(np.int32)))
-        return {"pattern": vote(measures(w)), "n": counts(w.rows, w.n), "at": lists, "times": times}
+        return {"place": part.column("place"), "pattern": vote(measures(w)), "n": counts(w.rows, w.n), "at": lists, "times": times}
 
-    rows = map_slices(docs.where(chance), ["text"], features, "pattern long, n long, at array<int>, times array<int>")
-    chosen = rows.limit(2 * sample).toPandas()
+    rows = map_slices(chosen, ["text", "place"], features, "place long, pattern long, n long, at array<int>, times array<int>")
+    chosen = rows.orderBy("place", "pattern", "n", "at", "times").limit(2 * sample).toPandas()
     sizes = np.array([len(x) for x in chosen["at"]], np.int64)
     row = np.repeat(np.arange(len(chosen)), sizes)
     column = np.concatenate([*chosen["at"], np.zeros(0, np.int32)]).astype(np.int64)
