@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 The distinct units of a batch (a run of spaces with the word behind it: no piece reaches
-across) are joined into one text, and a suffix array over their first characters is
+across, and equal units have equal pieces) are joined into one text, and a suffix array over their first characters is
 built. Every piece of the vocabulary is searched in it by bisection; the range that it
 finds are the piece's occurrences, so all ranges together are the edges of a lattice over
 the text. Edges are sorted by the position where they end and relaxed in that order.
@@ -26,17 +26,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import map_slices, table, trim
+from spanloom.llm.common import map_slices, table
 from spanloom.llm.registry import QUERIES
 
 SPACE = "▁"
+#: bytes of text that one suffix array indexes; a longer text is a batch of its own
+BATCH = 3 << 20
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, decoded_crc32 long, round_trip boolean"
 
 
 class Vocabulary:
     """Pieces of a byte-pair model with identity normalisation, a leading space and byte fallback."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = 4_000_000) -> None:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -57,6 +59,7 @@ class Vocabulary:
         self.keys = packed([self.piece[k] for k in self.normal], self.width)
         self.top = upper([self.piece[k] for k in self.normal], self.width)
         self.size = np.array([len(x) for x in self.piece])
+        self.most = most
         self.checked = np.zeros(0, np.int64)  # pairs whose verdict is known
         self.verdict = np.zeros(0, bool)
 
@@ -98,6 +101,9 @@ class Vocabulary:
             new = new[np.r_[True, new[1:] != new[:-1]]]
             ends = zip((new // len(self.piece)).tolist(), (new % len(self.piece)).tolist())
             got = np.array([self.merge(self.piece[a] + self.piece[b]) == [a, b] for a, b in ends], bool)
+            if len(self.checked) > self.most:  # known verdicts only save time
+                self.checked, self.verdict = np.zeros(0, np.int64), np.zeros(0, bool)
+                return self.compatible(left, right)
             to = np.searchsorted(self.checked, new)
             self.checked, self.verdict = np.insert(self.checked, to, new), np.insert(self.verdict, to, got)
             at = np.searchsorted(self.checked, key)
@@ -122,7 +128,7 @@ def upper(texts: list[str], size: int) -> np.ndarray:
 
 def as_keys(grid: np.ndarray) -> np.ndarray:
     three = np.ascontiguousarray(grid.astype(">u4").view(np.uint8).reshape(*grid.shape, 4)[:, :, 1:])
-    return three.reshape(len(grid), -1).view(f"V{3 * grid.shape[1]}")[:, 0]
+    return three.reshape(len(grid), 3 * grid.shape[1]).view(f"V{3 * grid.shape[1]}")[:, 0]
 
 
 class Lattice:
@@ -130,41 +136,34 @@ class Lattice:
 
     def __init__(self, units: list[str], vocabulary: Vocabulary) -> None:
         v = self.vocabulary = vocabulary
-        self.units = units
-        self.length = np.array([len(u) for u in units])
+        self.length = np.fromiter(map(len, units), np.int64, len(units))
         self.base = np.cumsum(self.length) - self.length
-        text = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.text = text = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
         n = len(text)
-        ends = np.repeat(self.base + self.length, self.length)
+        self.offset = np.arange(n) - np.repeat(self.base, self.length)  # of each character in its unit
+        left = np.repeat(self.length, self.length) - self.offset
         # only as many characters of a suffix matter as the longest piece has
-        at = np.arange(n)[:, None] + np.arange(v.width)
-        grid = np.where(at < ends[:, None], text[np.minimum(at, max(n - 1, 0))] + 1, 0).astype(np.uint32)
+        padded = np.zeros(n + v.width, np.uint32)
+        padded[:n] = text + 1
+        grid = np.lib.stride_tricks.sliding_window_view(padded, v.width)[:n] * (np.arange(v.width) < left[:, None])
         grid[:, -1] = 0
         array, keys = sorted_suffixes(grid)
         low, high = bisect(keys, v.keys), bisect(keys, v.top)
         found = high - low
         piece = np.repeat(v.normal, found)
         start = array[np.repeat(low, found) + np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found)]
-        end = start + v.size[piece]
-        by = np.lexsort((-v.size[piece], end - self.base[self._unit(start)]))
-        self.piece, self.start, self.end = piece[by], start[by], end[by]
-        self.text = text
-
-    def _unit(self, position: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.base, position, "right") - 1
-
-    def relax(self) -> list[np.ndarray]:
-        """Ids of every unit: bytes of uncovered characters as negative numbers minus one."""
-        v, n = self.vocabulary, len(self.text)
-        unit = self._unit(np.arange(n)) if n else np.zeros(0, np.int64)
-        offset = np.arange(n) - self.base[unit]
+        depth = self.offset[start] + v.size[piece]
+        by = np.argsort(depth * v.width - v.size[piece], kind="stable")
+        self.piece, self.start, self.depth = piece[by], start[by], depth[by] - 1
+
+    def relax(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, and where each unit's end; bytes stand for uncovered characters."""
+        v, n, offset = self.vocabulary, len(self.text), self.offset
         covered = np.zeros(n, bool)
-        single = v.size[self.piece] == 1
-        covered[self.start[single]] = True
+        covered[self.start[v.size[self.piece] == 1]] = True
         last = np.full(n, -2)  # piece that ends behind each character: -2 none yet, -1 an uncovered one
-        into = self.end - 1
-        depth = offset[into] if n else np.zeros(0, np.int64)
-        edge_cuts = np.searchsorted(depth, np.arange(int(self.length.max(initial=0)) + 1))
+        into = self.start + v.size[self.piece] - 1
+        edge_cuts = np.searchsorted(self.depth, np.arange(int(self.length.max(initial=0)) + 1))
         by_offset = np.argsort(offset, kind="stable")
         cuts = np.searchsorted(offset[by_offset], np.arange(len(edge_cuts)))
         for d in range(len(edge_cuts) - 1):  # all units side by side, one position after the other
@@ -177,19 +176,36 @@ class Lattice:
             ask = np.flatnonzero(before >= 0)
             fine[ask] = v.compatible(before[ask], piece[ask])
             last[to[fine]] = piece[fine]
-        out = []
-        for k, unit_text in enumerate(self.units):
-            at, ids = int(self.base[k] + self.length[k]) - 1, []
-            while at >= self.base[k]:
-                p = int(last[at])
-                if p < 0:
-                    ids += [int(v.byte[b]) for b in reversed(chr(self.text[at]).encode())]
-                    at -= 1
-                else:
-                    ids.append(p)
-                    at -= int(v.size[p])
-            out.append(np.array(ids[::-1], "<u4"))
-        return out
+        return self._walk(last)
+
+    def _walk(self, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From every unit's end back to its start, all units side by side."""
+        v = self.vocabulary
+        unit = np.flatnonzero(self.length > 0)
+        at = self.base[unit] + self.length[unit] - 1
+        owner, place, found = [], [], []
+        while len(unit):
+            p = last[at]
+            owner.append(unit)
+            place.append(at)
+            found.append(p)
+            at = at - np.where(p >= 0, v.size[p], 1)
+            on = at >= self.base[unit]
+            unit, at = unit[on], at[on]
+        if not owner:
+            return np.zeros(0, "<u4"), np.zeros(len(self.length), np.int64)
+        place, found, owner = np.concatenate(place), np.concatenate(found), np.concatenate(owner)
+        by = np.argsort(place, kind="stable")
+        place, ids, owner = place[by], found[by], owner[by]
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):  # characters that no piece covers, as bytes
+            raw = [chr(c).encode() for c in self.text[place[bare]].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[bare] = list(map(len, raw))
+            hidden = np.repeat(ids < 0, times)
+            ids, owner = np.repeat(ids, times), np.repeat(owner, times)
+            ids[hidden] = v.byte[np.frombuffer(b"".join(raw), np.uint8)]
+        return ids.astype("<u4"), np.cumsum(np.bincount(owner, minlength=len(self.length)))
 
 
 def sorted_suffixes(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +213,12 @@ def sorted_suffixes(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, width = grid.shape
     if not n:
         return np.zeros(0, np.int64), as_keys(grid)
-    _, rank = np.unique(grid[:, 0], return_inverse=True)
-    order = np.argsort(rank, kind="stable")
-    step = 1
+    # three code points fit one number; from there on lengths double
+    first = grid[:, :3].astype(np.int64) @ (np.int64(1) << 21 * np.arange(3)[::-1])[: min(width, 3)]
+    order = np.argsort(first, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.r_[False, first[order][1:] != first[order][:-1]])
+    step = 3
     while step < width:
         size = np.bincount(rank)
         tied = np.flatnonzero(size[rank] > 1)
@@ -245,11 +264,10 @@ def bisect(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Codec:
-    """Encodes texts through the lattice of their distinct units; keeps a bounded cache of units."""
+    """Encodes batches of texts, each through the lattice of its own distinct units; pairs' verdicts are kept."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
-        self.vocabulary, self.most = Vocabulary(path), most
-        self.cache: dict[str, bytes] = {}
+    def __init__(self, path: str) -> None:
+        self.vocabulary = Vocabulary(path)
 
     def units(self, text: str) -> list[str]:
         """The text with its leading space, cut before each run of spaces; without the last space of a run."""
@@ -267,14 +285,16 @@ class Codec:
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        trim(self.cache, self.most)
         cut = [self.units(t) if t else [] for t in texts]
-        new = list(set().union(*cut).difference(self.cache))
-        if new:
-            found = Lattice([SPACE + u.replace(" ", SPACE) for u in new], self.vocabulary).relax()
-            self.cache.update(zip(new, (x.tobytes() for x in found)))
+        new = list(set().union(*cut))
+        if not new:
+            yield from [b""] * len(cut)
+            return
+        ids, ends = Lattice([SPACE + u.replace(" ", SPACE) for u in new], self.vocabulary).relax()
+        raw, stops = ids.tobytes(), (4 * ends).tolist()
+        known = dict(zip(new, (raw[a:b] for a, b in zip([0, *stops], stops))))
         for units in cut:
-            yield b"".join(map(self.cache.__getitem__, units))
+            yield b"".join(map(known.__getitem__, units))
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids, without the leading space; bytes that are no UTF-8 become U+FFFD."""
@@ -299,7 +319,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in codec(path)(part.column("text").to_pylist())]
         return {"doc_id": part.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))}
 
-    return map_slices(docs, ["doc_id", "text"], f, "doc_id long, ids array<int>", limit=2 << 20)
+    return map_slices(docs, ["doc_id", "text"], f, "doc_id long, ids array<int>", limit=BATCH)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -333,7 +353,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
             "round_trip": [b == (t or "").replace(SPACE, " ") for b, t in zip(back, texts)],
         }
 
-    return map_slices(docs, ["doc_id", "text"], f, SCHEMA, limit=2 << 20)
+    return map_slices(docs, ["doc_id", "text"], f, SCHEMA, limit=BATCH)
 
 
 def default_vocabulary() -> str:
