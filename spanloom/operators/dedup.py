@@ -71,6 +71,27 @@ def band_keys(signatures: DataFrame, order: str = "seq", bands: int = BANDS, row
     return signatures.select(order, F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
+def signature_classes(signatures: DataFrame, order: str = "seq") -> DataFrame:
+    """``(seq, rep)``: each row with the first row of its signature."""
+    known = signatures.select(order, F.md5(F.array_join(F.col("signature").cast("array<string>"), ",")).alias("print"))
+    first = known.groupBy("print").agg(F.min(order).alias("rep"), F.count("*").alias("n"))
+    return joined_by_count(known, first, "print", "n", known.count()).select(order, "rep")
+
+
+def candidate_pairs(signatures: DataFrame, order: str = "seq") -> DataFrame:
+    """``(a, b)``, a < b: rows of different signatures that share a bucket; copies are folded into their class's first row.
+
+    Buckets of one representative have no pairs and drop out before the join.
+    """
+    known = signatures.select(order, "signature", F.md5(F.array_join(F.col("signature").cast("array<string>"), ",")).alias("print"))
+    first = known.groupBy("print").agg(F.min_by("signature", order).alias("signature"), F.min(order).alias(order))
+    keys = band_keys(first.select(order, "signature"), order)
+    many = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    own = keys.join(many, ["band", "key"])
+    left, right = own.select("band", "key", F.col(order).alias("a")), own.select("band", "key", F.col(order).alias("b"))
+    return left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
+
+
 def bucket_links(keys: DataFrame, order: str = "seq") -> DataFrame:
     """``(a, b)``: each row b with the first row a of each of its buckets, instead of all pairs of a bucket.
 

@@ -172,6 +172,20 @@ def lsh_bucket_links(spark, d):
     return dedup.bucket_links(dedup.band_keys(signatures(spark, d)))
 
 
+CLASSES = "reps AS (SELECT seq, min(seq) OVER (PARTITION BY signature) AS rep FROM sig), own AS (SELECT k.* FROM keys k JOIN reps r ON r.seq = k.seq AND r.rep = r.seq)"
+
+
+@query("lsh_signature_classes", f"WITH {SIGNATURE} SELECT seq, min(seq) OVER (PARTITION BY signature) AS rep FROM sig")
+def lsh_signature_classes(spark, d):
+    return dedup.signature_classes(signatures(spark, d))
+
+
+@query("lsh_candidate_pairs", f"WITH {SIGNATURE}, {BANDS}, {CLASSES} SELECT DISTINCT a.seq AS a, b.seq AS b FROM own a JOIN own b ON a.band = b.band AND a.key = b.key AND a.seq < b.seq")
+def lsh_candidate_pairs(spark, d):
+    """Pairs of representatives of equal signatures; the membership is ``lsh_signature_classes``."""
+    return dedup.candidate_pairs(signatures(spark, d))
+
+
 @query(
     "near_dedup_first_in_bucket",
     f"WITH {SIGNATURE}, {BANDS} SELECT seq, bool_or(first < seq) AS near_dup FROM (SELECT seq, min(seq) OVER (PARTITION BY band, key) AS first FROM keys) GROUP BY seq",
