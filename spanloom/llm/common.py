@@ -42,10 +42,16 @@ def keep_rows(docs: DataFrame, verdict: Callable[[pa.Array], np.ndarray], text:
         for batch in batches:
             for part in slices(batch, text):
                 yield part.filter(pa.array(verdict(part.column(text))))
+            release()
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def release() -> None:
+    """Give memory that Arrow holds for later back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges with about ``limit`` bytes of ``column``, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -70,6 +76,7 @@ def map_slices(
             for part in slices(batch, text, limit):
                 out = f(part)
                 yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
+            release()
 
     return df.select(*columns).mapInArrow(run, schema)
 
