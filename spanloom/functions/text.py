@@ -118,17 +118,29 @@ SINGLE = r"^\p{L}[^\p{L}\p{N}_]*$"
 WORD_START, WORD_END = r"(?<![^\s\x{00A0}])", r"(?![^\s\x{00A0}])"
 
 
-def ocr_noise(text: Column) -> tuple[Column, Column]:
-    """Share of words with mixed scripts or letters next to digits, and of single letters; (1, 1) without words.
+def ocr_counts(text: Column) -> dict[str, Column]:
+    """Number of words, of those with mixed scripts or letters next to digits, and of single letters.
 
-    Words are counted where they stand: no list of them is made.
+    Words are counted where they stand: no list of them is made. Give the counts columns of
+    their own before using them more than once.
     """
-    n = F.regexp_count(text, F.lit(r"[^\s\x{00A0}]+"))
-    noisy = F.regexp_count(text, F.lit(rf"{WORD_START}[^\s\x{{00A0}}]*?(?:{MIXED}|{LETTER_DIGIT})"))
-    single = F.regexp_count(text, F.lit(rf"{WORD_START}\p{{L}}[^\p{{L}}\p{{N}}_\s\x{{00A0}}]*{WORD_END}"))
+    return {
+        "ocr_words": F.regexp_count(text, F.lit(r"[^\s\x{00A0}]+")),
+        "ocr_noisy": F.regexp_count(text, F.lit(rf"{WORD_START}[^\s\x{{00A0}}]*?(?:{MIXED}|{LETTER_DIGIT})")),
+        "ocr_single": F.regexp_count(text, F.lit(rf"{WORD_START}\p{{L}}[^\p{{L}}\p{{N}}_\s\x{{00A0}}]*{WORD_END}")),
+    }
+
+
+def ocr_shares(counts: dict[str, Column]) -> tuple[Column, Column]:
+    """Shares of noisy words and of single letters; (1, 1) without words."""
+    n, noisy, single = (counts[k] for k in ("ocr_words", "ocr_noisy", "ocr_single"))
     return F.when(n == 0, 1.0).otherwise(noisy / n), F.when(n == 0, 1.0).otherwise(single / n)
 
 
+def ocr_noise(text: Column) -> tuple[Column, Column]:
+    return ocr_shares(ocr_counts(text))
+
+
 def affix(mention: Column) -> Column:
     """The first listed suffix that leaves more than two characters, or the empty string."""
     low = F.lower(mention)

@@ -12,9 +12,14 @@ from spanloom.operators.passages import paragraphs as split_paragraphs
 from spanloom.operators.passages import split_passages
 
 
-def stateless_reason(text: Column, min_chars: int = 200, max_noise: float = 0.01, max_single: float = 0.06) -> Column:
-    """First stateless test that a passage fails, in order: short, alphabet, ocr; null if none."""
-    noise, single = T.ocr_noise(text)
+def stateless_reason(
+    text: Column, min_chars: int = 200, max_noise: float = 0.01, max_single: float = 0.06, counts: dict[str, Column] | None = None
+) -> Column:
+    """First stateless test that a passage fails, in order: short, alphabet, ocr; null if none.
+
+    ``counts`` are ``ocr_counts`` that the caller has as columns.
+    """
+    noise, single = T.ocr_shares(counts or T.ocr_counts(text))
     return F.when(F.length(text) < min_chars, "short").when(~T.alphabet_ok(text), "alphabet").when((noise > max_noise) | (single > max_single), "ocr")
 
 
@@ -24,25 +29,26 @@ def funnel(passages: DataFrame, excluded: DataFrame, near: DataFrame | None = No
     ``passages`` has ``seq`` and ``passage``; its other columns are kept. ``excluded`` holds
     normalised digests; ``near`` is ``(seq, near_dup)`` of first copies. With ``paragraph``,
     the paragraph rule holds among passages that got so far. Later copies count as exact
-    whether or not the first one is accepted. Digests are made of what passes the cheap tests.
+    whether or not the first one is accepted. Texts are tested once, and digests made of what
+    passes the cheap tests; from there on only numbers and digests move.
     """
-    rows = passages.withColumn("early", stateless_reason(F.col("passage")))
-    rows = rows.withColumn("digest", F.when(F.col("early").isNull(), T.digest(T.normalize(F.col("passage")))))
+    counts = T.ocr_counts(F.col("passage"))
+    rows = passages.withColumns(counts).withColumn("early", stateless_reason(F.col("passage"), counts={k: F.col(k) for k in counts}))
+    rows = cut(rows.withColumn("digest", F.when(F.col("early").isNull(), T.digest(T.normalize(F.col("passage"))))).drop("passage", *counts))
     barred = excluded.select("digest").where("digest is not null").distinct()
     found = rows.where("digest is not null").select("seq", "digest")
-    # what an excluded digest leaves, and of that the first of each digest: short lists of numbers, joined on seq
     free = found.join(barred, "digest", "left_anti").groupBy("digest").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("is_first"))
     hit = found.join(barred, "digest", "left_semi").select("seq", F.lit(True).alias("is_barred"))
     rows = rows.join(free, "seq", "left").join(hit, "seq", "left")
     late = F.when(F.col("is_barred"), "excluded").when(F.col("is_first").isNull(), "exact")
     rows = rows.withColumn("reason", F.coalesce("early", late)).drop("early", "digest", "is_first", "is_barred")
     if paragraph:
-        left = rows.where("reason is null").select("seq", "passage")
+        left = passages.select("seq", "passage").join(rows.where("reason is null").select("seq"), "seq", "left_semi")
         seen = dedup.paragraph_duplicates(split_paragraphs(left)).where("paragraph_dup").select("seq", "paragraph_dup")
         rows = rows.join(seen, "seq", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("paragraph_dup"), "paragraph"))).drop("paragraph_dup")
     if near is not None:
         rows = rows.join(near, "seq", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("near_dup"), "near"))).drop("near_dup")
-    return rows.withColumn("reason", F.coalesce("reason", F.lit("accepted"))).drop("passage")
+    return rows.withColumn("reason", F.coalesce("reason", F.lit("accepted")))
 
 
 def whole_funnel(passages: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -64,8 +64,9 @@ def letter_ratio_filter(spark, d):
 
 @query("ocr_noise_flags", f"SELECT doc_id, round({noise()}, 6) AS noise, round({single()}, 6) AS single, {noise()} > 0.01 OR {single()} > 0.06 AS rejected FROM documents")
 def ocr_noise_flags(spark, d):
-    n, s = T.ocr_noise(F.col("text"))
-    return D.docs(spark, d).select("doc_id", F.round(n, 6).alias("noise"), F.round(s, 6).alias("single"), ((n > 0.01) | (s > 0.06)).alias("rejected"))
+    counts = T.ocr_counts(F.col("text"))
+    n, s = T.ocr_shares({k: F.col(k) for k in counts})
+    return D.docs(spark, d).withColumns(counts).select("doc_id", F.round(n, 6).alias("noise"), F.round(s, 6).alias("single"), ((n > 0.01) | (s > 0.06)).alias("rejected"))
 
 
 SCRIPT = r"CASE WHEN regexp_matches(text, '[\x{0400}-\x{04FF}]') AND regexp_matches(text, '[A-Za-z]') THEN 'both' WHEN regexp_matches(text, '[\x{0400}-\x{04FF}]') THEN 'cyr' ELSE 'lat' END"
