@@ -171,9 +171,13 @@ def judged(texts: pa.Array, min_repeat: int = 10, max_covered: float = 0.3, max_
     return m
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all of their columns."""
-    return keep_rows(docs, lambda texts: judged(texts)["kept"])
+def keep_good(docs: DataFrame, min_words: int = 5) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all of their columns.
+
+    The 50 words that op5's contract asks for bind that query. Short texts are no worse than
+    others, so that a filter only drops those without ``min_words`` words.
+    """
+    return keep_rows(docs, lambda texts: judged(texts, min_words=min_words)["kept"])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
