@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,14 +71,3 @@ def paragraphs(passages: DataFrame, text: str = "passage", pattern: str = PARAGR
 def sharded(rows: DataFrame, index: str, shards: int) -> DataFrame:
     """``shard`` of each row: its index modulo the number of shards."""
     return rows.withColumn("shard", F.pmod(F.col(index), F.lit(shards)))
-
-
-def batches(rows: Iterator, size: int) -> Iterator[list]:
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
