@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import byte_class, code_points, codes, counts, keep_rows, map_slices, split_words, table, text_bytes
+from spanloom.llm.common import byte_class, codes, counts, keep_rows, map_slices, split_words, table, text_bytes
 from spanloom.llm.registry import QUERIES
 from spanloom.llm.xxh import xxh64
 
