@@ -1,4 +1,4 @@
 """Imports every module that registers a query of this subpackage."""
 
-from spanloom.llm import licenses, packing, pieces, repetition, secrets, simhash, topk, toxicity, warc, weak  # noqa: F401
+from spanloom.llm import balls, dominance, licenses, packing, pieces, private, repetition, secrets, simhash, topk, toxicity, warc, weak  # noqa: F401
 from spanloom.llm.registry import ORACLES, QUERIES  # noqa: F401
