@@ -323,7 +323,8 @@ def listed(spans: str) -> Column:
 
 def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = personal_spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]  # noqa: B023
     return spans.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 

@@ -7,13 +7,17 @@ texts. It estimates the share of good texts and each labeller's accuracy on both
 the posterior of a text's pattern is its weak label.
 
 A logistic scorer over hashed words and word shapes is then fitted to the posterior
-labels of a bounded sample of texts, chosen by hash, and scores every whole text.
+labels of a bounded sample of distinct texts, chosen by a hash of the text, and scores every
+whole text. A text counts once in the sample, with the logarithm of its copies as weight,
+and every pattern that a thousandth of the rows have is in it; so junk that repeats is learned as such,
+and does not drown what is rare.
 
 Defined results: null and empty texts have no words, are voted on as such and scored by
 the bias alone; texts of any length are measured and scored whole; repeated rows get equal
 scores; a score equal to the threshold is kept, and a value equal to a labeller's limit has
 its vote; an empty table gives no rows; where all posteriors agree the scorer learns that
-constant; further columns of the input are not read.
+constant, be it from a single text; ids may be null or repeat, and play no part in the sample;
+further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import byte_class, codes, counts, keep_rows, map_slices, split_words, table, text_bytes
+from spanloom.llm.common import byte_class, codes, counts, cut, keep_rows, map_slices, split_words, table, text_bytes
 from spanloom.llm.registry import QUERIES
 from spanloom.llm.xxh import xxh64
 
@@ -224,15 +228,16 @@ def linear(w: Words, weights: np.ndarray, bias: float) -> np.ndarray:
 
 
 def fit_linear(
-    rows: np.ndarray, column: np.ndarray, value: np.ndarray, target: np.ndarray, epochs: int = 60, rate: float = 0.3, decay: float = 1e-5
+    rows: np.ndarray, column: np.ndarray, value: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None, epochs: int = 60, rate: float = 0.3, decay: float = 1e-5
 ) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows with soft targets, by full-batch Adam."""
+    """Logistic regression on sparse weighted rows with soft targets, by full-batch Adam."""
     n, size = len(target), COLUMNS
+    share = np.full(n, 1 / max(n, 1)) if weight is None else weight / max(weight.sum(), 1e-12)
     weights, bias = np.zeros(size), 0.0
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, epochs + 1):
         z = np.bincount(rows, weights=value * weights[column], minlength=n) + bias
-        d = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - target) / max(n, 1)
+        d = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - target) * share
         g = np.r_[np.bincount(column, weights=value * d[rows], minlength=size) + decay * weights, d.sum()]
         first = 0.9 * first + 0.1 * g
         second = 0.99 * second + 0.01 * g * g
@@ -249,23 +254,26 @@ class QualityModel:
     bias: float
 
 
-def fit(docs: DataFrame, sample: int = 4000, seed: int = 17) -> QualityModel:
-    """EM over the votes of all texts; the scorer from about ``sample`` of them.
+def fit(docs: DataFrame, sample: int = 4000, frequent: int = 1000, seed: int = 17) -> QualityModel:
+    """EM over the votes of all texts; the scorer from ``sample`` distinct texts, or all if there are fewer.
 
-    A text is in the sample if its hash falls under ``sample`` over the number of texts,
-    and of the sample the lowest twice ``sample`` hashes count, whatever the order of rows.
-    Only pattern counts and the sample's
-    sparse features reach the driver.
+    The sample has the lowest hashes of distinct texts, and the lowest one of each pattern that
+    at least one in ``frequent`` rows has (so ``frequent`` texts more at most), whatever the
+    order of rows. Only pattern counts, the chosen hashes and their sparse features reach the driver.
     """
+    hashed = docs.select("text", F.xxhash64("text").alias("hash"))
 
     def votes(part: pa.RecordBatch) -> dict:
-        return {"pattern": vote(measures(Words(part.column("text"))))}
+        return {"pattern": vote(measures(Words(part.column("text")))), "hash": part.column("hash")}
 
-    got = map_slices(docs, ["text"], votes, "pattern long").groupBy("pattern").count().toPandas()
+    kinds = map_slices(hashed, ["text", "hash"], votes, "pattern long, hash long").groupBy("pattern", "hash").agg(F.count("*").alias("n"))
+    kinds = cut(kinds.withColumn("place", F.xxhash64("hash", F.lit(seed))))
+    own = F.struct("place", "hash", "n").alias("own")
+    got = kinds.groupBy("pattern").agg(F.sum("n").alias("count"), F.min(own).alias("own")).toPandas()
     weak = estimate(got["pattern"].to_numpy(np.int64), got["count"].to_numpy(np.float64))
     total = int(got["count"].sum())
-    place = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(seed)), F.lit(1 << 30)).alias("place")
-    chosen = docs.select("text", place).where(F.col("place") < int(min(1.0, sample / max(total, 1)) * (1 << 30)))
+    chosen = {r["hash"]: r["n"] for r in kinds.orderBy("place", "hash", "pattern").limit(sample).select("hash", "n").collect()}
+    chosen |= {own["hash"]: own["n"] for own, n in zip(got["own"], got["count"]) if n * frequent >= total}
 
     def features(part: pa.RecordBatch) -> dict:
         w = Words(part.column("text"))
@@ -275,15 +283,19 @@ def fit(docs: DataFrame, sample: int = 4000, seed: int = 17) -> QualityModel:
         ends = np.searchsorted(key, np.arange(w.n + 1) * COLUMNS)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((key % COLUMNS).astype(np.int32)))
         times = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.astype(np.int32)))
-        return {"place": part.column("place"), "pattern": vote(measures(w)), "n": counts(w.rows, w.n), "at": lists, "times": times}
-
-    rows = map_slices(chosen, ["text", "place"], features, "place long, pattern long, n long, at array<int>, times array<int>")
-    chosen = rows.orderBy("place", "pattern", "n", "at", "times").limit(2 * sample).toPandas()
-    sizes = np.array([len(x) for x in chosen["at"]], np.int64)
-    row = np.repeat(np.arange(len(chosen)), sizes)
-    column = np.concatenate([*chosen["at"], np.zeros(0, np.int32)]).astype(np.int64)
-    value = np.concatenate([*chosen["times"], np.zeros(0, np.int32)]) / np.maximum(chosen["n"].to_numpy(np.float64), 1)[row]
-    weights, bias = fit_linear(row, column, value, weak.posterior(chosen["pattern"].to_numpy(np.int64)))
+        return {"hash": part.column("hash"), "pattern": vote(measures(w)), "n": counts(w.rows, w.n), "at": lists, "times": times}
+
+    keys = docs.sparkSession.createDataFrame([(h,) for h in chosen], "hash long")
+    alone = hashed.join(F.broadcast(keys), "hash", "left_semi")
+    rows = map_slices(alone, ["text", "hash"], features, "hash long, pattern long, n long, at array<int>, times array<int>")
+    first = rows.groupBy("hash").agg(*[F.first(c).alias(c) for c in ("pattern", "n", "at", "times")]).toPandas()  # equal texts, equal features
+    first = first.sort_values("hash", ignore_index=True)
+    sizes = np.array([len(x) for x in first["at"]], np.int64)
+    row = np.repeat(np.arange(len(first)), sizes)
+    column = np.concatenate([*first["at"], np.zeros(0, np.int32)]).astype(np.int64)
+    value = np.concatenate([*first["times"], np.zeros(0, np.int32)]) / np.maximum(first["n"].to_numpy(np.float64), 1)[row]
+    weight = np.log2(1 + np.array([chosen[h] for h in first["hash"]], np.float64))
+    weights, bias = fit_linear(row, column, value, weak.posterior(first["pattern"].to_numpy(np.int64)), weight)
     return QualityModel(weak, weights, bias)
 
 
