@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.checkpoint import cut
 from spanloom.functions import text as T
-from spanloom.operators import dedup
-from spanloom.operators.passages import paragraphs as split_paragraphs
-from spanloom.operators.passages import split_passages
+from spanloom.functions.digests import passage_keys
+from spanloom.operators.passages import split_passages, truncated
+from spanloom.operators.running import running_totals
+from spanloom.operators.seen import SeenState, among, read_up_to, settle
 
 
 def stateless_reason(
@@ -23,14 +27,13 @@ def stateless_reason(
     return F.when(F.length(text) < min_chars, "short").when(~T.alphabet_ok(text), "alphabet").when((noise > max_noise) | (single > max_single), "ocr")
 
 
-def funnel(passages: DataFrame, excluded: DataFrame, near: DataFrame | None = None, paragraph: bool = False) -> DataFrame:
-    """One ``reason`` for each passage: the stateless tests, then excluded, exact, paragraph, near, else accepted.
+def funnel(passages: DataFrame, excluded: DataFrame) -> DataFrame:
+    """One ``reason`` for each passage: the stateless tests, then excluded, exact, else accepted.
 
     ``passages`` has ``seq`` and ``passage``; its other columns are kept. ``excluded`` holds
-    normalised digests; ``near`` is ``(seq, near_dup)`` of first copies. With ``paragraph``,
-    the paragraph rule holds among passages that got so far. Later copies count as exact
-    whether or not the first one is accepted. Texts are tested once, and digests made of what
-    passes the cheap tests; from there on only numbers and digests move.
+    normalised digests. Later copies count as exact whether or not the first one is accepted.
+    Texts are tested once, and digests made of what passes the cheap tests; from there on only
+    numbers and digests move. ``outcomes`` has all of the rules.
     """
     counts = T.ocr_counts(F.col("passage"))
     rows = passages.withColumns(counts).withColumn("early", stateless_reason(F.col("passage"), counts={k: F.col(k) for k in counts}))
@@ -41,41 +44,7 @@ def funnel(passages: DataFrame, excluded: DataFrame, near: DataFrame | None = No
     hit = found.join(barred, "digest", "left_semi").select("seq", F.lit(True).alias("is_barred"))
     rows = rows.join(free, "seq", "left").join(hit, "seq", "left")
     late = F.when(F.col("is_barred"), "excluded").when(F.col("is_first").isNull(), "exact")
-    rows = rows.withColumn("reason", F.coalesce("early", late)).drop("early", "digest", "is_first", "is_barred")
-    if paragraph:
-        left = passages.select("seq", "passage").join(rows.where("reason is null").select("seq"), "seq", "left_semi")
-        seen = dedup.paragraph_duplicates(split_paragraphs(left)).where("paragraph_dup").select("seq", "paragraph_dup")
-        rows = rows.join(seen, "seq", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("paragraph_dup"), "paragraph"))).drop("paragraph_dup")
-    if near is not None:
-        rows = rows.join(near, "seq", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("near_dup"), "near"))).drop("near_dup")
-    return rows.withColumn("reason", F.coalesce("reason", F.lit("accepted")))
-
-
-def whole_funnel(passages: DataFrame, excluded: DataFrame) -> DataFrame:
-    """``funnel`` with the paragraph rule and the greedy near rule, which sees what passed all other tests."""
-    before = cut(funnel(passages, excluded, paragraph=True))
-    left = passages.select("seq", "passage").join(before.where("reason = 'accepted'"), "seq", "left_semi")
-    keys = dedup.band_keys(dedup.minhash(left, T.normalize(F.col("passage"))))
-    near = dedup.greedy_near_duplicates(keys).where("near_dup")
-    return before.join(near, "seq", "left").withColumn("reason", F.when(F.col("near_dup"), "near").otherwise(F.col("reason"))).drop("near_dup")
-
-
-def running_totals(rows: DataFrame, group: str, order: str, size: str, block_rows: int = 1_000_000) -> DataFrame:
-    """``rows`` with ``used``, the sum of ``size`` of the group's earlier rows, and ``nth``, from 1.
-
-    Sums run inside ranges of ``order`` with about ``block_rows`` rows, and the ranges'
-    totals are summed before them, so that a large group is dealt over many tasks.
-    """
-    n, low, high = rows.agg(F.count("*"), F.min(order), F.max(order)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) * block_rows // max(n, 1)))
-    rows = rows.withColumn("range", F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)))
-    per = rows.groupBy(group, "range").agg(F.sum(size).alias("t"), F.count("*").alias("c"))
-    earlier = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select(F.col(group).alias("base_group"), F.col("range").alias("base_range"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c"))
-    inside = Window.partitionBy(group, "range").orderBy(order)
-    rows = rows.withColumn("used", F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("nth", F.row_number().over(inside))
-    rows = rows.join(base, F.col(group).eqNullSafe(F.col("base_group")) & (F.col("range") == F.col("base_range")))
-    return rows.withColumn("used", F.col("used") + F.col("t")).withColumn("nth", F.col("nth") + F.col("c")).drop("range", "base_group", "base_range", "t", "c")
+    return rows.withColumn("reason", F.coalesce("early", late, F.lit("accepted"))).drop("early", "digest", "is_first", "is_barred")
 
 
 def quota_cut(accepted: DataFrame, quota: int | Column, group: str = "source", order: str = "seq", size: str = "n_chars", block_rows: int = 1_000_000) -> DataFrame:
@@ -96,9 +65,9 @@ def holdout(accepted: DataFrame, n: int, order: str = "seq") -> DataFrame:
 def group_quotas(budget: int, foreign_share: float, native: list[str], foreign: list[str]) -> dict[str, int]:
     """Characters for each source: a group's share split evenly by whole division."""
     theirs = int(budget * foreign_share)
-    out = {s: (budget - theirs) // len(native) for s in native}
+    out = {s: (budget - theirs) // max(len(native), 1) for s in native}
     if foreign_share > 0:
-        out |= {s: theirs // len(foreign) for s in foreign}
+        out |= {s: theirs // max(len(foreign), 1) for s in foreign}
     return out
 
 
@@ -127,27 +96,168 @@ def scripts(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy(T.script_of(F.col(text)).alias("script")).agg(F.count("*").alias("docs"), F.sum(F.length(text)).alias("chars"))
 
 
-def build(docs: DataFrame, excluded: DataFrame, quotas: dict[str, int | None], held: int, limit: int = 8000, total: int | None = None) -> DataFrame:
-    """The whole corpus: ``(doc_id, passage_no, seq, source, n_chars, reason, split)`` for every passage.
+def outcomes(
+    passages: DataFrame, excluded: DataFrame, chosen: list[str], quotas: dict[str, int] | None = None, held: int = 0,
+    total: Callable[[DataFrame], int] | int | None = None, state: SeenState | None = None, together: int | None = None,
+) -> DataFrame:
+    """``passages`` without its text, with ``n_chars, script, reason, split``: one reason for each passage.
+
+    ``passages`` has ``seq``, its place in the whole stream, ``source`` and ``passage``; ``chosen``
+    names the sources in the order of the stream, others are not read. Reasons, in order: short,
+    alphabet, ocr, excluded, then those of ``seen.settle``: exact, paragraph, near, accepted, and
+    unread for what is behind a quota, or behind ``total`` characters, which stop the stream
+    between sources only. ``excluded`` holds ``functions.digests`` of texts. The first ``held``
+    accepted passages have split ``holdout`` and count towards no quota; the others ``train``.
+
+    Sources go through ``state`` in batches of ``together``, or all at once without it; the result is
+    the same. With ``total`` they go one by one; it may be a function of the rows accepted so far.
+    A state that holds earlier batches goes on from them.
+    """
+    rows = cut(_tested(passages.where(F.col("source").isin(*chosen)), excluded))
+    own = state or SeenState(passages.sparkSession)
+    batch, chars, gone = own.progress()
+    width = 1 if total is not None else together or max(len(chosen), 1)
+    out = rows.withColumns({"reason": F.lit("unread"), "split": F.lit(None).cast("string")}).limit(0)
+    full = False
+    for k in range(0, len(chosen), width):
+        names = chosen[k : k + width]
+        part = rows.where(F.col("source").isin(*names))
+        if full:
+            out = out.unionByName(part.withColumns({"reason": F.lit("unread"), "split": F.lit(None).cast("string")}))
+            continue
+        limits = {s: q for s, q in (quotas or {}).items() if s in names and q is not None}
+        left = max(held - gone, 0)
+        candidates = part.where("early is null").select("seq", "source", "n_chars", "digest", "paragraphs", "bands")
+        told, ends = settle(_first_documents(candidates, part, limits, chars), own, batch, limits, chars, left)
+        told = part.join(told, "seq", "left")
+        reason = F.when(read_up_to(ends), F.coalesce("reason", "early", F.lit("unread"))).otherwise("unread")
+        told = _first_documents(told, part, limits, chars, reason)
+        last = told.where("reason = 'accepted'").select("seq").orderBy("seq").limit(left).agg(F.max("seq"), F.count("*")).first() if left else (None, 0)
+        split = F.when(F.col("reason") == "accepted", F.when(F.col("seq") <= F.lit(last[0]), "holdout").otherwise("train"))
+        told = cut(told.withColumn("split", split))
+        gone += last[1]
+        for r in told.where("split = 'train'").groupBy("source").agg(F.sum("n_chars").alias("n")).collect():
+            chars[r["source"]] = chars.get(r["source"], 0) + r["n"]
+        own.finish(batch, chars, gone)
+        out, batch = out.unionByName(told), batch + 1
+        if total is not None:
+            full = sum(chars.values()) >= (total(out) if callable(total) else total)
+    if state is None:
+        own.forget()
+    return out.drop("early", "digest", "paragraphs", "bands")
+
+
+def _tested(passages: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Passages as numbers and keys: what a text shows by itself, and whether it is excluded."""
+    text = F.col("passage")
+    counts = T.ocr_counts(text)
+    rows = passages.withColumns(counts).withColumn("early", stateless_reason(text, counts={k: F.col(k) for k in counts}))
+    keys = passage_keys(F.when(F.col("early").isNull(), text))
+    rows = rows.withColumns({"n_chars": F.length(text).cast("long"), "script": T.script_of(text), "keys": keys}).drop("passage", *counts)
+    rows = cut(rows.select("*", "keys.digest", "keys.paragraphs", "keys.bands").drop("keys"))
+    barred = excluded.select("digest").where("digest is not null").distinct()
+    hit = among(rows.where("digest is not null"), barred, "digest", rows.count()).withColumn("hit", F.lit(True))
+    return rows.join(hit, "seq", "left").withColumn("early", F.coalesce("early", F.when(F.col("hit"), "excluded"))).drop("hit")
+
+
+def _first_documents(rows: DataFrame, part: DataFrame, quotas: dict[str, int], chars: dict[str, int], reason: Column | None = None) -> DataFrame:
+    """``rows`` that are read at all: a source without any quota left is read up to the end of its first document.
 
-    ``docs`` has ``doc_id, source, text``. Passages are numbered in the order of documents and
-    their places, go through ``whole_funnel``, and the accepted ones of each source are taken
-    up to its quota of characters (null: all); what is behind it is ``over_quota``. The first
-    ``held`` taken passages are the holdout, the others train; ``total`` stops the whole
-    stream likewise. The sum of all reasons is the number of passages.
+    With ``reason``, all rows, with what is not read by name. One row a source reaches the driver.
+    """
+    done = [s for s, q in quotas.items() if q <= chars.get(s, 0)]
+    skip = F.lit(False)
+    if done:
+        ends = part.where(F.col("source").isin(*done)).groupBy("source").agg(F.min("document").alias("document")).collect()
+        for r in ends:
+            last = part.where((F.col("source") == r["source"]) & (F.col("document") == r["document"])).agg(F.max("seq")).first()[0]
+            skip = skip | ((F.col("source") == r["source"]) & (F.col("seq") > last))
+    if reason is None:
+        return rows.where(~skip)
+    return rows.withColumn("reason", F.when(skip, "unread").otherwise(reason))
+
+
+def stream_passages(docs: DataFrame, chosen: list[str], limit: int = 8000, max_chars: int = 100_000) -> DataFrame:
+    """``docs(source, shard, row, text, ...)`` as passages in stream order: ``seq``, ``document`` and ``passage_no``.
+
+    The order is that of ``chosen``, then shard name, row and place; ``seq`` holds all four as bits of
+    a long, so that no text moves to be numbered. A document is ``max_chars`` long at most; empty
+    ones are none. One row for each shard reaches the driver, which lists the files anyway.
+    """
+    docs = docs.where(F.col("source").isin(*chosen) & (F.col("text") != ""))
+    files = [tuple(r) for r in docs.groupBy("source", "shard").agg(F.max("row")).collect()]
+    shards = sorted({(chosen.index(s), f or "", s, f) for s, f, _ in files}, key=lambda x: x[:2])
+    rows, places = max((r or 0 for _, _, r in files), default=0).bit_length(), max_chars.bit_length()
+    if rows + places + len(shards).bit_length() > 63:
+        raise ValueError("too many shards, rows and passages for a long")
+    number = docs.sparkSession.createDataFrame([(s, f, k) for k, (_, _, s, f) in enumerate(shards)], "s string, f string, file long")
+    docs = docs.join(F.broadcast(number), (F.col("source") == F.col("s")) & F.col("shard").eqNullSafe(F.col("f"))).drop("s", "f")
+    document = F.shiftleft("file", rows).bitwiseOR(F.coalesce("row", F.lit(0)))
+    docs = docs.withColumn("document", document).withColumn("text", truncated(F.col("text"), max_chars)).drop("file")
+    return split_passages(docs, limit).withColumn("seq", F.shiftleft("document", places).bitwiseOR(F.col("passage_no")))
+
+
+@dataclass(frozen=True)
+class Budget:
+    """Tokens wanted in all, and the share of foreign sources; ``tokens`` counts a text's tokens, for calibration."""
+
+    max_tokens: int
+    foreign: tuple[str, ...] = ()
+    foreign_share: float = 0.0
+    chars_per_token: float = 2.6
+    tokens: Callable[[Column], Column] | None = None
+    sample: int = 200
+    sample_chars: int = 20_000
+
+
+@dataclass
+class Corpus:
+    """A decided corpus: the documents, every passage's outcome, and what the budget came to."""
+
+    docs: DataFrame
+    decided: DataFrame
+    sources: list[str]
+    limit: int
+    max_chars: int
+    chars_per_token: float | None = None
+    calibrated: bool = False
+
+    def passages(self) -> DataFrame:
+        return stream_passages(self.docs, self.sources, self.limit, self.max_chars)
+
+
+def build(
+    docs: DataFrame, excluded: DataFrame, sources: list[str], quotas: dict[str, int] | None = None, held: int = 0, limit: int = 8000,
+    max_chars: int = 100_000, budget: Budget | None = None, state: SeenState | None = None, together: int | None = None,
+) -> Corpus:
+    """The whole corpus of ``docs(source, shard, row, text, ...)``, its sources in the order given; see ``outcomes``.
+
+    A ``budget`` gives each source its quota (the group's share, evenly) and stops the stream between
+    sources. Once ``sample`` passages are in training, their characters for each token replace the
+    budget's own, for the stop, not for the quotas. Foreign sources without a share are not read.
     """
-    parts = split_passages(docs.select("doc_id", "source", "text"), limit).withColumn("n_chars", F.length("passage").cast("long"))
-    # a document's passages are consecutive numbers: places inside documents fit below 2 ** 24
-    rows = cut(parts.withColumn("seq", F.col("doc_id") * F.lit(1 << 24) + F.col("passage_no")))
-    reasons = whole_funnel(rows, excluded)
-    quota = F.create_map(*[F.lit(x) for k, v in quotas.items() for x in (k, v)])[F.col("source")] if quotas else F.lit(None).cast("long")
-    taken = quota_cut(reasons.where("reason = 'accepted'"), quota.cast("long")).select("seq", "n_chars")
-    stream = running_totals(taken.withColumn("all", F.lit(0)), "all", "seq", "n_chars")
-    split = F.when(F.col("nth") <= held, "holdout").otherwise("train")
-    stream = stream.where(F.lit(True) if total is None else (F.col("used") < total) | (F.col("nth") == 1)).select("seq", split.alias("split"))
-    out = reasons.join(stream, "seq", "left")
-    reason = F.when((F.col("reason") == "accepted") & F.col("split").isNull(), "over_quota").otherwise(F.col("reason"))
-    return out.withColumn("reason", reason).select("doc_id", "passage_no", "seq", "source", "n_chars", "reason", "split")
+    if len(set(sources)) < len(sources):
+        raise ValueError("a source is named twice")
+    sources = [s for s in sources if budget is None or budget.foreign_share > 0 or s not in budget.foreign]
+    corpus = Corpus(docs, docs.limit(0), sources, limit, max_chars, budget and budget.chars_per_token)
+    stop = None
+    if budget is not None:
+        quotas = group_quotas(
+            int(budget.max_tokens * budget.chars_per_token), budget.foreign_share, [s for s in sources if s not in budget.foreign], [s for s in sources if s in budget.foreign]
+        )
+
+        def stop(told: DataFrame) -> int:
+            if budget.tokens is not None and not corpus.calibrated:
+                first = told.where("split = 'train'").select("seq").orderBy("seq").limit(budget.sample)
+                n, last = first.agg(F.count("*"), F.max("seq")).first()
+                if n == budget.sample:
+                    texts = corpus.passages().where(F.col("seq") <= last).join(first, "seq", "left_semi").select(F.substring("passage", 1, budget.sample_chars).alias("t"))
+                    chars, tokens = texts.agg(F.sum(F.length("t")), F.sum(budget.tokens(F.col("t")))).first()
+                    corpus.chars_per_token, corpus.calibrated = chars / tokens, True
+            return int(budget.max_tokens * corpus.chars_per_token)
+
+    corpus.decided = outcomes(corpus.passages(), excluded, sources, quotas, held, stop, state, together)
+    return corpus
 
 
 def calibrate(rows: DataFrame, order: str = "seq", sample: int = 200, max_chars: int = 20_000) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
+from spanloom.functions.digests import normalized_digest
 from spanloom.operators import corpus, dedup, passages
 from spanloom.plans import derived as D
 from spanloom.plans.registry import query
@@ -242,37 +243,35 @@ def holdout_split(spark, d):
     return corpus.holdout(accepted(spark, d), 100).select("seq")
 
 
-def whole_funnel(spark, d):
-    bench = spark.read.parquet(f"{d}/benchmark.parquet").select(T.digest(T.normalize(F.col("text"))).alias("digest"))
-    return corpus.whole_funnel(D.docs(spark, d).select(F.col("doc_id").alias("seq"), F.col("text").alias("passage"), "source", "n_chars"), bench)
-
-
-def whole_accepted(spark, d):
-    return whole_funnel(spark, d).where("reason = 'accepted'")
+def whole_corpus(spark, d, quota=None, held=0, limit=8000):
+    """The corpus of ``documents``, whose sources stand for the sources of the stream, and the texts of ``benchmark`` excluded."""
+    rows = D.docs(spark, d).select("source", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row"), "doc_id", "text")
+    bench = spark.read.parquet(f"{d}/benchmark.parquet").select(normalized_digest("text").alias("digest"))
+    sources = [r["source"] for r in rows.select("source").where("source is not null").distinct().orderBy("source").collect()]  # one row a source
+    return corpus.build(rows, bench, sources, quota and dict.fromkeys(sources, quota), held, limit)
 
 
 # no SQL: the greedy near rule is beyond it
 @query("drop_reason_whole_funnel")
 def drop_reason_whole_funnel(spark, d):
-    return whole_funnel(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
+    return whole_corpus(spark, d).decided.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("source_quota_cut_whole_funnel")
 def source_quota_cut_whole_funnel(spark, d):
-    return corpus.quota_cut(whole_accepted(spark, d), 40_000).select("seq", "source", "used")
+    return whole_corpus(spark, d, 40_000).decided.where("split = 'train'").select("source", "doc_id", "passage_no", "n_chars")
 
 
 @query("holdout_split_whole_funnel")
 def holdout_split_whole_funnel(spark, d):
-    return corpus.holdout(whole_accepted(spark, d), 100).select("seq")
+    return whole_corpus(spark, d, held=100).decided.where("split = 'holdout'").select("source", "doc_id", "passage_no", "n_chars")
 
 
 @query("corpus_build")
 def corpus_build(spark, d):
     """Split, six tests, paragraph and near rules, quotas of sources, holdout; without SQL for the greedy near rule."""
-    bench = spark.read.parquet(f"{d}/benchmark.parquet").select(T.digest(T.normalize(F.col("text"))).alias("digest"))
-    quotas = {r["source"]: 400_000 for r in D.docs(spark, d).select("source").distinct().orderBy("source").collect()}
-    return corpus.build(D.docs(spark, d), bench, quotas, held=100, limit=2000)
+    decided = whole_corpus(spark, d, 400_000, 100, 2000).decided
+    return decided.select("source", "shard", "row", "doc_id", "passage_no", "n_chars", "script", "reason", "split")
 
 
 @query("script_histogram", f"SELECT {SCRIPT} AS script, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ALL")

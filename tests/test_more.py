@@ -217,55 +217,6 @@ def test_blocks_carry_and_whole(spark):
     assert by == {0: 503, 1: 510}
 
 
-def sequential_build(docs, barred, quotas, held, limit):
-    """The corpus of one loop over documents and passages."""
-    def norm(t):
-        return " ".join(unicodedata.normalize("NFKC", t).casefold().split())
-
-    seen, paragraphs, out, used = set(), {}, {}, {}
-    for doc, source, text in docs:
-        for k, p in enumerate(passages.passage_list(text, limit)):
-            long = [norm(x) for x in __import__("re").split(passages.PARAGRAPH, p) if len(x.strip()) > 80]
-            if len(p) < 200:
-                reason = "short"
-            elif norm(p) in barred:
-                reason = "excluded"
-            elif norm(p) in seen:
-                reason = "exact"
-            elif long and all(x in paragraphs for x in long):
-                reason = "paragraph"
-            else:
-                reason = "accepted" if used.get(source, 0) < quotas[source] else "over_quota"
-            if reason not in ("short", "excluded", "exact"):
-                seen.add(norm(p))
-                for x in long:
-                    paragraphs.setdefault(x, doc)
-                if reason in ("accepted", "over_quota"):
-                    used[source] = used.get(source, 0) + len(p)
-            out[doc, k] = reason
-    return out
-
-
-def test_corpus_build_equals_one_loop(spark):
-    rng = random.Random(9)
-    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
-    para = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(40)]
-    docs = []
-    for k in range(80):
-        own = [rng.choice(para) if rng.random() < 0.3 else " ".join(rng.choice(words) for _ in range(rng.randint(3, 60))) for _ in range(rng.randint(1, 3))]
-        docs.append((k, f"s{k % 3}", "\n\n".join(own)))
-    docs += [(100 + k, "s0", docs[k][2].upper()) for k in range(10)]
-    barred = docs[7][2]
-    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
-    ex = spark.createDataFrame([(barred,)], "t string").select(T.digest(T.normalize(F.col("t"))).alias("digest"))
-    quotas = {"s0": 3000, "s1": 10_000, "s2": 1}
-    got = corpus.build(df, ex, quotas, held=5, limit=100_000).collect()
-    want = sequential_build(docs, {" ".join(barred.casefold().split())}, quotas, 5, 100_000)
-    assert {(r["doc_id"], r["passage_no"]): r["reason"] for r in got} == want
-    kept = sorted(r["seq"] for r in got if r["reason"] == "accepted")
-    assert [r["split"] for r in sorted(got, key=lambda r: r["seq"]) if r["seq"] in set(kept)] == ["holdout"] * 5 + ["train"] * (len(kept) - 5)
-
-
 def test_checks_and_reports(spark):
     gold = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id long, text string")
     assert [r[0] for r in metrics.text_differences(gold, spark.createDataFrame([(1, "a"), (2, "x"), (3, None), (9, "q")], gold.schema)).collect()] == [2]

@@ -132,20 +132,6 @@ def test_funnel_accounts_for_every_passage(spark):
     assert rows(corpus.funnel(df, barred), "seq", "reason") == [(1, "accepted"), (2, "exact"), (3, "short"), (4, "alphabet"), (5, "excluded"), (6, "ocr")]
 
 
-def test_whole_funnel_drops_paragraph_and_near_copies(spark):
-    def long(name, n=60):
-        return " ".join(f"{name}{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(n))
-
-    a, b, c = long("first"), long("second"), long("third", 90)
-    near = c.rsplit(" ", 1)[0] + " ending"
-    short = "A passage that is too short " + long("fourth", 9)
-    texts = [a + "\n\n" + b, c, b + "\n\n" + a, near, short]
-    df = spark.createDataFrame(list(enumerate(texts)), "seq long, passage string")
-    barred = spark.createDataFrame([], "digest string")
-    got = rows(corpus.whole_funnel(df, barred), "seq", "reason")
-    assert got == [(0, "accepted"), (1, "accepted"), (2, "paragraph"), (3, "near"), (4, "short")]
-
-
 def test_quota_keeps_the_crossing_row(spark):
     df = spark.createDataFrame([(k, "s", 10) for k in range(5)], "seq long, source string, n_chars long")
     assert rows(corpus.quota_cut(df, 25), "seq") == [(0,), (1,), (2,)]
