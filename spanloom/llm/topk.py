@@ -7,7 +7,8 @@ sparse query rows scatters its weighted postings into the queries' dense score a
 A partition selects the k highest of an array, and the cells' lists merge into one.
 
 The queries grow with the table, so they are not broadcast: both sides are dealt out to
-the cells by key, and block numbers come from the rows' hashes, so no key gathers rows.
+the cells by key. A candidate's block comes from its id and its place among the rows, and equal
+query rows are searched once, so no id gathers rows.
 Each row goes to as many cells as the other side has blocks: a search of all rows reads
 candidates times query blocks, so query blocks are as large as a task's memory allows,
 and vectors travel in the narrowest whole numbers that hold them all.
@@ -17,7 +18,7 @@ part, nor do rows without an id; an empty vector scores zero with all; vectors o
 length are taken whole, and shorter ones lack the further terms. Rows with the query's own
 id are its own row and are left out. Repeated rows of another id are candidates one by one;
 rows that repeat a query id are one query, whose list ranks what each of them finds, so that
-a candidate stands in it once for each. Ties go to the smaller id. Components saturate at
+a candidate stands in it once for each (equal rows are searched once, and up to ``k`` copies listed). Ties go to the smaller id. Components saturate at
 the bounds of a long; scores are exact, and those beyond a long are given as its bound, in
 the order of their doubles. An empty table gives no rows; further columns are not read.
 """
@@ -90,7 +91,7 @@ def exact_type(left: np.ndarray, right: np.ndarray, terms: int) -> type:
 
 
 def search_cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Each query's k best candidates within one cell; both frames hold ``vec_id, v``."""
+    """Each query's k best candidates within one cell; both frames hold ``vec_id, v``, that of queries how often the row is there."""
     candidates = candidates.sort_values("vec_id", kind="stable")
     ids = candidates["vec_id"].to_numpy()
     held, held_terms, held_weights = _sparse(candidates["v"])
@@ -99,22 +100,23 @@ def search_cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.D
     index = dense(postings(held, held_terms, held_weights.astype(kind)), len(ids))
     ends = np.searchsorted(who, np.arange(len(queries) + 1))
     scores, big = np.zeros(len(ids), kind), np.iinfo(np.int64)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
+    times = queries["times"].to_numpy() if "times" in queries else np.ones(len(queries), np.int32)
     for q, query_id in enumerate(queries["vec_id"].to_numpy()):
         own = slice(ends[q], ends[q + 1])
         accumulate(list(zip(terms[own].tolist(), weights[own].tolist())), index, scores)
         lo, hi = np.searchsorted(ids, query_id, "left"), np.searchsorted(ids, query_id, "right")
         place = np.sort(np.concatenate([select(scores[:lo], ids[:lo], k), hi + select(scores[hi:], ids[hi:], k)]))
         place = place[select(scores[place], ids[place], k)]
-        found.append((np.full(len(place), query_id), ids[place], scores[place]))
+        found.append((np.full(len(place), query_id), ids[place], scores[place], np.full(len(place), times[q], np.int32)))
     if not found:
-        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64), "over": np.zeros(0, np.float64)})
-    query, vec, score = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64), "over": np.zeros(0, np.float64), "times": np.zeros(0, np.int32)})
+    query, vec, score, times = (np.concatenate(x) for x in zip(*found))
     over = np.zeros(len(score))
     if kind is object:  # what a long cannot hold, for the order only
         over = np.array([float(s) if not big.min <= s <= big.max else 0.0 for s in score])
         score = np.array([min(max(s, big.min), big.max) for s in score], np.int64)
-    return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score.astype(np.int64), "over": over})
+    return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score.astype(np.int64), "over": over, "times": times})
 
 
 def top_k(
@@ -130,13 +132,15 @@ def top_k(
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
     # both sides name a cell by two longs: the join of groups compares hashes of the keys as they are
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks).cast("long"))
-    query_own = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks).cast("long"))
+    own = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks).cast("long"))
+    query_own = F.pmod(F.xxhash64("vec_id", "v"), F.lit(query_blocks).cast("long"))
     v = F.col("v").cast(f"array<{narrow}>").alias("v")
     right = vectors.select("vec_id", v, own.alias("c"), numbers(query_blocks).alias("q"))
-    left = vectors.where(is_query).select("vec_id", v, numbers(blocks).alias("c"), query_own.alias("q"))
+    asked = vectors.where(is_query).groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    left = asked.select("vec_id", v, "times", numbers(blocks).alias("c"), query_own.alias("q"))
     each = left.groupBy("c", "q").cogroup(right.groupBy("c", "q"))
-    found = each.applyInPandas(lambda a, b: search_cell(a, b, k), "query_id long, vec_id long, score long, over double")
+    found = each.applyInPandas(lambda a, b: search_cell(a, b, k), "query_id long, vec_id long, score long, over double, times int")
+    found = found.select("*", F.explode(F.sequence(F.lit(1), "times")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("over"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

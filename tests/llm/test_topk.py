@@ -56,3 +56,13 @@ def test_narrow_types():
     assert topk.exact_type(np.array([1 << 20]), np.array([1 << 20]), 64) is np.int64
     assert topk.exact_type(np.array([1 << 40]), np.array([1 << 40]), 1) is object
     assert topk.exact_type(np.zeros(0, int), np.zeros(0, int), 0) is np.int32
+
+
+def test_frequent_ids_are_dealt_out(spark):
+    """Four fifths of the rows have one id, and equal rows of a query are searched once."""
+    rows = [(7, [float(k % 5), 1.0]) for k in range(800)] + [(k, [1.0, float(k % 3)]) for k in range(100, 200)] + [(20, [1.0, 2.0])] * 300
+    assert run(spark, rows, 20, 64, 128) == brute(rows, 20)
+    df = topk.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(4))
+    sizes = [r["count"] for r in df.groupBy(block.alias("b")).count().collect()]
+    assert max(sizes) < 1.3 * min(sizes)
