@@ -35,6 +35,10 @@ BATCH = 3 << 20
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, decoded_crc32 long, round_trip boolean"
 
 
+#: with so few units left, a loop over their edges is faster than steps of all side by side
+FEW = 8
+
+
 class Vocabulary:
     """Pieces of a byte-pair model with identity normalisation, a leading space and byte fallback."""
 
@@ -59,6 +63,8 @@ class Vocabulary:
         self.keys = packed([self.piece[k] for k in self.normal], self.width)
         self.top = upper([self.piece[k] for k in self.normal], self.width)
         self.size = np.array([len(x) for x in self.piece])
+        self.sizes = self.size.tolist()
+        self.single: dict[tuple[int, int], bool] = {}
         self.most = most
         self.checked = np.zeros(0, np.int64)  # pairs whose verdict is known
         self.verdict = np.zeros(0, bool)
@@ -89,6 +95,15 @@ class Vocabulary:
                 return now
             now[best[0] : best[0] + 2] = [best[1]]
 
+    def compatible_pair(self, left: int, right: int) -> bool:
+        """``compatible`` for one pair; verdicts are kept."""
+        got = self.single.get((left, right))
+        if got is None:
+            if len(self.single) > self.most:  # known verdicts only save time
+                self.single.clear()
+            got = self.single[left, right] = self.merge(self.piece[left] + self.piece[right]) == [left, right]
+        return got
+
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the two pieces stand as they are when their joined text is merged."""
         key = left * len(self.piece) + right
@@ -168,6 +183,9 @@ class Lattice:
         cuts = np.searchsorted(offset[by_offset], np.arange(len(edge_cuts)))
         for d in range(len(edge_cuts) - 1):  # all units side by side, one position after the other
             here = by_offset[cuts[d] : cuts[d + 1]]
+            if len(here) <= FEW:
+                self._relax_each(last, covered, into, d, edge_cuts[d])
+                break
             last[here[~covered[here]]] = -1
             own = slice(edge_cuts[d], edge_cuts[d + 1])
             piece, start, to = self.piece[own], self.start[own], into[own]
@@ -178,6 +196,24 @@ class Lattice:
             last[to[fine]] = piece[fine]
         return self._walk(last)
 
+    def _relax_each(self, last: np.ndarray, covered: np.ndarray, into: np.ndarray, depth: int, edge: int) -> None:
+        """``relax`` from position ``depth`` on, where few units are that long: one after the other, an edge at a time."""
+        v = self.vocabulary
+        unit = np.searchsorted(self.base, self.start[edge:], "right") - 1
+        order = edge + np.argsort(unit, kind="stable")
+        stops = np.cumsum(np.bincount(unit, minlength=len(self.base)))
+        for u in np.flatnonzero(self.length > depth).tolist():
+            base, end = int(self.base[u]), int(self.base[u] + self.length[u])
+            tail = last[base + depth : end]
+            tail[~covered[base + depth : end]] = -1
+            now = [-1, *last[base:end].tolist()]  # what ends before each character of the unit
+            own = order[(stops[u - 1] if u else 0) : stops[u]]
+            for piece, start, to in zip(self.piece[own].tolist(), (self.start[own] - base).tolist(), (into[own] - base).tolist()):
+                before = now[start]
+                if before == -1 or before >= 0 and v.compatible_pair(before, piece):
+                    now[to + 1] = piece
+            last[base:end] = now[1:]
+
     def _walk(self, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From every unit's end back to its start, all units side by side."""
         v = self.vocabulary
@@ -185,6 +221,18 @@ class Lattice:
         at = self.base[unit] + self.length[unit] - 1
         owner, place, found = [], [], []
         while len(unit):
+            if len(unit) <= FEW:
+                for u, k in zip(unit.tolist(), at.tolist()):
+                    base, back = int(self.base[u]), []
+                    pieces = last[base : k + 1].tolist()
+                    k -= base
+                    while k >= 0:
+                        back.append(k)
+                        k -= int(v.sizes[pieces[k]]) if pieces[k] >= 0 else 1
+                    owner.append(np.full(len(back), u))
+                    place.append(base + np.array(back))
+                    found.append(last[place[-1]])
+                break
             p = last[at]
             owner.append(unit)
             place.append(at)

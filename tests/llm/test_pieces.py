@@ -1,6 +1,7 @@
 """Whole batches of hard texts against the library; very long words; index ranges against plain search."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -48,3 +49,14 @@ def test_ranges_hold_every_occurrence():
             want |= {(base + s, v.id[u[s:e]]) for e in range(s + 1, len(u) + 1) if u[s:e] in v.id}
         base += len(u)
     assert got == want and len(text) == base
+
+
+def test_one_run_of_five_million_letters():
+    """A run without a space takes time in proportion to its length, and equals the library's pieces."""
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/") for _ in range(5_000_000))
+    equal([text[:60_000] + " and " + text[60_000:61_000], text[:3000]])
+    began = time.perf_counter()
+    (ids,) = OWN([text])
+    assert time.perf_counter() - began < 120
+    assert OWN.decode(ids) == text
