@@ -9,8 +9,9 @@ sign that is neither letter nor digit, and the parts on both sides of it are sco
 
 The default samples are made here from a fixed seed: random strings over the alphabets
 that keys use, and ordinary ones: identifiers, paths, words of several languages and of
-none, dates, rules and borders, one sign again and again. Callers can pass labelled
-samples of their own.
+none, joined acronyms, dates, rules and borders, one sign again and again. Callers can pass labelled
+samples of their own. Two kinds of random strings are public by their form, and no span of the
+method reaches into them: universally unique identifiers, and public keys by their header.
 
 Defined results: null and empty texts have no spans; texts and runs of any length are
 scored whole; repeated rows give repeated results; an empty table gives no rows; further
@@ -32,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import map_slices, slices, table, text_bytes
+from spanloom.llm.common import map_slices, release, slices, table, text_bytes
 from spanloom.llm.registry import QUERIES
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -53,6 +54,22 @@ WORDS = (
     "château toujours beaucoup développement monsieur quelque jamais oiseaux travail nouveau "
     "corazón siempre ciudad desarrollo mañana trabajo nosotros pequeño gobierno quizás"
 ).split()
+#: names and words of further languages
+NAMES = (
+    "Krzysztof Szczepan Wojciech Grzegorz Przemysław Małgorzata Katarzyna Zbigniew mieszkanie przedsiębiorstwo szczęście chrząszcz wszystkich "
+    "Llanfair gwyngyll gogerych chwyrn drobwll llantysilio gwasanaeth cymdeithas ysgol prifysgol cyfrifiadur "
+    "o'zbekiston qishloq xo'jaligi shahar toshkent bo'yicha kutubxona özgürlük çalışma teşekkür yükseköğretim "
+    "työttömyys kansainvälinen yhteiskunta megszentségtelenített hagyományos közösség čtvrtek přátelství zmrzlina"
+).split()
+ACRONYMS = (
+    "NASDAQ NYSE AMEX FTSE DAX CAC NIKKEI HTTP HTTPS TCP UDP SMTP IMAP POP SSH FTP DNS DHCP LDAP JSON XML YAML HTML CSS SQL CSV PDF PNG JPEG GIF "
+    "NATO UNESCO UNICEF OECD WTO IMF EU UN USA UK NASA ESA CERN MIT BBC CNN NBC ABC USB HDMI RAM ROM CPU GPU SSD BIOS VPN LAN WAN RGB CMYK"
+).split()
+#: forms of random strings that are no secrets: UUIDs whole, and what follows the headers of public keys
+PUBLIC = re.compile(
+    rb"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])"
+    rb"|(?<![A-Za-z0-9+/])AAAA(?:B3NzaC1|C3NzaC1|E2VjZHNh)[A-Za-z0-9+/=]+"
+)
 ONSETS = "b c d f g h j k l m n p r s t v w z br ch cl cr dr fl gr pl pr qu sch sh sp st str th tr".split()
 VOWELS = "a e i o u ai au ea ei eu ie io oi ou ui".split()
 CODAS = ["", "", "", "l", "m", "n", "r", "s", "t", "x", "ch", "ck", "ng", "nt", "rt", "st"]
@@ -60,7 +77,7 @@ CODAS = ["", "", "", "l", "m", "n", "r", "s", "t", "x", "ch", "ck", "ng", "nt",
 
 def ordinary(rng: random.Random) -> str:
     """A run of token characters that is no secret: identifiers, paths, long words, dates, rules and borders."""
-    kind = rng.randrange(20)
+    kind = rng.randrange(22)
     words = [rng.choice(WORDS) for _ in range(rng.randint(2, 6))]
     if kind < 9:
         text = (
@@ -81,6 +98,11 @@ def ordinary(rng: random.Random) -> str:
     if kind < 19:  # one sign again and again, or all in order
         signs = rng.choice([string.ascii_lowercase, string.ascii_uppercase, string.digits + "abcdef", string.digits])
         return rng.choice([rng.choice(signs) * rng.randint(8, 40), signs[rng.randint(0, 5) :]])
+    if kind < 20:  # of other languages, with an ending now and then
+        own = [rng.choice(NAMES) + rng.choice(["", "", "owi", "ach", "ning", "lar", "nen"]) for _ in range(rng.randint(1, 3))]
+        return rng.choice(["_", "-", "", "/"]).join(w if rng.random() < 0.6 else w.title() for w in own)
+    if kind < 21:
+        return rng.choice("/_-+=").join(rng.choice(ACRONYMS) for _ in range(rng.randint(2, 7)))
     return "/".join([rng.choice(["", "home", "usr", "var", "https", "www"]), *words]) + rng.choice(["", "/", "-1", "_v2", f"/{rng.randint(1, 99)}"])
 
 
@@ -197,7 +219,9 @@ def scan(texts: pa.Array, model: Markov, min_length: int, margin: float, rate: f
     for row, s, e in zip(*runs(raw, at, TOKEN, min_length)):
         row, a, b = int(row), int(s - at[row]), int(e - at[row])
         own = base.get(row, [])
-        for x, y in [*own[bisect_right(own, a, key=lambda z: z[1]) : bisect_left(own, b, key=lambda z: z[0])], (b, b)]:
+        cuts = own[bisect_right(own, a, key=lambda z: z[1]) : bisect_left(own, b, key=lambda z: z[0])]
+        open_ = [(a + m.start(), a + m.end()) for m in PUBLIC.finditer(raw[s:e].tobytes())]
+        for x, y in [*(sorted(cuts + open_) if open_ else cuts), (b, b)]:
             if x - a >= min_length:
                 part = raw[at[row] + a : at[row] + x].tobytes()
                 for u, v in segments(part, model, min_length, margin, rate):
@@ -263,6 +287,7 @@ def redacted(docs: DataFrame, min_length: int = 16, margin: float = 8.0, rate: f
                         size = pc.if_else(pc.is_valid(clean), pc.utf8_length(clean).cast(part.column(at).type), part.column(at))
                         part = part.set_column(at, "n_chars", size)
                 yield part
+            release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -87,3 +87,40 @@ def test_odd_rows(spark):
     assert sorted((str(r["doc_id"]), r["n_assign"], r["spans"]) for r in got) == [
         ("1", 0, ""), ("2", 0, ""), ("3", 1, "assign:0:14"), ("3", 1, "assign:0:14"), ("4", 0, ""), ("None", 1, "assign:0:14"),
     ]
+
+
+def best_segment(ratio, least, rate):
+    """The highest sum above the rate of any segment of at least ``least`` characters, over all pairs of ends."""
+    return max((sum(x - rate for x in ratio[a:b]), a, b) for a in range(len(ratio)) for b in range(a + least, len(ratio) + 1))
+
+
+def test_segments_equal_all_pairs_of_ends():
+    rng = random.Random(8)
+    for _ in range(60):
+        text = "".join(rng.choice(["path", "/", "user", "_", rng.choice(LETTERS) * 1, rng.choice(LETTERS + "+/") + rng.choice(LETTERS)]) for _ in range(rng.randint(8, 22))).encode()
+        ratio = MODEL.each(text).tolist()
+        got = secrets.segments(text, MODEL, 16, 8.0, 0.7)
+        if len(text) < 16:
+            assert got == []
+        elif sum(ratio) > max(8.0, 0.7 * len(text)):
+            assert got == [(0, len(text))]
+        else:
+            total, a, b = best_segment(ratio, 16, 0.7)
+            inside = sum(ratio[a:b])
+            if inside > 8.0 and inside > 0.7 * (b - a) + 1e-9:
+                assert any(s <= a and b <= e for s, e in got)
+            else:
+                assert got == []
+
+
+def test_public_forms_and_names_are_no_secrets():
+    rng = random.Random(9)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    uuids = ["-".join(hexes(n) for n in (8, 4, 4, 4, 12)) for _ in range(200)]
+    b64 = "".join(rng.choice(LETTERS + "+/") for _ in range(300))
+    texts = [f"id {u} of" for u in uuids] + [f"see /items/{u}/view" for u in uuids] + [u.upper() for u in uuids]
+    texts += [f"ssh-rsa AAAAB3NzaC1yc2EAAAADAQABAAABAQC{b64} me@host", f"ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAI{b64[:43]} me@host"]
+    texts += ["NASDAQ/NYSE/AMEX/FTSE/DAX", "Krzysztofowi_Szczepaniakowi", "Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogogoch", "UNESCO-UNICEF-OECD-NATO", "HTTP/HTTPS/TCP/UDP"]
+    assert [text for text, found in zip(texts, spans(texts)) if found] == []
+    key = "".join(rng.choice(LETTERS) for _ in range(40))
+    assert all(found for found in spans([f"{uuids[0]} {key}", f"key={key}/{uuids[1]}"]))
