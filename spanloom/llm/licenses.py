@@ -230,7 +230,6 @@ def matches(texts: pa.Array, index: Index, min_coverage: float, slack: float = 0
         if n >= min_coverage * size[t]:
             out.append((r, t, int(which[base + first]), int(which[base + last]), n))
 
-    # neighbouring diagonals make one candidate
     for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]):  # neighbouring diagonals make one candidate
         settle(int(row[s]), int(template[s]), int(diagonal[s]), int(diagonal[e - 1]))
     edges = np.flatnonzero(new_pair)

@@ -27,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from spanloom.llm.common import LOWER, WHITE, cut, joined_by_count, map_slices, slices, table, text_bytes
+from spanloom.llm.common import LOWER, WHITE, cut, joined_by_count, map_slices, table, text_bytes
 from spanloom.llm.graph import components, local_components
 from spanloom.llm.registry import QUERIES
 from spanloom.llm.xxh import xxh64
@@ -206,26 +205,6 @@ def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 6, cell: i
     return joined_by_count(own, known, "fp", "n", own.count()).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, distance: int = 3, blocks: int = 6, cell: int = 4096, width: int = 3) -> DataFrame:
-    """One row of each group, with all of its columns: that of the smallest doc_id, null ids last."""
-    own = cut(cut(fingerprints(docs, width)).groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best")))
-    chosen = own.join(groups(own.select("fp"), distance, blocks, cell), "fp").groupBy("root").agg(F.min("best").alias("best"))
-    name = "fp"
-    while name in docs.columns:
-        name = f"_{name}"
-    chosen = chosen.select(F.col("best.doc_id").alias("chosen_id"), F.col("best.fp").alias("chosen_fp"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                rows, hashes = shingles(part.column("text"), width)
-                yield part.append_column(name, pa.array(simhash(rows, hashes, part.num_rows).view(np.int64)))
-
-    full = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
-    same = full["doc_id"].eqNullSafe(chosen["chosen_id"]) & (full[name] == chosen["chosen_fp"])
-    return full.join(chosen, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
