@@ -117,10 +117,11 @@ class Encoder(dict):
     of letters are a token of their own, plain Latin ones with white space inside are cut by
     the pattern, and what is left is coded, many parts in one text. The dictionary itself
     holds what stands behind a space, under its bare text, and ``known`` other tokens; both
-    are bounded. Texts are cut only for a file with that byte-level pattern and no normaliser;
+    are bounded in entries, and no entry of over ``LONG`` characters outlives its slice. Texts are cut only for a file with that byte-level pattern and no normaliser;
     any other vocabulary codes whole texts.
     """
 
+    LONG = 256
     SIGNS = ".,!?;:$%&*#|"
     #: a space that any white space of Unicode follows
     ODD = r" [\s\x0b\x1c-\x1f\x{85}\pZ]"
@@ -140,6 +141,7 @@ class Encoder(dict):
         self.white = re.compile(r"\s").search
         self.tokens = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.known: dict[str, bytes] = {}
+        self.long = False  # whether there may be long entries
         names = self.model.get_vocab()
         self.space = np.zeros(1 + max(names.values()), bool)
         self.space[[k for name, k in names.items() if name.startswith("\u0120")]] = True  # the sign for a space
@@ -208,6 +210,7 @@ class Encoder(dict):
         units = kinds.to_numpy(zero_copy_only=False).tolist()
         new = [x for x in units if x not in self]
         if new:
+            self.long = self.long or max(map(len, new)) > self.LONG
             self.learn(new)
         held = list(map(self.__getitem__, units)) + self.ids(flat.take(pa.array(first)).to_pylist())
         which = np.empty(len(flat), np.int64)
@@ -228,6 +231,10 @@ class Encoder(dict):
             return []
         if not self.cuts:
             return self.ids(texts.to_pylist())
+        for held in (self, self.known) if self.long else ():
+            for part in [x for x in held if len(x) > self.LONG]:
+                del held[part]
+        self.long = False
         trim(self, self.most)
         trim(self.known, self.most // 3)
         odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False)

@@ -39,3 +39,12 @@ def test_other_pre_tokenisers_code_whole_texts(tmp_path):
     own = packing.Encoder(str(path))
     assert not own.cuts
     assert list(own(texts)) == [np.array(x.ids, "<u4").tobytes() for x in own.model.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_parts_do_not_stay_in_the_cache():
+    own = packing.Encoder(packing.default_vocabulary())
+    texts = ["start " + "w" * 500_000 + " " + "x9" * 200_000 + "!" * 90_000 + " end", "plain words"]
+    want = [np.array(x.ids, "<u4").tobytes() for x in own.model.encode_batch(texts, add_special_tokens=False)]
+    assert own(texts) == want and own.long
+    assert own(["plain words again", "more of them"]) and not own.long
+    assert max(map(len, [*own, *own.known])) <= own.LONG and "words" in own
