@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spanloom.checkpoint import cut
@@ -98,7 +99,7 @@ def scripts(rows: DataFrame, text: str = "text") -> DataFrame:
 
 def outcomes(
     passages: DataFrame, excluded: DataFrame, chosen: list[str], quotas: dict[str, int] | None = None, held: int = 0,
-    total: Callable[[DataFrame], int] | int | None = None, state: SeenState | None = None, together: int | None = None,
+    total: Callable[[DataFrame], int] | int | None = None, state: SeenState | None = None, together: int | None = None, batch: int | None = None,
 ) -> DataFrame:
     """``passages`` without its text, with ``n_chars, script, reason, split``: one reason for each passage.
 
@@ -111,11 +112,15 @@ def outcomes(
 
     Sources go through ``state`` in batches of ``together``, or all at once without it; the result is
     the same. With ``total`` they go one by one; it may be a function of the rows accepted so far.
-    A state that holds earlier batches goes on from them.
+    A state that holds earlier batches goes on from them: a source that has its quota is not read
+    any further. ``batch`` names the one batch that all of this is, for one that may be run again.
     """
+    if batch is not None and (total is not None or together is not None):
+        raise ValueError("a named batch is one batch")
     rows = cut(_tested(passages.where(F.col("source").isin(*chosen)), excluded))
     own = state or SeenState(passages.sparkSession)
-    batch, chars, gone = own.progress()
+    batch, chars, gone = own.progress(batch)
+    visited = set(chars)
     width = 1 if total is not None else together or max(len(chosen), 1)
     out = rows.withColumns({"reason": F.lit("unread"), "split": F.lit(None).cast("string")}).limit(0)
     full = False
@@ -128,16 +133,17 @@ def outcomes(
         limits = {s: q for s, q in (quotas or {}).items() if s in names and q is not None}
         left = max(held - gone, 0)
         candidates = part.where("early is null").select("seq", "source", "n_chars", "digest", "paragraphs", "bands")
-        told, ends = settle(_first_documents(candidates, part, limits, chars), own, batch, limits, chars, left)
+        told, ends = settle(_first_documents(candidates, part, limits, chars, visited), own, batch, limits, chars, left)
         told = part.join(told, "seq", "left")
         reason = F.when(read_up_to(ends), F.coalesce("reason", "early", F.lit("unread"))).otherwise("unread")
-        told = _first_documents(told, part, limits, chars, reason)
+        told = _first_documents(told, part, limits, chars, visited, reason)
         last = told.where("reason = 'accepted'").select("seq").orderBy("seq").limit(left).agg(F.max("seq"), F.count("*")).first() if left else (None, 0)
         split = F.when(F.col("reason") == "accepted", F.when(F.col("seq") <= F.lit(last[0]), "holdout").otherwise("train"))
         told = cut(told.withColumn("split", split))
         gone += last[1]
         for r in told.where("split = 'train'").groupBy("source").agg(F.sum("n_chars").alias("n")).collect():
             chars[r["source"]] = chars.get(r["source"], 0) + r["n"]
+        chars = dict.fromkeys(names, 0) | chars
         own.finish(batch, chars, gone)
         out, batch = out.unionByName(told), batch + 1
         if total is not None:
@@ -160,15 +166,18 @@ def _tested(passages: DataFrame, excluded: DataFrame) -> DataFrame:
     return rows.join(hit, "seq", "left").withColumn("early", F.coalesce("early", F.when(F.col("hit"), "excluded"))).drop("hit")
 
 
-def _first_documents(rows: DataFrame, part: DataFrame, quotas: dict[str, int], chars: dict[str, int], reason: Column | None = None) -> DataFrame:
-    """``rows`` that are read at all: a source without any quota left is read up to the end of its first document.
+def _first_documents(
+    rows: DataFrame, part: DataFrame, quotas: dict[str, int], chars: dict[str, int], visited: set[str], reason: Column | None = None
+) -> DataFrame:
+    """``rows`` that are read at all: a source without any quota is read up to the end of its first document.
 
-    With ``reason``, all rows, with what is not read by name. One row a source reaches the driver.
+    One that got its quota in an earlier batch is not read any further. With ``reason``, all rows, with what is not read by name. One row a source reaches the driver.
     """
     done = [s for s, q in quotas.items() if q <= chars.get(s, 0)]
     skip = F.lit(False)
     if done:
-        ends = part.where(F.col("source").isin(*done)).groupBy("source").agg(F.min("document").alias("document")).collect()
+        skip = F.col("source").isin(*[s for s in done if s in visited])
+        ends = part.where(F.col("source").isin(*[s for s in done if s not in visited])).groupBy("source").agg(F.min("document").alias("document")).collect()
         for r in ends:
             last = part.where((F.col("source") == r["source"]) & (F.col("document") == r["document"])).agg(F.max("seq")).first()[0]
             skip = skip | ((F.col("source") == r["source"]) & (F.col("seq") > last))
@@ -221,6 +230,7 @@ class Corpus:
     max_chars: int
     chars_per_token: float | None = None
     calibrated: bool = False
+    foreign: tuple[str, ...] = ()
 
     def passages(self) -> DataFrame:
         return stream_passages(self.docs, self.sources, self.limit, self.max_chars)
@@ -239,7 +249,7 @@ def build(
     if len(set(sources)) < len(sources):
         raise ValueError("a source is named twice")
     sources = [s for s in sources if budget is None or budget.foreign_share > 0 or s not in budget.foreign]
-    corpus = Corpus(docs, docs.limit(0), sources, limit, max_chars, budget and budget.chars_per_token)
+    corpus = Corpus(docs, docs.limit(0), sources, limit, max_chars, budget and budget.chars_per_token, foreign=budget.foreign if budget else ())
     stop = None
     if budget is not None:
         quotas = group_quotas(
@@ -269,3 +279,42 @@ def calibrate(rows: DataFrame, order: str = "seq", sample: int = 200, max_chars:
 
 def step_budget(tokens: Column, batch: int, accumulation: int, block: int = 512) -> Column:
     return F.greatest(F.lit(1000).cast("long"), F.floor(tokens / (batch * accumulation * block)))
+
+
+REASONS = ("short", "alphabet", "ocr", "excluded", "exact", "paragraph", "near", "accepted", "unread")
+
+
+def write_corpus(corpus: Corpus, folder: str) -> dict:
+    """Write ``folder/split=train`` and ``folder/split=holdout`` as JSON lines, and return the manifest, also written to ``folder/manifest``.
+
+    Counters, characters, shares and scripts are metrics that Spark collects while the passages are
+    written, so the outcomes are read once. The sum of all outcomes is the number of passages.
+    """
+    told, seen = corpus.decided, Observation()
+    train = F.col("split") == "train"
+    count = lambda x, name: F.count_if(F.coalesce(x, F.lit(False))).alias(name)
+    chars = lambda x, name: F.coalesce(F.sum(F.when(x, F.col("n_chars"))), F.lit(0)).alias(name)
+    metrics = [F.count("*").alias("passages"), count((F.col("passage_no") == 0) & (F.col("reason") != "unread"), "documents_read")]
+    metrics += [count(F.col("reason") == r, r) for r in REASONS] + [count(train, "train"), count(F.col("split") == "holdout", "holdout"), chars(train, "chars")]
+    metrics += [count(train & (F.col("script") == s), f"script_{s}") for s in ("both", "cyr", "lat")]
+    for k, source in enumerate(corpus.sources):
+        own = train & (F.col("source") == source)
+        metrics += [count(own, f"docs_{k}"), chars(own, f"chars_{k}")]
+    taken = told.observe(seen, *metrics).where("split is not null").select("seq", "split")
+    texts = corpus.passages().select("seq", F.col("passage").alias("text"))
+    texts.join(taken, "seq").select("text", "split").write.mode("overwrite").partitionBy("split").json(folder)
+    got = seen.get
+    total = max(got["chars"], 1)
+    by = {s: (got[f"docs_{k}"], got[f"chars_{k}"]) for k, s in enumerate(corpus.sources)}
+    rate = corpus.chars_per_token or 2.6
+    manifest = {
+        "sources": corpus.sources, "documents": got["train"], "characters": got["chars"], "estimated_tokens": int(got["chars"] / rate),
+        "chars_per_token": round(rate, 3), "calibrated": corpus.calibrated, "by_source": {s: n for s, (n, _) in by.items()},
+        "share_by_source": {s: round(c / total, 4) for s, (_, c) in by.items()},
+        "foreign_share": round(sum(c for s, (_, c) in by.items() if s in corpus.foreign) / total, 4),
+        "by_script": {s: got[f"script_{s}"] for s in ("both", "cyr", "lat")}, "holdout_documents": got["holdout"], "passage_chars": corpus.limit,
+        "filters": {"documents_read": got["documents_read"], "passages": got["passages"] - got["unread"]} | {r: got[r] for r in REASONS},
+    }
+    spark = told.sparkSession
+    spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    return manifest

@@ -39,9 +39,14 @@ class SeenState:
             )
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.prefix}_done (batch INT, source STRING, chars BIGINT, held BIGINT) USING parquet LOCATION '{self.folder}/done'")
 
+    def table(self, name: str) -> DataFrame:
+        """One of the tables as it is now: another session, such as that of a stream, may have added to it."""
+        self.spark.catalog.refreshTable(f"{self.prefix}_{name}")
+        return self.spark.table(f"{self.prefix}_{name}")
+
     def known(self, kind: str, keys: DataFrame, batch: int) -> DataFrame:
         """The distinct ``key`` rows of ``keys`` that a batch before this one has registered."""
-        held = self.spark.table(f"{self.prefix}_{kind}").where(F.col("batch") < batch).select("key")
+        held = self.table(kind).where(F.col("batch") < batch).select("key")
         return keys.select("key").where("key is not null").distinct().join(held.hint("shuffle_hash"), "key", "left_semi")
 
     def add(self, kind: str, keys: DataFrame, batch: int) -> None:
@@ -54,11 +59,17 @@ class SeenState:
         rows = [(batch, source, n, held) for source, n in chars.items()] or [(batch, None, 0, held)]
         self.spark.createDataFrame(rows, "batch int, source string, chars long, held long").coalesce(1).write.insertInto(f"{self.prefix}_done")
 
-    def progress(self) -> tuple[int, dict[str, int], int]:
-        """The next batch's number, the characters taken of each source, and the rows held out so far."""
-        done = self.spark.table(f"{self.prefix}_done").orderBy("batch").collect()  # a row for each source and batch
-        chars = {r["source"]: r["chars"] for r in done if r["source"] is not None}
-        return (done[-1]["batch"] + 1 if done else 0), chars, (done[-1]["held"] if done else 0)
+    def progress(self, batch: int | None = None) -> tuple[int, dict[str, int], int]:
+        """The next batch's number, the characters taken of each source, and the rows held out so far.
+
+        With ``batch``, what they were before it, done or not.
+        """
+        done = self.table("done").where(F.lit(True) if batch is None else F.col("batch") < batch)
+        last = F.max(F.struct("batch", "chars", "held")).alias("last")
+        rows = done.groupBy("source").agg(last).collect()  # a row for each source
+        chars = {r["source"]: r["last"]["chars"] for r in rows if r["source"] is not None}
+        newest = max((r["last"] for r in rows), key=lambda x: x["batch"], default=None)
+        return (newest["batch"] + 1 if newest and batch is None else batch or 0), chars, (newest["held"] if newest else 0)
 
     def forget(self) -> None:
         """Drop the tables' names and files."""

@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from spanloom.plans import annotation, curation, evaluation  # noqa: F401
+from spanloom.plans import annotation, curation, evaluation, streams  # noqa: F401
 
 FLAGSHIP = "span_prf"

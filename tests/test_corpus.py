@@ -190,3 +190,26 @@ def test_digests_and_signatures(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"abc" * 1000)
     one = digests.file_digests(spark, str(tmp_path)).first()
     assert one["sha256"] == hashlib.sha256(b"abc" * 1000).hexdigest() and one["length"] == 3000
+
+
+def test_manifest_from_the_write_itself(spark, tmp_path):
+    docs, barred = stream(3)
+    excluded = spark.createDataFrame([(barred,)], "t string").select(digests.normalized_digest("t").alias("digest"))
+    quotas = {"s0": 3000, "s1": 900}
+    order = ["s1", "s0", "s2", "s3"]
+    made = corpus.build(spark.createDataFrame(docs, DOCS), excluded, order, quotas, 3)
+    got = corpus.write_corpus(made, str(tmp_path / "corpus"))
+    want = one_loop(docs, {plain(barred)}, order, quotas, 3, 8000)
+    filters = Counter(r for r, _ in want.values())
+    assert {k: v for k, v in got["filters"].items() if k in corpus.REASONS and v} == filters
+    assert sum(got["filters"][r] for r in corpus.REASONS) - filters["unread"] == got["filters"]["passages"]
+    text = {(s, f, k): t for s, f, k, _, t in docs}
+    kept = {where: text[where[:3]] for where, (_, split) in want.items() if split == "train"}
+    assert got["documents"] == len(kept) and got["characters"] == sum(map(len, kept.values())) and got["holdout_documents"] == 3
+    assert got["by_source"] == {s: sum(w[0] == s for w in kept) for s in order}
+    written = spark.read.json(str(tmp_path / "corpus" / "split=train"))
+    assert sorted(r["text"] for r in written.collect()) == sorted(kept.values())
+    assert spark.read.json(str(tmp_path / "corpus" / "split=holdout")).count() == 3
+    import json
+
+    assert json.loads("".join(r["value"] for r in spark.read.text(str(tmp_path / "corpus" / "manifest"), wholetext=True).collect())) == got
