@@ -58,10 +58,11 @@ class Vocabulary:
         for b, k in enumerate(self.byte):
             self.output[k] = bytes([b])
         self._merges()
-        # pieces as keys of the suffix array: code points in three bytes each, by length
+        # pieces as rows of code points plus one, zero behind their ends, like the suffixes
         self.normal = np.array(sorted(normal, key=lambda k: self.piece[k]))
-        self.keys = packed([self.piece[k] for k in self.normal], self.width)
-        self.top = upper([self.piece[k] for k in self.normal], self.width)
+        self.letters = np.zeros((len(normal), self.width), np.uint32)
+        for row, k in zip(self.letters, self.normal.tolist()):
+            row[: len(self.piece[k])] = np.frombuffer(self.piece[k].encode("utf-32-le", "surrogatepass"), "<u4") + 1
         self.size = np.array([len(x) for x in self.piece])
         self.sizes = self.size.tolist()
         self.single: dict[tuple[int, int], bool] = {}
@@ -125,25 +126,10 @@ class Vocabulary:
         return self.verdict[at]
 
 
-def packed(texts: list[str], size: int) -> np.ndarray:
-    """Fixed-width keys that sort like the texts' first ``size`` code points; zero marks the end."""
-    grid = np.zeros((len(texts), size), np.uint32)
-    for k, text in enumerate(texts):
-        grid[k, : len(text)] = np.frombuffer(text[:size].encode("utf-32-le", "surrogatepass"), "<u4") + 1
-    return as_keys(grid)
-
-
-def upper(texts: list[str], size: int) -> np.ndarray:
-    """Keys above every text that starts with the given one, and below those that sort behind it."""
-    grid = np.full((len(texts), size), 0xFFFFFF, np.uint32)
-    for k, text in enumerate(texts):
-        grid[k, : len(text)] = np.frombuffer(text[:size].encode("utf-32-le", "surrogatepass"), "<u4") + 1
-    return as_keys(grid)
-
-
-def as_keys(grid: np.ndarray) -> np.ndarray:
-    three = np.ascontiguousarray(grid.astype(">u4").view(np.uint8).reshape(*grid.shape, 4)[:, :, 1:])
-    return three.reshape(len(grid), 3 * grid.shape[1]).view(f"V{3 * grid.shape[1]}")[:, 0]
+def narrow_argsort(key: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative numbers; small ones are sorted by digits, in linear time."""
+    small = len(key) and int(key.max()) < 1 << 16
+    return np.argsort(key.astype(np.uint16) if small else key, kind="stable")
 
 
 class Lattice:
@@ -162,13 +148,13 @@ class Lattice:
         padded[:n] = text + 1
         grid = np.lib.stride_tricks.sliding_window_view(padded, v.width)[:n] * (np.arange(v.width) < left[:, None])
         grid[:, -1] = 0
-        array, keys = sorted_suffixes(grid)
-        low, high = bisect(keys, v.keys), bisect(keys, v.top)
+        array, lanes, place, bits = sorted_suffixes(grid)
+        low, high = ranges(lanes, v.letters, place, bits)
         found = high - low
         piece = np.repeat(v.normal, found)
         start = array[np.repeat(low, found) + np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found)]
         depth = self.offset[start] + v.size[piece]
-        by = np.argsort(depth * v.width - v.size[piece], kind="stable")
+        by = narrow_argsort(depth * v.width - v.size[piece])
         self.piece, self.start, self.depth = piece[by], start[by], depth[by] - 1
 
     def relax(self) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +165,7 @@ class Lattice:
         last = np.full(n, -2)  # piece that ends behind each character: -2 none yet, -1 an uncovered one
         into = self.start + v.size[self.piece] - 1
         edge_cuts = np.searchsorted(self.depth, np.arange(int(self.length.max(initial=0)) + 1))
-        by_offset = np.argsort(offset, kind="stable")
+        by_offset = narrow_argsort(offset)
         cuts = np.searchsorted(offset[by_offset], np.arange(len(edge_cuts)))
         for d in range(len(edge_cuts) - 1):  # all units side by side, one position after the other
             here = by_offset[cuts[d] : cuts[d + 1]]
@@ -256,17 +242,32 @@ class Lattice:
         return ids.astype("<u4"), np.cumsum(np.bincount(owner, minlength=len(self.length)))
 
 
-def sorted_suffixes(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of rows of code points, and the rows' keys in that order; by prefix doubling."""
+def lane(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of numbers below ``2 ** bits`` as one number each, in the rows' order."""
+    out = np.zeros(len(codes), np.int64)
+    for k in range(codes.shape[1]):
+        out <<= bits
+        out |= codes[:, k]
+    return out
+
+
+def sorted_suffixes(grid: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, int]:
+    """Suffix array of rows of code points, by prefix doubling; the rows in that order as lanes of a few
+    characters; and the rank of each code point in the batch's alphabet, with its bits."""
     n, width = grid.shape
     if not n:
-        return np.zeros(0, np.int64), as_keys(grid)
-    # three code points fit one number; from there on lengths double
-    first = grid[:, :3].astype(np.int64) @ (np.int64(1) << 21 * np.arange(3)[::-1])[: min(width, 3)]
-    order = np.argsort(first, kind="stable")
+        return np.zeros(0, np.int64), [np.zeros(0, np.int64)], np.zeros(1, np.int64), 1
+    # as many characters, by their rank in the batch's alphabet, as fit one number; from there on lengths double
+    seen = np.zeros(int(grid[:, 0].max()) + 1, bool)
+    seen[grid[:, 0]] = True
+    seen[0] = False
+    place, bits = np.cumsum(seen) * seen, int(seen.sum()).bit_length()
+    step = min(width, 63 // bits)
+    each = step
+    first = lane(place[grid[:, :step]], bits)
+    order = np.argsort(first)
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.r_[False, first[order][1:] != first[order][:-1]])
-    step = 3
     while step < width:
         size = np.bincount(rank)
         tied = np.flatnonzero(size[rank] > 1)
@@ -274,41 +275,51 @@ def sorted_suffixes(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         ahead = np.where(grid[tied, min(step, width - 1)] > 0, rank[np.minimum(tied + step, n - 1)] + 1, 0)
         key = rank[tied] * (n + 2) + ahead
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key, who = key[by], tied[by]
-        place = np.flatnonzero((size[rank] > 1)[order])
-        order[place] = who
+        slots = np.flatnonzero((size[rank] > 1)[order])
+        order[slots] = who
         fresh = np.r_[True, rank[order][1:] != rank[order][:-1]]
-        fresh[place[1:]] |= (key[1:] != key[:-1])
+        fresh[slots[1:]] |= (key[1:] != key[:-1])
         new = np.cumsum(fresh) - 1
         rank = np.empty(n, np.int64)
         rank[order] = new
         step *= 2
-    return order, as_keys(grid[order])
-
-
-def bisect(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """First place in the sorted ``keys`` that is not below each wanted key."""
-    width = keys.dtype.itemsize
-    pad = -width % 8
-    def lanes(x: np.ndarray) -> np.ndarray:
-        raw = x.view(np.uint8).reshape(len(x), width)
-        return np.ascontiguousarray(np.pad(raw, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
-
-    have, want = lanes(keys), lanes(wanted)
-    low, high = np.zeros(len(want), np.int64), np.full(len(want), len(have))
-    while True:
-        open_ = np.flatnonzero(low < high)
-        if not len(open_):
-            return low
+    lanes = [first[order]] + [lane(place[grid[:, k : k + each]], bits)[order] for k in range(each, width, each)]
+    return order, lanes, place, bits
+
+
+def ranges(lanes: list[np.ndarray], letters: np.ndarray, place: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the suffixes that begin with each piece start and end in the suffix array.
+
+    A piece's range is found by bisection in the first lane, and inside it in the next ones.
+    """
+    codes = place[np.minimum(letters, len(place) - 1)] * (letters < len(place))
+    absent = ((letters > 0) & (codes == 0)).any(1)
+    above = np.where(letters > 0, codes, (1 << bits) - 1)  # at the end of a piece, any character
+    each = 63 // bits
+    low = np.searchsorted(lanes[0], lane(codes[:, :each], bits), "left")
+    high = np.searchsorted(lanes[0], lane(above[:, :each], bits), "right")
+    high[absent] = low[absent]
+    size = (letters > 0).sum(1)
+    for k, held in enumerate(lanes[1:], 1):
+        who = np.flatnonzero((size > k * each) & (low < high))
+        part = slice(k * each, (k + 1) * each)
+        start = within(held, lane(codes[who, part], bits), low[who], high[who])
+        high[who] = within(held, lane(above[who, part], bits) + 1, low[who], high[who])
+        low[who] = start
+    return low, high
+
+
+def within(held: np.ndarray, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """First place from ``low`` on, before ``high``, at which ``held`` is not below each wanted number."""
+    low, high = low.copy(), high.copy()
+    while len(open_ := np.flatnonzero(low < high)):
         mid = (low[open_] + high[open_]) // 2
-        below, even = np.zeros(len(open_), bool), np.ones(len(open_), bool)
-        for k in range(have.shape[1]):
-            a, b = have[mid, k], want[open_, k]
-            below |= even & (a < b)
-            even &= a == b
+        below = held[mid] < wanted[open_]
         low[open_[below]] = mid[below] + 1
         high[open_[~below]] = mid[~below]
+    return low
 
 
 class Codec:
