@@ -7,6 +7,11 @@ meet in one task. The greedy near rule runs in rounds cut off in the checkpoint
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,9 @@ BANDS, ROWS = 8, 4
 # fixed value: odd constant that spreads the permutation masks
 SPREAD = 0x9E3779B97F4A7C15
 HASH_BITS = 60
+#: white space as ``shingles`` has it
+WHITE = " \t\n\v\f\r\u00a0"
+SPACES = re.compile(f"[{WHITE}]+")
 
 
 def exact_duplicates(rows: DataFrame, key: str = "digest", order: str = "seq") -> DataFrame:
@@ -58,11 +66,27 @@ def masks(n: int = BANDS * ROWS) -> list[int]:
 
 
 def minhash(rows: DataFrame, text: Column, order: str = "seq", n: int = BANDS * ROWS, width: int = 5) -> DataFrame:
-    """``(seq, signature)``: all minima in one aggregation over the exploded shingles."""
-    h = F.conv(F.substring(F.md5("shingle"), 1, HASH_BITS // 4), 16, 10).cast("long")
-    each = rows.select(order, F.explode(shingles(text, width)).alias("shingle")).select(order, h.alias("h"))
-    mins = [F.min(F.col("h").bitwiseXOR(F.lit(m).cast("long"))).alias(f"m{k}") for k, m in enumerate(masks(n))]
-    return each.groupBy(order).agg(*mins).select(order, F.array(*[f"m{k}" for k in range(n)]).alias("signature"))
+    """``(seq, signature)``: the least hash of the row's shingles under each mask, found in the row, without a shuffle.
+
+    A hash has the first 60 bits of a shingle's MD5. Null texts have no signature and no row.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def least(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _signature(t, n, width).tolist() for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return rows.select(order, least(text).alias("signature")).where("signature is not null")
+
+
+def _signature(normalized: str, n: int, width: int) -> np.ndarray:
+    words = SPACES.split(normalized.strip(WHITE))
+    shingled = {" ".join(words[k : k + width]) for k in range(max(len(words) - width + 1, 1))}
+    raw = np.frombuffer(b"".join(hashlib.md5(x.encode(), usedforsecurity=False).digest()[:8] for x in shingled), ">u8")
+    hashes = (raw >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    marks, low = np.array(masks(n), np.int64), np.full(n, np.iinfo(np.int64).max)
+    for k in range(0, len(hashes), 4096):  # bounded memory for very long texts
+        np.minimum(low, (hashes[None, k : k + 4096] ^ marks[:, None]).min(1), out=low)
+    return low
 
 
 def band_keys(signatures: DataFrame, order: str = "seq", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -73,7 +97,7 @@ def band_keys(signatures: DataFrame, order: str = "seq", bands: int = BANDS, row
 
 def signature_classes(signatures: DataFrame, order: str = "seq") -> DataFrame:
     """``(seq, rep)``: each row with the first row of its signature."""
-    known = signatures.select(order, F.md5(F.array_join(F.col("signature").cast("array<string>"), ",")).alias("print"))
+    known = cut(signatures.select(order, F.md5(F.array_join(F.col("signature").cast("array<string>"), ",")).alias("print")))
     first = known.groupBy("print").agg(F.min(order).alias("rep"), F.count("*").alias("n"))
     return joined_by_count(known, first, "print", "n", known.count()).select(order, "rep")
 
@@ -85,7 +109,7 @@ def candidate_pairs(signatures: DataFrame, order: str = "seq") -> DataFrame:
     """
     known = signatures.select(order, "signature", F.md5(F.array_join(F.col("signature").cast("array<string>"), ",")).alias("print"))
     first = known.groupBy("print").agg(F.min_by("signature", order).alias("signature"), F.min(order).alias(order))
-    keys = band_keys(first.select(order, "signature"), order)
+    keys = cut(band_keys(first.select(order, "signature"), order))
     many = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     own = keys.join(many, ["band", "key"])
     left, right = own.select("band", "key", F.col(order).alias("a")), own.select("band", "key", F.col(order).alias("b"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.metrics import KEY, by_run, with_ratios
-from spanloom.operators.spans import LABELS, PREFIXES, tags, without_overlaps
+from spanloom.operators.spans import LABELS, PREFIXES, overlapped, swept, tags, without_overlaps
 
 
 def majority(runs: int) -> int:
@@ -68,13 +70,39 @@ def projected(probs: DataFrame, source: str, target: str, *keys: str) -> DataFra
 
 
 def onto_grid(grid: DataFrame, probs: DataFrame) -> DataFrame:
-    """``(doc_id, start, end, tag, total, weight)``: overlap-weighted sums of another grid's probabilities."""
-    p = probs.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"), "tag", "p")
-    hit = (F.col("doc_id") == F.col("d")) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start"))
-    w = F.least("e", "end") - F.greatest("s", "start")
-    return grid.select("doc_id", "start", "end").join(p, hit).groupBy("doc_id", "start", "end", "tag").agg(
-        F.sum(F.col("p") * w).alias("total"), F.sum(w).alias("weight")
-    )
+    """``(doc_id, start, end, tag, total, weight)``: overlap-weighted sums of another grid's probabilities.
+
+    A sweep over each document: only what overlaps is looked at.
+    """
+
+    def summed(grid: pa.Table, probs: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.Table:
+        start, end, s, e = (t.column(c).to_numpy() for t in (grid, probs) for c in ("start", "end"))
+        order, low, high = overlapped(a, start, end, b, s, e)
+        n = high - low
+        mine = np.repeat(np.arange(len(a)), n)
+        other = order[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)] if n.sum() else np.zeros(0, np.int64)
+        keep = e[other] > start[mine]
+        mine, other = mine[keep], other[keep]
+        weight = np.minimum(e[other], end[mine]) - np.maximum(s[other], start[mine])
+        tag = probs.column("tag").combine_chunks().dictionary_encode()
+        codes = tag.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        by = np.lexsort((codes[other], end[mine], start[mine], a[mine]))
+        mine, other, weight = mine[by], other[by], weight[by]
+        if not len(by):
+            return pa.table({c: pa.array([], t) for c, t in (("doc_id", grid.column("doc_id").type), ("start", pa.int64()), ("end", pa.int64()), ("tag", pa.string()), ("total", pa.float64()), ("weight", pa.int64()))})
+        cell = np.stack([a[mine], start[mine], end[mine], codes[other]])
+        first = np.flatnonzero(np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(0)])
+        return pa.table(
+            {
+                "doc_id": grid.column("doc_id").take(pa.array(mine[first])), "start": cell[1, first], "end": cell[2, first], "tag": tag.dictionary.take(pa.array(cell[3, first])),
+                "total": np.add.reduceat(probs.column("p").to_numpy()[other] * weight, first), "weight": np.add.reduceat(weight, first),
+            }
+        )
+
+    long = lambda df, *more: df.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *more)
+    fine = probs.where("start is not null and end is not null and tag is not null and p is not null")
+    schema = f"doc_id {dict(grid.dtypes)['doc_id']}, start long, end long, tag string, total double, weight long"
+    return swept(long(grid), long(fine, "tag", F.col("p").cast("double").alias("p")), summed, schema)
 
 
 def blend(parts: DataFrame, weights: dict) -> DataFrame:

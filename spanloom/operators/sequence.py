@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import is_word_char
+from spanloom.operators.running import in_ranges
 from spanloom.operators.spans import tags
 
 SMOOTHING, EPS = 0.1, 1e-12
@@ -103,6 +104,37 @@ def viterbi_path(p: np.ndarray, category: np.ndarray, log_t: np.ndarray) -> np.n
     return np.array(path[::-1])
 
 
+def viterbi_paths(p: np.ndarray, category: np.ndarray, cuts: np.ndarray, log_t: np.ndarray) -> np.ndarray:
+    """``viterbi_path`` of many sequences, row ``cuts[k]`` up to ``cuts[k + 1]`` each: one step a position for all of them.
+
+    The longest come first, so that those still running are always the first ones.
+    """
+    size = np.diff(cuts)
+    by = np.argsort(-size, kind="stable")
+    start, size = cuts[:-1][by], size[by]
+    emit = np.log(np.maximum(p, EPS))
+    on = len(size) - np.searchsorted(size[::-1], np.arange(int(size.max(initial=0))), "right")  # sequences with a row at each position
+    best = np.zeros((len(size), log_t.shape[1]))
+    back: list[np.ndarray] = []
+    for k, n in enumerate(on.tolist()):
+        rows = start[:n] + k
+        if k:
+            through = best[:n, :, None] + log_t[category[rows]]
+            back.append(through.argmax(1).astype(np.int16))
+            best[:n] = through.max(1) + emit[rows]
+        else:
+            best[:n] = log_t[category[rows], 0] + emit[rows]
+    path = np.zeros(len(p), np.int64)
+    tag = best.argmax(1)
+    for k in range(len(on) - 1, -1, -1):
+        n = int(on[k])
+        if k + 1 < len(on):
+            m = int(on[k + 1])
+            tag[:m] = back[k][np.arange(m), tag[:m]]
+        path[start[:n] + k] = tag[:n]
+    return path
+
+
 def document_tokens(windows: DataFrame) -> DataFrame:
     """``(doc_id, pos, start, end)``: the distinct tokens of a document's overlapping windows in order, special ones left out."""
     rows = windows.where("start < end").select("doc_id", "start", "end").distinct()
@@ -120,8 +152,8 @@ def viterbi(tokens: DataFrame, log_t: np.ndarray, tag_names: list[str]) -> DataF
         ids = pdf["doc_id"].to_numpy()
         cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
         probs, category = np.stack(pdf["probs"].to_numpy()), pdf["category"].to_numpy()
-        path = [k for s, e in zip(cuts[:-1], cuts[1:]) for k in viterbi_path(probs[s:e], category[s:e], log_t)]
-        return pdf[["doc_id", "start", "end"]].assign(tag=[tag_names[k] for k in path])
+        path = viterbi_paths(probs, category, cuts, log_t)
+        return pdf[["doc_id", "start", "end"]].assign(tag=np.array(tag_names, object)[path])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -178,17 +210,14 @@ def blocks(
 ) -> DataFrame:
     """``(seq, block, from, to)``: where each document's tokens lie when all are joined and cut every ``content``.
 
-    Running offsets are sums within ranges of the order plus sums of the ranges before, so
-    no task orders the whole table; without ``buckets``, a range has about a million rows.
+    Running offsets are sums within ranges of the order, of about equal numbers of rows, plus
+    sums of the ranges before, so no task orders the whole table; without ``buckets``, a range
+    has about a million rows.
     ``carry`` tokens of an earlier pass come first. ``whole`` drops the short block at the
     end, whose tokens are what the next pass carries.
     """
-    count, low, high, all_tokens = sizes.agg(F.count("*"), F.min(order), F.max(order), F.sum(n)).first()
-    buckets = buckets or 1 + count // 1_000_000
-    if low is None:
-        return sizes.select(order, F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("to")).limit(0)
-    bucket = F.floor((F.col(order) - low) / F.lit(max(1, math.ceil((high - low + 1) / buckets))))
-    rows = sizes.withColumn("bucket", bucket)
+    count, all_tokens = sizes.agg(F.count("*"), F.sum(n)).first()
+    rows = in_ranges(sizes.select(order, n), order, 1_000_000 if buckets is None else max(1, math.ceil(count / buckets))).withColumnRenamed("range", "bucket")
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("bucket").agg(F.sum(n).alias("t")).withColumn("base", F.coalesce(F.sum("t").over(earlier), F.lit(0))).select("bucket", "base")
     inside = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

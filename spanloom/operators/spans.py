@@ -1,14 +1,14 @@
 """Span algebra: validation, alignment to tokens, tags, boundaries and overlaps.
 
-Spans are rows ``(doc_id, label, start, end)`` with half-open code-point offsets. Joins
-meet on the document, so that a range condition only compares spans of one document.
+Spans are rows ``(doc_id, label, start, end)`` with half-open code-point offsets. Tokens and
+spans meet in a sweep over each document, linear in both.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import takewhile
 
 import numpy as np
@@ -103,17 +103,86 @@ def span_errors(spans: DataFrame, lengths: DataFrame) -> DataFrame:
     return rows.select("doc_id", "label", "start", "end", error.alias("error"))
 
 
+def swept(left: DataFrame, right: DataFrame, f: Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``f`` over the documents of both sides, side by side: one exchange and one sort, no pairs.
+
+    Both have ``doc_id``; ``f`` gets the rows of some whole documents, and numbers of these for the rows of
+    both sides, the same for the same document. Rows of no document meet none.
+    """
+    names = list(dict.fromkeys([*left.columns, *right.columns]))
+    kinds = dict(left.dtypes) | dict(right.dtypes)
+    fill = lambda df, side: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names], F.lit(side).alias("_side"))
+    rows = fill(left, 0).unionByName(fill(right, 1)).repartition("doc_id").sortWithinPartitions("doc_id")
+
+    def each(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(held)
+        ids = both.column("doc_id").combine_chunks()
+        code = pc.fill_null(ids.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        side = both.column("_side").to_numpy()
+        a, b = np.flatnonzero(side == 0), np.flatnonzero((side == 1) & (code >= 0))
+        yield from f(both.take(pa.array(a)), both.take(pa.array(b)), np.where(code[a] < 0, code.max(initial=0) + 1, code[a]), code[b]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("doc_id")
+            last = pc.index(ids, ids[-1]).as_py() if ids[-1].is_valid else 0
+            if held and (last > 0 or not held[-1].column("doc_id")[-1].equals(ids[0])):
+                yield from each([*held, batch.slice(0, last)] if last else held)
+                held = []
+            elif last > 0:
+                yield from each([batch.slice(0, last)])
+            held.append(batch.slice(last))
+        if held:
+            yield from each(held)
+
+    return rows.mapInArrow(run, schema)
+
+
+def overlapped(a: np.ndarray, start: np.ndarray, end: np.ndarray, b: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the spans by document and place, and for each token the stretch of that order in which overlapping spans lie.
+
+    ``a`` and ``b`` number the documents of tokens and spans. The first span that ends behind a token's start is where the
+    running maximum of ends passes it; none from the first that starts at the token's end or later overlaps.
+    """
+    lowest = int(min(start.min(initial=0), s.min(initial=0), end.min(initial=0), e.min(initial=0)))
+    start, end, s, e = start - lowest, end - lowest, s - lowest, e - lowest
+    wide = int(max(end.max(initial=0), e.max(initial=0), start.max(initial=0), s.max(initial=0))) + 1
+    order = np.lexsort((e, s, b))
+    ends = np.maximum.accumulate(b[order] * wide + e[order]) if len(order) else np.zeros(0, np.int64)
+    low = np.searchsorted(ends, a * wide + start, "right")
+    high = np.searchsorted(b[order] * wide + s[order], a * wide + end, "left")
+    return order, low, np.maximum(high, low)
+
+
 def align(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """Each token with the first span, by start and end, that it overlaps; label null if none.
 
-    Tokens of no width (``start = end``) are special and get ``special``.
+    Tokens of no width (``start = end``) are special and get ``special``. Of spans with equal ends
+    the label that sorts first counts. Tokens have offsets; spans without them are none.
     """
-    s = spans.select(F.col("doc_id").alias("d"), "label", F.col("start").alias("s"), F.col("end").alias("e"))
-    hit = (F.col("doc_id") == F.col("d")) & (F.col("e") > F.col("start")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("end"))
-    keys = ["doc_id", "pos", "start", "end"]
-    return tokens.select(*keys).join(s, hit, "left").groupBy(*keys).agg(
-        F.min(F.when(F.col("s").isNotNull(), F.struct("s", "e", "label"))).alias("span")
-    ).select(*keys, F.col("span.label").alias("label"), F.col("span.s").alias("span_start"), F.col("span.e").alias("span_end"), (F.col("start") == F.col("end")).alias("special"))
+
+    def first(tokens: pa.Table, spans: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.Table:
+        tokens = tokens.select(["doc_id", "pos", "start", "end"])
+        start, end = (tokens.column(c).to_numpy() for c in ("start", "end"))
+        label = spans.column("label").combine_chunks()
+        by = pc.sort_indices(label, null_placement="at_start").to_numpy()  # stable in what follows: the first label of equal spans
+        spans, b = spans.take(pa.array(by)), b[by]
+        s, e = (spans.column(c).to_numpy() for c in ("start", "end"))
+        order, low, high = overlapped(a, start, end, b, s, e)
+        hit = (low < high) & (start < end)
+        which = pa.array(order[np.minimum(low, max(len(order) - 1, 0))] if len(order) else np.zeros(len(low), np.int64), mask=~hit)
+        for name, column in (("label", "label"), ("span_start", "start"), ("span_end", "end")):
+            tokens = tokens.append_column(name, spans.column(column).take(which))
+        return tokens.append_column("special", pa.array(start == end))
+
+    one = tokens.select("doc_id", "pos", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    other = spans.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label")
+    kinds = dict(one.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, pos {kinds['pos']}, start long, end long, label string, span_start long, span_end long, special boolean"
+    return swept(one, other.where("start is not null and end is not null"), first, schema)
 
 
 def encode(aligned: DataFrame, scheme: str = "bilou") -> DataFrame:

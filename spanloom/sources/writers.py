@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,14 +51,21 @@ def rendered(rows: DataFrame, digits: int = 4) -> str:
     return "\n".join([line(rows.columns), *map(line, table)])
 
 
-def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The Parquet table at ``path``, made and written first where there is none."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    make().write.mode("overwrite").parquet(path)
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], inputs: list[str] | None = None, settings: dict | None = None) -> DataFrame:
+    """The Parquet table of these inputs and settings below ``path``, made and written first where there is none.
+
+    The table's folder is named by the settings and by path, size and time of change of every input file, so a
+    changed input or setting makes a table of its own instead of reusing an old one. A table counts once it is written whole.
+    """
+    marks = []
+    for place in inputs or []:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(place).select("path", "length", F.col("modificationTime").cast("string"))
+        marks += [tuple(r) for r in files.orderBy("path").collect()]  # names, sizes and times of the files, which the driver lists anyway
+    key = hashlib.sha256(json.dumps([marks, settings or {}], sort_keys=True, default=str).encode()).hexdigest()[:16]
+    path = f"{path.rstrip('/')}/{key}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

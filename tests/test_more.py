@@ -2,7 +2,6 @@
 
 import json
 import random
-import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -24,17 +23,16 @@ def entity(label="ORG", start=0, end=1):
     return {"label": label, "start": start, "end": end}
 
 
-@pytest.mark.parametrize(
-    ("name", "bad"),
-    [
-        ("empty", "   "), ("json", "{oops"), ("json", "[1]"), ("key", line(text="x", entities=[])), ("text", line(hash="a", text=5, entities=[])),
-        ("entities", line(hash="a", text="abc", entities={"label": "ORG"})), ("label", line(hash="a", text="abc", entities=[entity("X")])),
-        ("offset", line(hash="a", text="abc", entities=[entity(start="0")])), ("offset", line(hash="a", text="abc", entities=[entity(start=True)])),
-        ("offset", line(hash="a", text="abc", entities=[entity(start=0.5)])), ("offset", line(hash="a", text="abc", entities=[entity(start=1, end=1)])),
-        ("offset", line(hash="a", text="abc", entities=[entity(end=9)])), ("duplicate", line(hash="a", text="abc", entities=[entity(), entity()])),
-        ("overlap", line(hash="a", text="abcdef", entities=[entity(start=0, end=3), entity("GEO", 2, 5)])),
-    ],
-)
+NEGATIVE = [
+    ("empty", "   "), ("json", "{oops"), ("json", "[1]"), ("key", line(text="x", entities=[])), ("text", line(hash="a", text=5, entities=[])),
+    ("entities", line(hash="a", text="abc", entities={"label": "ORG"})), ("label", line(hash="a", text="abc", entities=[entity("X")])),
+    ("offset", line(hash="a", text="abc", entities=[entity(start="0")])), ("offset", line(hash="a", text="abc", entities=[entity(start=True)])),
+    ("offset", line(hash="a", text="abc", entities=[entity(start=0.5)])), ("offset", line(hash="a", text="abc", entities=[entity(start=1, end=1)])),
+    ("offset", line(hash="a", text="abc", entities=[entity(end=9)])), ("duplicate", line(hash="a", text="abc", entities=[entity(), entity()])),
+    ("overlap", line(hash="a", text="abcdef", entities=[entity(start=0, end=3), entity("GEO", 2, 5)])),
+]
+
+@pytest.mark.parametrize(("name", "bad"), NEGATIVE)
 def test_strict_reader_names_the_error(spark, tmp_path, name, bad):
     (tmp_path / "x.jsonl").write_text(line(hash="z", text="ok", entities=[]) + "\n" + bad + "\n" + line(hash="y", text="ok ok", entities=[entity("ORG", 0, 2), entity("GEO", 3, 5)]) + "\n")
     with pytest.raises(readers.InputError, match=f"line 2: {name}$"):
@@ -86,6 +84,13 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         assert writers.cached(spark, str(tmp_path / "cache"), lambda: made.append(1) or df).count() == 2
     assert len(made) == 1
+    (tmp_path / "input.txt").write_text("one")
+    for k, text in enumerate(["one", "one", "other words"]):  # a changed input or setting makes a table of its own
+        (tmp_path / "input.txt").write_text(text) if k == 2 else None
+        writers.cached(spark, str(tmp_path / "cache"), lambda: made.append(1) or df, [str(tmp_path / "input.txt")], {"window": 3})
+    assert len(made) == 3
+    writers.cached(spark, str(tmp_path / "cache"), lambda: made.append(1) or df, [str(tmp_path / "input.txt")], {"window": 4})
+    assert len(made) == 4
     rows = spark.createDataFrame([("abcdef", [("ORG", 3, 9), ("GEO", 2, 4), ("X", 0, 1), ("GEO", 2, 4), ("ORG", 0, 2)])], f"text string, e array<{readers.SPAN}>")
     assert [tuple(x) for x in rows.select(writers.contract(F.col("text"), F.col("e")).alias("e")).first()["e"]] == [("ORG", 0, 2), ("GEO", 2, 4)]
 
