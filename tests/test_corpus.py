@@ -144,13 +144,13 @@ def test_state_goes_on_in_its_folder(spark, tmp_path):
 
 
 def test_budget_stops_between_sources_and_calibrates(spark):
-    docs, _ = stream(5, 30)
+    docs, _ = stream(5, 14)
     none = spark.createDataFrame([], "digest string")
     order = ["s0", "s1", "s2", "s3"]
     tokens = lambda t: F.size(F.split(t, " "))
     free = corpus.build(spark.createDataFrame(docs, DOCS), none, order, {}, 0, 100_000).decided
     per = {r["source"]: r["n"] for r in free.where("split = 'train'").groupBy("source").agg(F.sum("n_chars").alias("n")).collect()}
-    budget = corpus.Budget(10**6, tokens=tokens, sample=3)
+    budget = corpus.Budget(10**6, tokens=tokens, sample=2)
     got = corpus.build(spark.createDataFrame(docs, DOCS), none, order, None, 0, 100_000, budget=budget)
     assert got.calibrated and 4 < got.chars_per_token < 9
     small = corpus.Budget(int((per["s0"] + 1) / 2.6), foreign=("s3",))

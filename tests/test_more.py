@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 
 import numpy as np
 import pandas as pd
