@@ -75,7 +75,7 @@ def minhash(rows: DataFrame, text: Column, order: str = "seq", n: int = BANDS *
     def least(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else _signature(t, n, width).tolist() for t in texts.to_pylist()], pa.list_(pa.int64()))
 
-    return rows.select(order, least(text).alias("signature")).where("signature is not null")
+    return rows.where(text.isNotNull()).select(order, least(text).alias("signature"))
 
 
 def _signature(normalized: str, n: int, width: int) -> np.ndarray:

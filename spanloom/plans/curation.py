@@ -155,7 +155,8 @@ def shingle_counts(spark, d):
 
 
 def signatures(spark, d):
-    rows = D.docs(spark, d).select(F.col("doc_id").alias("seq"), "text")
+    # a table that is one row group is one task: dealt out once, before hashing, over the cores there are
+    rows = D.docs(spark, d).select(F.col("doc_id").alias("seq"), "text").repartition(spark.sparkContext.defaultParallelism)
     return dedup.minhash(rows, T.normalize(F.col("text")))
 
 
