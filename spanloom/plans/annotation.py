@@ -444,10 +444,18 @@ def apostrophe_folding(spark, d):
     return D.docs(spark, d).select("doc_id", F.md5(T.fold_apostrophes(F.col("text"))).alias("digest"))
 
 
-@query("tag_parse", f"SELECT tag, split_part(tag, '-', 1) AS prefix, CASE WHEN tag <> 'O' THEN split_part(tag, '-', 2) END AS label FROM (SELECT unnest({TAGS}) AS tag)")
+@query(
+    "tag_parse",
+    D.with_base(
+        f"""SELECT doc_id, split_part(tag, '-', 1) AS prefix, CASE WHEN tag <> 'O' THEN split_part(tag, '-', 2) END AS label, count(*) AS n
+        FROM (SELECT doc_id, {BILOU} AS tag FROM aligned) GROUP BY ALL""",
+        ALIGNED,
+    ),
+)
 def tag_parse(spark, d):
-    rows = spark.createDataFrame([(x,) for x in spans.tags("bilou")], "tag string")
-    return rows.select("tag", T.tag_prefix(F.col("tag")).alias("prefix"), T.tag_label(F.col("tag")).alias("label"))
+    """Prefixes and labels of all tokens' tags, by document."""
+    rows = spans.encode(aligned(spark, d), "bilou").where("tag is not null")
+    return rows.groupBy("doc_id", T.tag_prefix(F.col("tag")).alias("prefix"), T.tag_label(F.col("tag")).alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("title_case")
