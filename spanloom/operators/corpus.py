@@ -270,10 +270,11 @@ def build(
     return corpus
 
 
-def calibrate(rows: DataFrame, order: str = "seq", sample: int = 200, max_chars: int = 20_000) -> DataFrame:
-    """Characters per word token over the first ``sample`` rows, each cut at ``max_chars``."""
+def calibrate(rows: DataFrame, order: str = "seq", sample: int = 200, max_chars: int = 20_000, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Characters per token over the first ``sample`` rows, each cut at ``max_chars``; ``tokens`` counts a text's tokens, words if not given."""
+    count = tokens or (lambda t: F.size(T.words(t)))
     first = rows.orderBy(order).limit(sample).select(F.substring("text", 1, max_chars).alias("t"))
-    both = first.agg(F.sum(F.length("t")).alias("chars"), F.sum(F.size(T.words(F.col("t")))).alias("tokens"))
+    both = first.agg(F.sum(F.length("t")).alias("chars"), F.sum(count(F.col("t"))).alias("tokens"))
     return both.select("chars", "tokens", F.round(F.col("chars") / F.col("tokens"), 6).alias("chars_per_token"))
 
 

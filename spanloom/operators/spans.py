@@ -306,9 +306,20 @@ def normalize_span(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.Data
     return pd.DataFrame({"start": pd.array([g and g[0] for g in got], "Int32"), "end": pd.array([g and g[1] for g in got], "Int32")})
 
 
+@F.arrow_udf(SPANS)
+def clean_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """``boundaries`` of all of a text's spans, which come to it as one array; those that are dropped go."""
+    out = []
+    for t, own in zip(text, spans):
+        whole = t.as_py() or ""
+        rows = [(s["label"], boundaries(whole, s["start"], s["end"])) for s in own.as_py() or [] if s["start"] is not None and s["end"] is not None]
+        out.append([{"start": b[0], "end": b[1], "label": label} for label, b in rows if b])
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string())])))
+
+
 def postprocess(spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """Clean ends and no overlaps: ``(doc_id, label, start, end)`` of what stays."""
-    rows = spans.join(docs.select("doc_id", "text"), "doc_id").withColumn("s", normalize_span("text", "start", "end")).where("s.start is not null")
-    one = F.collect_list(F.struct("label", F.col("s.start").alias("start"), F.col("s.end").alias("end")))
-    kept = rows.groupBy("doc_id").agg(one.alias("spans")).select("doc_id", F.explode(without_overlaps(F.col("spans"))).alias("s"))
+    """Clean ends and no overlaps: ``(doc_id, label, start, end)`` of what stays. A text is handed over once, with all of its spans."""
+    per = spans.groupBy("doc_id").agg(F.collect_list(F.struct("label", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("spans"))
+    rows = per.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", clean_spans("text", "spans").alias("spans"))
+    kept = rows.select("doc_id", F.explode(without_overlaps(F.col("spans"))).alias("s"))
     return kept.select("doc_id", "s.label", "s.start", "s.end")
