@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,15 +36,35 @@ class Bloom:
 
         @F.arrow_udf("boolean")
         def all_set(hashes: pa.Array) -> pa.Array:
-            h = hashes.to_numpy(zero_copy_only=False).view(np.uint64)
-            held, found = words.value, np.ones(len(h), bool)
-            for k in range(PLACES):
-                place = (h & np.uint64(0xFFFFFFFF)) + np.uint64(k) * (h >> np.uint64(32)) & np.uint64(bits - 1)
-                found &= (held[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-            return pa.array(found)
+            return pa.array(bits_set(words.value, bits, hashes))
 
         return key.isNotNull() & all_set(F.xxhash64(key))
 
+    def places(self, keys: Column) -> Column:
+        """Places, from 0, of those keys of an array that the filter may hold; none for null."""
+        words, bits = self.words, self.bits
+
+        @F.arrow_udf("array<int>")
+        def each(hashes: pa.Array) -> pa.Array:
+            sizes = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            found = np.flatnonzero(bits_set(words.value, bits, pc.list_flatten(hashes)))
+            cuts = np.r_[0, np.cumsum(np.bincount(row[found], minlength=len(sizes)))].astype(np.int32)
+            at = found - (np.cumsum(sizes) - sizes)[row[found]]
+            return pa.ListArray.from_arrays(pa.array(cuts), pa.array(at.astype(np.int32)))
+
+        return each(F.transform(keys, lambda k: F.xxhash64(k)))
+
+
+def bits_set(held: np.ndarray, bits: int, hashes: pa.Array) -> np.ndarray:
+    """Whether all bits of each hash are set."""
+    h = hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    found = np.ones(len(h), bool)
+    for k in range(PLACES):
+        place = (h & np.uint64(0xFFFFFFFF)) + np.uint64(k) * (h >> np.uint64(32)) & np.uint64(bits - 1)
+        found &= (held[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
+
 
 def bloom(keys: DataFrame, key: str, n: int, most_bits: int = 1 << 26) -> Bloom:
     """The filter of the ``n`` keys, whose size is a power of two; ``most_bits`` bounds what is collected and broadcast (8 MB)."""
@@ -64,19 +85,45 @@ def bloom(keys: DataFrame, key: str, n: int, most_bits: int = 1 << 26) -> Bloom:
 def without(rows: DataFrame, excluded: DataFrame, key: str = "digest", most_bits: int = 1 << 26, least: int = 4096, most: int = 10_000) -> DataFrame:
     """``rows`` whose key is not among ``excluded``'s, as ``dedup.without`` has them; null keys stay.
 
-    Suspicious keys are counted, partially before the exchange. The fewer than ``most`` of them with over a
-    ``most``-th of the suspicious rows are settled by a broadcast of their verdicts, so no frequent
-    key's rows meet in one task. ``rows`` is read three times, cut it first where it is dear.
+    Suspicious rows are written once, so ``rows`` is read twice; ``verified`` settles them.
     """
-    known = cut(excluded.select(key).where(F.col(key).isNotNull()).distinct())
+    known = distinct_keys(excluded, key)
     suspected = bloom(known, key, known.count(), most_bits).may_hold(F.col(key))
-    counted = rows.where(suspected).groupBy(key).agg(F.count("*").alias("_n"))
+    return rows.where(~suspected).unionByName(verified(cut(rows.where(suspected)), known, key, least, most))
+
+
+def clean_counts(rows: DataFrame, keys: str, excluded: DataFrame, key: str, by: str = "doc_id", most_bits: int = 1 << 26, least: int = 4096, most: int = 10_000) -> DataFrame:
+    """``(by, n_clean)``: how many keys of the arrays ``keys`` are not among ``excluded``'s; rows of one ``by`` are summed.
+
+    The filter is asked inside the rows, which are read once; only keys that it may hold leave
+    their array. Where nothing is clean (or the array is null), there is no row.
+    """
+    known = distinct_keys(excluded, key)
+    held = bloom(known, key, known.count(), most_bits)
+    probed = rows.select(by, keys).withColumn("at", held.places(F.col(keys)))
+    probed = cut(probed.select(by, F.size(keys).alias("n"), F.transform("at", lambda k: F.get(F.col(keys), k)).alias("hits")))
+    stay = verified(probed.select(by, F.explode("hits").alias(key)), known, key, least, most)
+    every = probed.select(by, (F.col("n") - F.size("hits")).cast("long").alias("n")).unionByName(stay.select(by, F.lit(1).cast("long").alias("n")))
+    return every.groupBy(by).agg(F.sum("n").alias("n_clean")).where("n_clean > 0")
+
+
+def distinct_keys(excluded: DataFrame, key: str) -> DataFrame:
+    return cut(excluded.select(key).where(F.col(key).isNotNull()).distinct())
+
+
+def verified(suspects: DataFrame, known: DataFrame, key: str, least: int = 4096, most: int = 10_000) -> DataFrame:
+    """``suspects`` whose key is not among the distinct ``known`` ones, whatever the filter said.
+
+    Keys are counted, partially before the exchange; the fewer than ``most`` keys with over a
+    ``most``-th of the rows are settled by a broadcast of their verdicts, so no frequent key's
+    rows meet in one task. ``suspects`` is read three times and must be cut off.
+    """
+    counted = suspects.groupBy(key).agg(F.count("*").alias("_n"))
     counted = cut(counted.join(known.withColumn("_known", F.lit(True)), key, "left"))
     limit = max(least, (counted.agg(F.sum("_n")).first()[0] or 0) // most)
-    verdict = max(rows.columns, key=len) + "_hot"  # no column of ``rows``
+    verdict = max(suspects.columns, key=len) + "_hot"  # no column of ``suspects``
     hot = counted.where(F.col("_n") > limit).select(key, F.coalesce("_known", F.lit(False)).alias(verdict))
-    marked = rows.join(F.broadcast(hot), key, "left")  # fewer than ``most`` rows
-    settled = marked.where(F.coalesce(~F.col(verdict), ~suspected))
-    open_ = marked.where(F.col(verdict).isNull() & suspected)
+    marked = suspects.join(F.broadcast(hot), key, "left")  # fewer than ``most`` rows
     cold = counted.where((F.col("_n") <= limit) & F.col("_known")).select(key)
-    return settled.unionByName(open_.join(cold, key, "left_anti")).select(*rows.columns)
+    rare = marked.where(F.col(verdict).isNull()).join(cold, key, "left_anti")
+    return marked.where(~F.col(verdict)).unionByName(rare).select(*suspects.columns)

@@ -64,6 +64,6 @@ def windows_sql(table: str, key: str) -> str:
 )
 def bloom_clean_windows(spark, d):
     """Windows of words of each document that are in no benchmark text."""
-    windows = lambda df, *key: df.select(*key, F.explode(dedup.shingles(T.normalize(F.col("text")), WIDTH)).alias("window"))
-    clean = bloom.without(windows(D.docs(spark, d), "doc_id"), windows(spark.read.parquet(f"{d}/benchmark.parquet")), "window")
-    return clean.groupBy("doc_id").agg(F.count("*").alias("n_clean"))
+    windows = dedup.shingles(T.normalize(F.col("text")), WIDTH)
+    barred = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(windows).alias("window"))
+    return bloom.clean_counts(D.docs(spark, d).select("doc_id", windows.alias("windows")), "windows", barred, "window")

@@ -164,3 +164,16 @@ def test_spans_are_cleaned_document_by_document(spark):
                 kept.append((s, e, x))
         want += [(k, x, s, e) for s, e, x in kept]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("most_bits,least", [(1 << 20, 4096), (64, 2)])
+def test_counts_of_clean_keys_equal_a_set(spark, most_bits, least):
+    rng = random.Random(6)
+    rows = [(k % 20, [rng.choice(["hot", "free", "a", "b", f"k{rng.randint(0, 90)}"]) for _ in range(rng.randint(0, 12))]) for k in range(60)]
+    rows += [(None, ["a", "zz"]), (50, None), (51, []), (52, ["hot"]), (53, ["zz"])]
+    out = ["hot", "a", *(f"k{k}" for k in range(0, 90, 2)), None]
+    want = {}
+    for k, own in rows:
+        want[k] = want.get(k, 0) + sum(x not in out for x in own or [])
+    got = bloom.clean_counts(spark.createDataFrame(rows, "doc_id long, keys array<string>"), "keys", spark.createDataFrame([(x,) for x in out], "key string"), "key", most_bits=most_bits, least=least, most=20)
+    assert {r["doc_id"]: r["n_clean"] for r in got.collect()} == {k: n for k, n in want.items() if n}
