@@ -7,11 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.metrics import KEY, by_run, with_ratios
-from spanloom.operators.spans import LABELS, PREFIXES, overlapped, swept, tags, without_overlaps
+from spanloom.operators.spans import LABELS, PREFIXES, overlapped, swept, tags, together, without_overlaps
 
 
 def majority(runs: int) -> int:
@@ -105,6 +106,46 @@ def onto_grid(grid: DataFrame, probs: DataFrame) -> DataFrame:
     return swept(long(grid), long(fine, "tag", F.col("p").cast("double").alias("p")), summed, schema)
 
 
+def onto_grid_together(rows: DataFrame) -> DataFrame:
+    """``onto_grid`` of rows that lie together by document and carry a cell (``start``, ``end``) and another grid's (``s``, ``e``, ``ps``).
+
+    ``ps`` are the probabilities of a few tags, in a fixed order. Further columns stay, and instead of ``s``, ``e`` and ``ps`` a row has
+    ``totals``, an array in the same order, and ``weight``: the overlap-weighted sums over its document.
+    """
+
+    def summed(table: pa.Table, code: np.ndarray) -> pa.Table:
+        own = np.flatnonzero(pc.and_(table.column("s").is_valid(), table.column("ps").is_valid()).to_numpy() & (code >= 0))
+        start, end = (table.column(c).to_numpy() for c in ("start", "end"))
+        s, e = (table.column(c).take(pa.array(own)).to_numpy() for c in ("s", "e"))
+        ps = table.column("ps").take(pa.array(own)).combine_chunks()
+        p = pc.list_flatten(ps).to_numpy(zero_copy_only=False).reshape(len(own), -1) if len(own) else np.zeros((0, 1))
+        order, low, high = overlapped(np.where(code < 0, code.max(initial=0) + 1, code), start, end, code[own], s, e)
+        n = high - low
+        mine = np.repeat(np.arange(len(n)), n)
+        other = order[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)] if n.sum() else np.zeros(0, np.int64)
+        keep = e[other] > start[mine]
+        mine, other = mine[keep], other[keep]
+        weight = np.minimum(e[other], end[mine]) - np.maximum(s[other], start[mine])
+        total, weights = np.zeros((len(n), p.shape[1])), np.zeros(len(n), np.int64)
+        np.add.at(total, mine, p[other] * weight[:, None])
+        np.add.at(weights, mine, weight)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * p.shape[1]), pa.array(total.ravel()))
+        return table.drop_columns(["s", "e", "ps"]).append_column("totals", lists).append_column("weight", pa.array(weights))
+
+    kept = [(c, t) for c, t in rows.dtypes if c not in ("s", "e", "ps")]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in kept), "totals array<double>, weight long"])
+    long = [F.col(c).cast("long").alias(c) for c in ("s", "e")]
+    return together(rows.select(*[c for c, _ in kept], *long, "ps"), summed, schema)
+
+
+def blended(models: dict[str, tuple[Column, Column]], weights: dict, n_tags: int) -> Column:
+    """``blend`` in the row: an array of the tags' weighted means from each model's ``(totals, weight)``; 0 where nothing weighs."""
+    add = lambda parts: reduce(lambda x, y: x + y, parts)
+    weight = add([F.lit(float(weights[m])) * w for m, (_, w) in models.items()])
+    p = lambda k: add([F.lit(float(weights[m])) * F.get(t, F.lit(k)) for m, (t, _) in models.items()])
+    return F.array(*[F.when(weight > 0, p(k) / weight).otherwise(0.0) for k in range(n_tags)])
+
+
 def blend(parts: DataFrame, weights: dict) -> DataFrame:
     """``(doc_id, start, end, tag, p)``: weighted mean of ``parts`` with a ``model`` column; 0 where nothing weighs."""
     w = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("model")]

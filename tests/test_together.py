@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import sequence, spans
-from spanloom.plans import registry
+from spanloom.operators import ensemble, sequence, spans
+from spanloom.plans import annotation, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,7 +47,23 @@ def test_align_and_what_follows_equal_the_dealt_forms(spark, carried, size):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name, most", [("token_entity_align", 0), ("bilou_decode", 0), ("bio_decode", 0), ("viterbi_decode", 0), ("transition_counts", 1), ("token_category", 1)])
+def test_grid_equals_the_dealt_form(spark):
+    rng = random.Random(4)
+    rows = [(d, k * 4, k * 4 + 3, k * 4 + rng.randint(-3, 3), k * 4 + rng.randint(4, 9), [rng.random(), rng.random()]) for d in range(5) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, start long, end long, s long, e long, ps array<double>").coalesce(1)
+    flat = df.select("doc_id", F.col("s").alias("start"), F.col("e").alias("end"), F.posexplode("ps").alias("tag", "p")).withColumn("tag", F.col("tag").cast("string"))
+    want = {(r["doc_id"], r["start"], r["tag"]): (r["total"], r["weight"]) for r in ensemble.onto_grid(df, flat).collect()}
+    got = {(r["doc_id"], r["start"], str(k)): (r["totals"][k], r["weight"]) for r in ensemble.onto_grid_together(df).collect() for k in range(2) if r["weight"]}
+    assert set(got) == set(want) and all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+
+@pytest.mark.parametrize("name, most", [("token_entity_align", 0), ("bilou_decode", 0), ("bio_decode", 0), ("viterbi_decode", 0), ("grid_overlap_blend", 0), ("transition_counts", 1), ("token_category", 1)])
 def test_tokens_are_not_shuffled(spark, name, most):
     assert exchanges(registry.QUERIES[name](spark, SF)) <= most
 
+
+def test_weight_search_stores_nothing(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    rows, _ = annotation.grid_parts(spark, SF)
+    registry.QUERIES["blend_weight_search"](spark, SF)
+    assert exchanges(rows) == 0 and spark.sparkContext._jsc.getPersistentRDDs().size() == before
