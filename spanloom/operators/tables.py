@@ -21,17 +21,21 @@ from spanloom.operators.passages import passage_list
 
 @udtf(returnType="doc_id bigint, win int, first bigint, last bigint")
 class TokenWindows:
-    """Overlapping windows of a partition's tokens; see ``sequence.windows``. The partition is one ``doc_id``."""
+    """Overlapping windows of a partition's tokens; see ``sequence.windows``. The partition is one ``doc_id``.
+
+    A row is a token, or stands for ``n_tokens`` of them where the table has that column: whoever counts
+    tokens first has one call a document instead of one a token.
+    """
 
     def __init__(self) -> None:
         self.n, self.doc, self.content, self.stride = 0, None, 0, 0
 
     def eval(self, row: Row, max_length: int, stride: int) -> None:
-        if not self.n:
+        if self.doc is None:
             self.doc, self.content, self.stride = row["doc_id"], max_length - 2, stride
             if self.content < 1 or not 0 <= stride < self.content:
                 raise ValueError(f"stride must be between 0 and {self.content - 1}")
-        self.n += 1
+        self.n += row["n_tokens"] if "n_tokens" in row else 1
 
     def terminate(self) -> Iterator[tuple]:
         win = first = 0

@@ -12,8 +12,10 @@ from spanloom.plans.registry import ORACLES, query
 
 @query("token_windows_by_sql", ORACLES["token_windows"])
 def token_windows_by_sql(spark, d):
+    """A row of the table stands for all of a document's tokens, which Spark counts."""
     tables.register(spark)
-    return spark.sql("SELECT * FROM token_windows(TABLE({tokens}) PARTITION BY (doc_id), 128, 30)", tokens=D.tokens(spark, d).select("doc_id"))
+    tokens = D.tokens(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+    return spark.sql("SELECT * FROM token_windows(TABLE({tokens}) PARTITION BY (doc_id), 128, 30)", tokens=tokens)
 
 
 @query("passages_by_sql")
