@@ -3,9 +3,8 @@
 Each stage takes ``(spark, docs, sf_dir)`` with ``docs`` in the columns of ``documents``
 and returns a DataFrame; all but the last return those columns. A stage works on every row
 that the one before it kept, and its decisions take effect: documents that the rules or
-the classifier reject go, one document of each near-duplicate group stays (five-word
-shingles of similarity 0.8 or more; the contract of op6, three words and three bits, binds
-that query only), secrets are replaced in the texts, and what is left is packed.
+the classifier reject go, one document of each near-duplicate group stays (proposed by
+SimHash fingerprints within three bits, as in op6, and by bands; five-word shingles of similarity 0.8 or more decide), secrets are replaced in the texts, and what is left is packed.
 
 Defined results: null and empty texts are rejected by the rules; texts of any length are
 taken whole by every stage; repeated rows are one group for near-dedup, and of a group the

@@ -1,10 +1,13 @@
-"""Near-duplicate texts: groups of texts whose five-word shingles are alike, verified exactly.
+"""Near-duplicate texts: SimHash proposes, further bands propose more, and shared shingles decide exactly.
 
-Two texts are linked if their sets of shingles have a Jaccard similarity of ``share`` (4/5)
+Two texts are linked if their sets of five-word shingles have a Jaccard similarity of ``share`` (4/5)
 or more, and a chain of links makes a group. Texts with equal sets are folded into one
 print first, the sum of the set's hashes.
 
-MinHash signatures in 28 bands of 4 only propose texts to compare: a pair at exactly 4/5
+SimHash fingerprints (three-word shingles, pigeonhole blocks and star contraction, by op6's operator) propose
+texts that differ in ``distance`` (3) bits or fewer. At 4/5 most pairs differ in more, and no number of
+bits is both whole and narrow, so the texts of equal bands are proposed as well.
+MinHash signatures in 28 bands of 4 only propose texts, too: a pair at exactly 4/5
 has no equal band with probability 4e-7, and less above. Each text of a band's bucket is
 tied to the bucket's first, and connected components of these ties hold every proposed
 pair. A component's texts then meet on one task, where each shared shingle counts, and
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.llm import simhash
 from spanloom.llm.common import cut, joined_by_count, map_slices, release, slices, small
 from spanloom.llm.graph import components
 from spanloom.llm.simhash import shingles
@@ -74,7 +78,7 @@ def band_keys(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``(doc_id, fp, size, keys)``: the print of a text's set, its number of shingles, and its bands' keys."""
+    """``(doc_id, fp, size, keys, sim)``: the print of a text's set, its number of shingles, its bands' keys, and its SimHash fingerprint."""
 
     def f(part: pa.RecordBatch) -> dict:
         rows, hashes = sets(part.column("text"), width)
@@ -82,9 +86,10 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
         size = np.zeros(part.num_rows, np.int32)
         size[own] = BANDS
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(keys.ravel()))
-        return {"doc_id": part.column("doc_id"), "fp": prints(rows, hashes, part.num_rows), "size": np.bincount(rows, minlength=part.num_rows), "keys": lists}
+        sim = simhash.simhash(*shingles(part.column("text")), part.num_rows).view(np.int64)
+        return {"doc_id": part.column("doc_id"), "fp": prints(rows, hashes, part.num_rows), "size": np.bincount(rows, minlength=part.num_rows), "keys": lists, "sim": sim}
 
-    return map_slices(docs, ["doc_id", "text"], f, "doc_id long, fp long, size long, keys array<long>", limit=1 << 20)
+    return map_slices(docs, ["doc_id", "text"], f, "doc_id long, fp long, size long, keys array<long>, sim long", limit=1 << 20)
 
 
 def printed(docs: DataFrame, name: str, width: int = 5) -> DataFrame:
@@ -140,12 +145,25 @@ def folded(own: DataFrame) -> DataFrame:
     return cut(own.groupBy("fp").agg(F.count("*").alias("n"), best, F.max("size").alias("size"), F.first("keys").alias("keys")))
 
 
-def links(docs: DataFrame, prints: DataFrame, plain: bool, share: tuple[int, int] = (4, 5), cell: int = 1024, width: int = 5, load: int = 500_000) -> DataFrame:
-    """``(a, b)`` pairs of prints that connect exactly the groups; ``prints`` is ``folded(signatures(docs))``."""
+def simhash_links(own: DataFrame, distance: int = 3) -> DataFrame:
+    """``(a, b)`` pairs of prints: each print of a SimHash group (``simhash.groups``) with the group's smallest."""
+    pairs = cut(own.select("fp", "sim").distinct())
+    groups = simhash.groups(cut(pairs.select(F.col("sim").alias("fp")).distinct()), distance).withColumnRenamed("fp", "sim")
+    rooted = cut(pairs.join(groups, "sim").select("fp", "root").distinct())
+    low = rooted.groupBy("root").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return joined_by_count(rooted, low, "root", "n", rooted.count()).where("a <> fp").select("a", F.col("fp").alias("b"))
+
+
+def links(docs: DataFrame, prints: DataFrame, plain: bool, share: tuple[int, int] = (4, 5), cell: int = 1024, width: int = 5, load: int = 500_000, proposed: DataFrame | None = None) -> DataFrame:
+    """``(a, b)`` pairs of prints that connect exactly the groups; ``prints`` is ``folded(signatures(docs))``.
+
+    ``proposed`` are pairs ``(a, b)`` to verify besides those of the bands.
+    """
     keyed = prints.select("fp", F.explode("keys").alias("key"))
     low = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.count("*").alias("n")).where("a <> z").select("key", "a", "n")
     ties = joined_by_count(keyed, low, "key", "n", BANDS * prints.count(), cell)
-    roots = cut(components(ties.where("fp <> a").select("a", F.col("fp").alias("b"))))
+    ties = ties.where("fp <> a").select("a", F.col("fp").alias("b"))
+    roots = cut(components(ties if proposed is None else ties.unionByName(proposed)))
     # one document of each set that is to be compared
     sizes = roots.join(prints.select(F.col("fp").alias("node"), "size"), "node")
     parts = F.ceil(F.greatest(F.count("*") / F.lit(cell), F.sum("size") / F.lit(load)))
@@ -196,11 +214,11 @@ def links(docs: DataFrame, prints: DataFrame, plain: bool, share: tuple[int, int
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def keep_first(docs: DataFrame, share: tuple[int, int] = (4, 5), cell: int = 1024, width: int = 5, load: int = 500_000) -> DataFrame:
+def keep_first(docs: DataFrame, share: tuple[int, int] = (4, 5), cell: int = 1024, width: int = 5, load: int = 500_000, distance: int = 3) -> DataFrame:
     """One row of each group, with all of its columns: that of the smallest doc_id, null ids last."""
     own = cut(signatures(docs, width))
     plain, prints = plain_ids(own), folded(own)
-    roots = components(links(docs, prints, plain, share, cell, width, load))
+    roots = components(links(docs, prints, plain, share, cell, width, load, simhash_links(own, distance)))
     grouped = prints.select("fp", "best").join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
     name = "fp"
     while name in docs.columns:

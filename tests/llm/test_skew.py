@@ -52,3 +52,17 @@ def test_near_dedup_with_and_without_plain_ids(spark):
     for frame in (docs, again):
         kept = neardup.keep_first(frame)
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(40))
+
+
+def test_simhash_proposes_near_duplicates(spark):
+    texts = [" ".join(f"v{k}x{j}" for j in range(900)) for k in range(12)]
+    near = [t.replace(f"v{k}x899", "last") for k, t in enumerate(texts[:8])]
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts + near + [texts[0].upper(), ""])], "doc_id long, text string, chosen_id string, fp int")
+    own = neardup.signatures(docs)
+    assert {(r["doc_id"], r["sim"]) for r in own.collect()} == {(r["doc_id"], r["fp"]) for r in simhash.fingerprints(docs).collect()}
+    pairs = {r["component_id"] for r in simhash.near_duplicates(docs).where("doc_id between 12 and 19").collect()}
+    want = sum(k < 12 for k in pairs)
+    assert want and neardup.simhash_links(own).count() == want
+    bare = neardup.folded(own.withColumn("keys", F.array().cast("array<long>")))  # no bands: only SimHash proposes
+    found = neardup.links(docs, bare, True, proposed=neardup.simhash_links(own)).count()
+    assert found == want and neardup.keep_first(docs).count() == 13
