@@ -121,7 +121,9 @@ def bucket_links(keys: DataFrame, order: str = "seq") -> DataFrame:
 
     Rows that share buckets are connected by these links just as by all pairs; buckets of
     equal rows and near ones alike give one link a row, and a bucket is its own membership.
+    Keys are made once, cut off, and read for each join: they are short, what they are made of is not.
     """
+    keys = cut(keys)
     size = keys.groupBy("band", "key").agg(F.min(order).alias("a"), F.count("*").alias("n")).where("n > 1")
     named = size.select(F.struct("band", "key").alias("bucket"), "a", "n")
     rows = keys.select(order, F.struct("band", "key").alias("bucket"))
@@ -138,7 +140,7 @@ def _all_first(keys: DataFrame, order: str) -> DataFrame:
 
 def first_in_bucket(keys: DataFrame, order: str = "seq") -> DataFrame:
     """``(seq, near_dup)``: whether any of a row's keys is an earlier row's (one pass, stricter than the greedy rule)."""
-    return _all_first(keys, order).select(order, (~F.col("all_first")).alias("near_dup"))
+    return _all_first(cut(keys), order).select(order, (~F.col("all_first")).alias("near_dup"))
 
 
 def greedy_near_duplicates(keys: DataFrame, order: str = "seq") -> DataFrame:
