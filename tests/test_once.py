@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import dedup
+from spanloom.operators import dedup, spans
 
 
 @pytest.mark.parametrize("operator", [dedup.bucket_links, dedup.first_in_bucket])
@@ -21,3 +24,36 @@ def test_band_keys_are_made_once(spark, operator):
     got = operator(keys)
     assert got.count() == (33 if operator is dedup.bucket_links else 40)
     assert made.value == 40
+
+
+def test_clean_spans_hold_numbers_only():
+    """200,000 spans of one batch; as dictionaries they took about 80 MB."""
+    text, n = " ".join(f"Word{k:03d}," for k in range(100)), 2000
+    own = [{"label": "ORG", "start": 9 * k, "end": 9 * k + 8} for k in range(100)]
+    kind = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    flat = pa.concat_arrays([pa.array(own, kind)] * n)
+    batch = pa.ListArray.from_arrays(pa.array(range(0, 100 * n + 1, 100), pa.int32()), flat)
+    texts = pa.array([text] * n)
+    tracemalloc.start()
+    got = spans.clean_spans.func(texts, batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    assert len(got) == n and got[7].as_py() == [{"start": 9 * k, "end": 9 * k + 7, "label": "ORG"} for k in range(100)]
+
+
+def test_clean_spans_of_odd_rows():
+    kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    one = lambda s, e, label="ORG": {"label": label, "start": s, "end": e}
+    rows = [[one(0, 4)], None, [], [one(None, 3), one(0, None), one(2, 9, None)], [one(0, 3)]]
+    got = spans.clean_spans.func(pa.array(["Tosh.", "a", "b", "a Toshkent b", None]), pa.array(rows, kind))
+    assert got.to_pylist() == [[{"start": 0, "end": 4, "label": "ORG"}], [], [], [{"start": 2, "end": 10, "label": None}], []]
+    assert spans.clean_spans.func(pa.array(["x", "Tosh."]), pa.array(rows, kind)[3:5]).to_pylist()[1] == [{"start": 0, "end": 4, "label": "ORG"}]  # a slice of a batch
+
+
+def test_words_are_made_of_bounded_parts():
+    texts = ["a" * 600, None, "b" * 600, "", "c" * 5000, "d", "e"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": texts})
+    parts = [p.column(0).to_pylist() for p in spans.stretches(batch, rows=2, size=1000)]
+    assert parts == [[0, 1], [2, 3], [4], [5, 6]]
+    assert [p.num_rows for p in spans.stretches(batch.slice(2, 5))] == [5]
