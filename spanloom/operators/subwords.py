@@ -7,6 +7,7 @@ need no shuffle, and labelled ones one exchange of texts and spans by document.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,10 +28,13 @@ STRETCH = 100_000
 #: tag number of tokens that no loss counts
 IGNORED = -100
 BREAK = re.compile(r"(?<=\S)(?= )")
+#: places where the byte-level pattern begins a piece: those of ``BREAK``, and signs behind a letter
+PIECE = re.compile(r"(?<=\S)(?= )|(?<=[A-Za-z])(?=[.,!?;:])")
 
 
 @lru_cache(maxsize=4)
 def _tokenizer(definition: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_str(definition)
@@ -62,17 +66,99 @@ def trimmed(text: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.where(behind < end, behind, start)
 
 
-def coded(tokenizer, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, starts and ends of the text's tokens."""
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at, part in stretches(text):
-        got = tokenizer.encode(part, add_special_tokens=False)
+def _separable(tokenizer) -> bool:
+    """Whether every cut of ``PIECE`` is one between pieces: the byte-level pattern, and nothing before or behind it."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    pattern = tokenizer.pre_tokenizer
+    plain = isinstance(pattern, ByteLevel) and pattern.use_regex and not pattern.add_prefix_space
+    return plain and tokenizer.normalizer is None and tokenizer.post_processor is None and all(t.special for t in tokenizer.get_added_tokens_decoder().values())
+
+
+def _room(columns: np.ndarray, n: int) -> np.ndarray:
+    """``columns`` with room for ``n`` entries each, at least doubled where it was short."""
+    more = max(n, 2 * columns.shape[1]) - columns.shape[1]
+    return columns if n <= columns.shape[1] else np.concatenate([columns, np.zeros((len(columns), more), columns.dtype)], 1)
+
+
+class Coder:
+    """Tokens of texts, from those of their parts between cuts of ``PIECE``, each coded when it first comes.
+
+    Known parts are forgotten once they have ``most`` characters in all. A vocabulary with another pattern codes
+    whole stretches.
+    """
+
+    def __init__(self, tokenizer, most: int = 3_000_000) -> None:
+        self.tokenizer, self.most, self.separable = tokenizer, most, _separable(tokenizer)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.chars = self.tokens = 0
+        self.parts = np.zeros((3, 1024), np.int64)  # of each part: characters, tokens, place of the first token
+        self.held = np.zeros((3, 4096), np.int64)  # of each token: id, start, end
+
+    def _encoded(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = self.tokenizer.encode(text, add_special_tokens=False)
         offsets = np.array(got.offsets, np.int64).reshape(-1, 2)
-        parts.append((np.array(got.ids, np.int32), trimmed(part, offsets[:, 0], offsets[:, 1]) + at, offsets[:, 1] + at))
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ids, start, end = (np.concatenate(x) for x in zip(*parts))
-    return ids, start, end
+        return np.array(got.ids, np.int64), trimmed(text, offsets[:, 0], offsets[:, 1]), offsets[:, 1]
+
+    def _learn(self, new: list[str]) -> None:
+        """Parts between spaces are coded in one text, which is cut where they meet; others one by one."""
+        usual = [p for p in new if p[0] == " " and not p[-1].isspace()]
+        for group in ([usual] if usual else []) + [[p] for p in new if p[0] != " " or p[-1].isspace()]:
+            ids, start, end = self._encoded("".join(group))
+            size = np.fromiter(map(len, group), np.int64, len(group))
+            cuts = np.cumsum(size)
+            own = np.searchsorted(cuts, end, "left")  # the part in which a token ends
+            before = (cuts - size)[own]
+            k, n = len(self.number), self.tokens + len(ids)
+            self.parts = _room(self.parts, k + len(group))
+            self.held = _room(self.held, n)
+            count = np.bincount(own, minlength=len(group))
+            self.parts[:, k : k + len(group)] = size, count, self.tokens + np.cumsum(count) - count
+            self.held[:, self.tokens : n] = ids, start - before, end - before
+            self.number.update(zip(group, range(k, k + len(group))))
+            self.tokens, self.chars = n, self.chars + int(cuts[-1])
+
+    def _known(self, stretch: str) -> np.ndarray:
+        """Characters, tokens and first token's place of each of the stretch's parts."""
+        if self.chars > self.most:
+            self.forget()
+        parts = PIECE.split(stretch)
+        new = [p for p in dict.fromkeys(parts) if p not in self.number]
+        if new:
+            self._learn(new)
+        return self.parts[:, np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))]
+
+    def coded(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, starts and ends of the text's tokens."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at, stretch in stretches(text):
+            if self.separable:
+                size, count, first = self._known(stretch)
+                place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                shift = np.repeat(np.cumsum(size) - size + at, count)
+                ids, start, end = self.held[:, place]
+                out.append((ids.astype(np.int32), start + shift, end + shift))
+            else:
+                ids, start, end = self._encoded(stretch)
+                out.append((ids.astype(np.int32), start + at, end + at))
+        if not out:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids, start, end = (np.concatenate(x) for x in zip(*out))
+        return ids, start, end
+
+    def count(self, text: str) -> int:
+        if self.separable:
+            return sum(int(self._known(s)[1].sum()) for _, s in stretches(text))
+        return sum(len(self.tokenizer.encode(s, add_special_tokens=False).ids) for _, s in stretches(text))
+
+
+@lru_cache(maxsize=4)
+def _coder(definition: str) -> Coder:
+    """One of a Python worker's, which keeps what it has learnt from one batch to the next."""
+    return Coder(_tokenizer(definition))
 
 
 @dataclass(frozen=True)
@@ -132,12 +218,12 @@ def _windowed(docs: DataFrame, vocabulary: str, windows: Windows, rows: int, sch
     windows.content  # bad settings are an error here, not in a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(held.value)
+        coder = _coder(held.value)
         for batch in batches:
             ids = batch.column(0)
             out: list[list] = []
             for k in range(batch.num_rows):
-                token, start, end = coded(tokenizer, batch.column(1)[k].as_py())
+                token, start, end = coder.coded(batch.column(1)[k].as_py())
                 tag = tagged(start, end, batch.column(2)[k].values, scheme) if scheme else None
                 for win, (a, b) in enumerate(windows.cuts(len(token))):
                     if tag is not None and not tag[a:b].any():
@@ -172,13 +258,13 @@ def tagged(start: np.ndarray, end: np.ndarray, spans: pa.StructArray, scheme: st
     which = order[low[hit]]
     first = (start[hit] <= s[which]) & (s[which] < end[hit])
     last = (start[hit] < e[which]) & (e[which] <= end[hit])
-    if scheme == "bio":
-        prefix = np.where(first, "B", "I")
-    else:
-        prefix = np.select([first & last, first, last], ["U", "B", "L"], "I")
-    label = pc.struct_field(spans, "label").to_pylist()
+    prefixes = ("B", "I", "L", "U")
+    prefix = np.where(first, 0, 1) if scheme == "bio" else np.select([first & last, first, last], [3, 0, 2], 1)
+    label = pc.struct_field(spans, "label").dictionary_encode()
+    known = np.array([[number.get(f"{p}-{x}", 0) for x in label.dictionary.to_pylist()] for p in prefixes], np.int64)
     out = np.zeros(len(start), np.int64)
-    out[hit] = [number.get(f"{p}-{label[k]}", 0) for p, k in zip(prefix.tolist(), which.tolist())]
+    if len(hit):
+        out[hit] = known[prefix, label.indices.to_numpy(zero_copy_only=False)[which]]
     return out
 
 
@@ -194,7 +280,7 @@ def token_counter(spark: SparkSession, vocabulary: str) -> Callable[[Column], Co
 
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        tokenizer = _tokenizer(held.value)
-        return pa.array([None if t is None else sum(len(tokenizer.encode(p, add_special_tokens=False).ids) for _, p in stretches(t)) for t in texts.to_pylist()], pa.int64())
+        coder = _coder(held.value)
+        return pa.array([None if t is None else coder.count(t) for t in texts.to_pylist()], pa.int64())
 
     return count

@@ -155,10 +155,7 @@ def shingle_counts(spark, d):
 
 
 def signatures(spark, d):
-    rows = D.docs(spark, d).select(F.col("doc_id").alias("seq"), "text")
-    cores = spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:  # a table that is one row group is one task: dealt out once, before hashing, over the cores there are
-        rows = rows.repartition(cores)
+    rows = D.dealt(D.docs(spark, d).select(F.col("doc_id").alias("seq"), "text"))
     return dedup.minhash(rows, T.normalize(F.col("text")))
 
 

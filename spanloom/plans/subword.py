@@ -27,7 +27,7 @@ def vocabulary() -> str:
 @query("subword_windows")
 def subword_windows(spark, d):
     """All windows of all texts: their tokens, the characters they span, and a digest of their ids."""
-    rows = subwords.subword_windows(D.docs(spark, d), vocabulary(), SHAPE)
+    rows = subwords.subword_windows(D.dealt(D.docs(spark, d).select("doc_id", "text")), vocabulary(), SHAPE)
     inner = lambda name, f: f(F.filter(name, lambda x, k: (k > 0) & (k < F.size(name) - 1)))
     return rows.select(
         "doc_id", "win", F.size("token").alias("n"), inner("start", F.array_min).alias("first"), inner("end", F.array_max).alias("last"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +59,36 @@ def test_words_are_made_of_bounded_parts():
     parts = [p.column(0).to_pylist() for p in spans.stretches(batch, rows=2, size=1000)]
     assert parts == [[0, 1], [2, 3], [4], [5, 6]]
     assert [p.num_rows for p in spans.stretches(batch.slice(2, 5))] == [5]
+
+
+def test_subword_parts_are_coded_once():
+    """Texts of a few words, many times over: only what is new reaches the tokenizer, and the tokens are those of whole texts."""
+    from pathlib import Path
+
+    from spanloom.operators import subwords
+    from spanloom.plans.subword import vocabulary
+
+    real = subwords._tokenizer(Path(vocabulary()).read_text(encoding="utf-8"))
+
+    class Counted:
+        coded = 0
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def encode(self, text, **options):
+            self.coded += len(text)
+            return real.encode(text, **options)
+
+    rng = random.Random(5)
+    words = ["Tosh", "the", "don't", "漢字", "a\nb", "x,y.", "😀!", " ", "\n", "\x85", "12", "<|endoftext|>", "ÉT,é", "end.  "]
+    counted = Counted()
+    coder = subwords.Coder(counted, most=400)  # parts are forgotten now and then
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    for text in texts:
+        whole = real.encode(text, add_special_tokens=False)
+        offsets = np.array(whole.offsets, np.int64).reshape(-1, 2)
+        ids, start, end = coder.coded(text)
+        assert ids.tolist() == whole.ids and end.tolist() == offsets[:, 1].tolist() and coder.count(text) == len(ids)
+        assert start.tolist() == subwords.trimmed(text, offsets[:, 0], offsets[:, 1]).tolist()
+    assert counted.coded < sum(map(len, texts)) / 2
