@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.checkpoint import cut
 from spanloom.functions import text as T
 
 # fixed values: case modes and their weights
@@ -88,8 +89,8 @@ def swapped_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
     one = F.array_sort(F.collect_list(F.struct("start", "from", "replacement", "end")))
     per = rows.groupBy("doc_id").agg(one.alias("s"))
     joined = docs.join(per, "doc_id", "left")
-    cut = lambda a, b: F.substring("text", (a + 1).cast("int"), (b - a).cast("int"))
-    pieces = F.transform("s", lambda x: F.concat(cut(x["from"], x["start"]), x["replacement"]))
+    part = lambda a, b: F.substring("text", (a + 1).cast("int"), (b - a).cast("int"))
+    pieces = F.transform("s", lambda x: F.concat(part(x["from"], x["start"]), x["replacement"]))
     tail = F.expr("substring(text, cast(element_at(s, -1).end as int) + 1, length(text))")
     return joined.select("doc_id", F.when(F.col("s").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail)).alias("text"))
 
@@ -148,9 +149,10 @@ def augmented(
     """
     own = epoch_seed(seed, epoch)
     hit = lambda probability, k: uniform(F.col("doc_id"), seed=own + k) < probability
+    forms = cut(forms)  # counted for each level, then joined
     plain = mentions.select("doc_id", "label", "start", "end", "mention")
     chosen = swap(plain.where(hit(swap_probability, 11)), forms, own, swap_share).select(*plain.columns, "replacement")
-    spans = chosen.unionByName(plain.where(~hit(swap_probability, 11)).withColumn("replacement", F.col("mention")))
+    spans = cut(chosen.unionByName(plain.where(~hit(swap_probability, 11)).withColumn("replacement", F.col("mention"))))
     text = swapped_text(docs.select("doc_id", "text"), spans)
     moved = swapped_offsets(spans).select("doc_id", "label", F.col("new_start").alias("start"), F.col("new_end").alias("end"), F.col("replacement").alias("mention"))
     cased = distort_case(text.where(hit(case_probability, 13)), moved, own).select("doc_id", "text")

@@ -92,3 +92,23 @@ def test_subword_parts_are_coded_once():
         assert ids.tolist() == whole.ids and end.tolist() == offsets[:, 1].tolist() and coder.count(text) == len(ids)
         assert start.tolist() == subwords.trimmed(text, offsets[:, 0], offsets[:, 1]).tolist()
     assert counted.coded < sum(map(len, texts)) / 2
+
+
+@pytest.mark.parametrize("name", ["entity_swap", "augmented_epoch"])
+def test_mentions_are_found_once(spark, name, monkeypatch):
+    """Mentions, which come from a count of the texts that were split, are made once for all joins that read them."""
+    from spanloom.plans import annotation
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        made.add(1)
+        return x
+
+    real = annotation.D.mentions
+    monkeypatch.setattr(annotation.D, "mentions", lambda s, d: real(s, d).withColumn("mention", seen("mention")))
+    sf = "/root/testdata/sf0.001"
+    rows = annotation.D.gold(spark, sf).count()
+    getattr(annotation, name)(spark, sf).count()
+    assert made.value == rows
