@@ -112,3 +112,12 @@ def test_mentions_are_found_once(spark, name, monkeypatch):
     rows = annotation.D.gold(spark, sf).count()
     getattr(annotation, name)(spark, sf).count()
     assert made.value == rows
+
+
+@pytest.mark.parametrize("name", ["forbidden_transitions", "transition_log_conditional"])
+def test_transitions_deal_no_tokens(spark, name):
+    """Only counts of tags are shuffled: nothing is dealt by document, and texts are read once."""
+    from spanloom.plans import catalog, registry  # noqa: F401
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan and plan.count("Scan parquet") == 1
