@@ -39,7 +39,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(docs, packing.default_vocabulary()))
+    # what a worker keeps would stay with it in the stages of a later run
+    return packing.pack(packing.pieces(docs, packing.default_vocabulary(), most=100_000))
 
 
 STAGES = [

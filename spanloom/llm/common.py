@@ -7,6 +7,7 @@ one slice plus the longest single text, whatever the batch holds.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -20,6 +21,9 @@ from spanloom.checkpoint import cut, shared_folder  # noqa: F401
 from spanloom.operators.joins import joined_by_count  # noqa: F401
 
 SLICE_BYTES = 2 << 20
+#: for the pipeline, whose stages share executors that have grown by then
+STAGE_BYTES = 1 << 19
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
 #: ASCII white space, and bytes with A-Z in lower case
 WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
@@ -35,12 +39,12 @@ def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def keep_rows(docs: DataFrame, verdict: Callable[[pa.Array], np.ndarray], text: str = "text") -> DataFrame:
+def keep_rows(docs: DataFrame, verdict: Callable[[pa.Array], np.ndarray], text: str = "text", limit: int = STAGE_BYTES) -> DataFrame:
     """The rows, with all of their columns, whose text ``verdict`` accepts; without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 yield part.filter(pa.array(verdict(part.column(text))))
             release()
 
@@ -48,8 +52,10 @@ def keep_rows(docs: DataFrame, verdict: Callable[[pa.Array], np.ndarray], text:
 
 
 def release() -> None:
-    """Give memory that Arrow holds for later back to the system: workers live on from stage to stage."""
+    """Give memory that Arrow and the C library hold for later back to the system: workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

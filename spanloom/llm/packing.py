@@ -260,14 +260,21 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """Tokenised documents, cut where they are longer than ``capacity``."""
+def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, most: int | None = None) -> DataFrame:
+    """Tokenised documents, cut where they are longer than ``capacity``.
+
+    With ``most`` every task has an encoder of its own, of that many entries, which ends with it; else a worker keeps one.
+    """
+    own: list[Encoder] = []  # a task has a copy of the list
     end = np.array([end_id], "<u4").tobytes()
 
     def f(part: pa.RecordBatch) -> dict:
+        if most is not None and not own:
+            own.append(Encoder(path, most))
+        code = own[0] if own else encoder(path)
         out: list[tuple] = []
         rows: list[int] = []
-        for row, ids in enumerate(encoder(path)(part.column("text"))):
+        for row, ids in enumerate(code(part.column("text"))):
             ids += end
             n = len(ids) // 4
             first = n % capacity or capacity

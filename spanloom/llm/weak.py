@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import byte_class, codes, counts, cut, keep_rows, map_slices, split_words, table, text_bytes
+from spanloom.llm.common import SLICE_BYTES, STAGE_BYTES, byte_class, codes, counts, cut, keep_rows, map_slices, split_words, table, text_bytes
 from spanloom.llm.registry import QUERIES
 from spanloom.llm.xxh import xxh64
 
@@ -254,7 +254,7 @@ class QualityModel:
     bias: float
 
 
-def fit(docs: DataFrame, sample: int = 4000, frequent: int = 1000, seed: int = 17) -> QualityModel:
+def fit(docs: DataFrame, sample: int = 4000, frequent: int = 1000, seed: int = 17, limit: int = SLICE_BYTES) -> QualityModel:
     """EM over the votes of all texts; the scorer from ``sample`` distinct texts, or all if there are fewer.
 
     The sample has the lowest hashes of distinct texts, and the lowest one of each pattern that
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, sample: int = 4000, frequent: int = 1000, seed: int = 1
     def votes(part: pa.RecordBatch) -> dict:
         return {"pattern": vote(measures(Words(part.column("text")))), "hash": part.column("hash")}
 
-    kinds = map_slices(hashed, ["text", "hash"], votes, "pattern long, hash long").groupBy("pattern", "hash").agg(F.count("*").alias("n"))
+    kinds = map_slices(hashed, ["text", "hash"], votes, "pattern long, hash long", limit=limit).groupBy("pattern", "hash").agg(F.count("*").alias("n"))
     kinds = cut(kinds.withColumn("place", F.xxhash64("hash", F.lit(seed))))
     own = F.struct("place", "hash", "n").alias("own")
     got = kinds.groupBy("pattern").agg(F.sum("n").alias("count"), F.min(own).alias("own")).toPandas()
@@ -287,7 +287,7 @@ def fit(docs: DataFrame, sample: int = 4000, frequent: int = 1000, seed: int = 1
 
     keys = docs.sparkSession.createDataFrame([(h,) for h in chosen], "hash long")
     alone = hashed.join(F.broadcast(keys), "hash", "left_semi")
-    rows = map_slices(alone, ["text", "hash"], features, "hash long, pattern long, n long, at array<int>, times array<int>")
+    rows = map_slices(alone, ["text", "hash"], features, "hash long, pattern long, n long, at array<int>, times array<int>", limit=limit)
     first = rows.groupBy("hash").agg(*[F.first(c).alias(c) for c in ("pattern", "n", "at", "times")]).toPandas()  # equal texts, equal features
     first = first.sort_values("hash", ignore_index=True)
     sizes = np.array([len(x) for x in first["at"]], np.int64)
@@ -316,7 +316,7 @@ def quality_classifier(docs: DataFrame, model: QualityModel, threshold: float =
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that a classifier fitted to them keeps, with all of their columns."""
-    model = fit(docs)
+    model = fit(docs, limit=STAGE_BYTES)
     return keep_rows(docs, lambda texts: linear(Words(texts), model.weights, model.bias) >= threshold)
 
 

@@ -2,8 +2,10 @@
 
 import json
 import random
+import shutil
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spanloom.llm import packing
@@ -48,3 +50,20 @@ def test_long_parts_do_not_stay_in_the_cache():
     assert own(texts) == want and own.long
     assert own(["plain words again", "more of them"]) and not own.long
     assert max(map(len, [*own, *own.known])) <= own.LONG and "words" in own
+
+
+def test_the_pipeline_leaves_no_encoder_in_the_workers(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    path = shutil.copy(packing.default_vocabulary(), tmp_path / "own.json")
+    docs = spark.createDataFrame([(k, f"word{k} and word{k % 7} again, and again") for k in range(200)], "doc_id long, text string").repartition(4)
+    want = sorted(map(tuple, packing.pieces(docs, packing.default_vocabulary()).collect()))
+    monkeypatch.setattr(packing, "default_vocabulary", lambda: str(path))
+    got = corpus_pipeline.best_fit_packing(spark, docs, "").select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == want == sorted(map(tuple, packing.pieces(docs, packing.default_vocabulary(), most=10).collect()))
+
+    def kept(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"kept": pa.array([str(path) in packing._encoders] * batch.num_rows)})
+
+    assert spark.range(0, 64, 1, 16).mapInArrow(kept, "kept boolean").where("kept").count() == 0
