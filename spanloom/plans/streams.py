@@ -15,18 +15,23 @@ from spanloom.streaming import state
 
 @query("stream_first_copies", f"SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY {dig()}")
 def stream_first_copies(spark: SparkSession, d: str) -> DataFrame:
-    """First copies of texts by a stateful stream; one file is one micro-batch, so that the first copy has the smallest id."""
+    """First copies of texts by a stateful stream: the smallest id of each digest over all micro-batches."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/documents.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_parent(d))
 
+    kind = "digest string, seq long"
+    spark.createDataFrame([], kind).write.parquet(f"{folder}/out/batch=-1")  # a stream without files has no batch
+
+    def each(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
     def run() -> None:
-        rows = state.first_by_digest(stream, seq="doc_id")
-        sink = rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-        sink.start(f"{folder}/out").awaitTermination()
+        sink = state.least_by_digest(stream, seq="doc_id").writeStream.outputMode("update").foreachBatch(each)
+        sink.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
     state.with_rocksdb(spark, run)
-    return spark.read.parquet(f"{folder}/out").groupBy("digest").agg(F.min("seq").alias("doc_id")).select("doc_id")
+    return spark.read.schema(kind).parquet(f"{folder}/out").groupBy("digest").agg(F.min("seq").alias("doc_id")).select("doc_id")
 
 
 def _parent(d: str) -> str:

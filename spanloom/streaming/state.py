@@ -65,6 +65,16 @@ def first_by_digest(stream: DataFrame, text: str = "text", seq: str = "seq", ttl
     return rows.groupBy("digest").transformWithStateInPandas(FirstCopies(ttl_ms), "digest string, seq long", "append", mode)
 
 
+def least_by_digest(stream: DataFrame, text: str = "text", seq: str = "seq") -> DataFrame:
+    """``(digest, seq)``: the least ``seq`` so far of each folded text, by Spark's own aggregation, for update mode.
+
+    A batch gives its digests anew, so the least row of a digest over all batches is the first copy, in whatever
+    order files arrive. Nothing is called for a single key; state does not expire (``first_by_digest`` has that).
+    """
+    rows = stream.select(normalized_digest(text).alias("digest"), F.col(seq).cast("long").alias("seq")).where("digest is not null")
+    return rows.groupBy("digest").agg(F.min("seq").alias("seq"))
+
+
 def curate(
     stream: DataFrame, excluded: DataFrame, folder: str, checkpoint: str, sources: list[str], quotas: dict[str, int] | None = None, held: int = 0,
     order: str = "seq", trigger: dict | None = None, state: SeenState | None = None,

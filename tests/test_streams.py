@@ -37,6 +37,34 @@ def test_first_copies_across_a_restart(spark, tmp_path):
     assert sorted(r["seq"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 5]
 
 
+def test_least_of_each_digest_whatever_the_order_of_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    got = {}
+
+    def each(rows, number):
+        for r in rows.collect():
+            got[r["digest"]] = min(r["seq"], got.get(r["digest"], r["seq"]))
+
+    def run():
+        rows = state.least_by_digest(read(spark, str(tmp_path / "in")))
+        rows.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(300)
+
+    write(spark, tmp_path / "in", [(5, "s", "x Y"), (6, "s", "z"), (7, "s", None)], "a")
+    state.with_rocksdb(spark, run)
+    write(spark, tmp_path / "in", [(2, "s", "X  y"), (8, "s", "Z"), (9, "s", "w")], "b")
+    state.with_rocksdb(spark, run)
+    assert sorted(got.values()) == [2, 6, 9]
+
+
+def test_query_keeps_no_state_key_by_key(spark, monkeypatch):
+    """The stateful operator is Spark's own: nothing is sent to a Python worker and back for a digest."""
+    from spanloom.plans import catalog, registry  # noqa: F401
+
+    monkeypatch.setattr(state, "FirstCopies", None)
+    got = registry.QUERIES["stream_first_copies"](spark, "/root/testdata/sf0.001")
+    assert got.count() == got.distinct().count() > 0
+
+
 def test_state_expires(spark, tmp_path):
     """Timers make another batch all the time, so the stream is stopped once it is some batches past the rows."""
     (tmp_path / "in").mkdir()
