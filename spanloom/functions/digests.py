@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -28,10 +29,15 @@ def blake2b_hex(text: str, size: int = 16) -> str:
     return hashlib.blake2b(text.encode(), digest_size=size).hexdigest()
 
 
+def one_by_one(texts: pa.Array) -> Iterator[str | None]:
+    """The texts as strings, of which one is held at a time, not those of a whole batch."""
+    return (t.as_py() for t in texts)
+
+
 @F.arrow_udf(StringType())
 def normalized_digest(texts: pa.Array) -> pa.Array:
     """128-bit BLAKE2b, in hexadecimal digits, of each text's folded form; null stays null."""
-    return pa.array([None if t is None else blake2b_hex(folded(t)) for t in texts.to_pylist()], pa.string())
+    return pa.array([None if t is None else blake2b_hex(folded(t)) for t in one_by_one(texts)], pa.string())
 
 
 def long_paragraphs(text: str, min_chars: int) -> list[str]:
@@ -46,10 +52,11 @@ def masks(n: int) -> np.ndarray:
 
 def signature_of(normalized: str, n: int, width: int) -> np.ndarray:
     """Unsigned minima of the text's distinct word windows under ``n`` masks."""
-    words = normalized.split()
-    windows = {" ".join(words[k : k + width]) for k in range(max(len(words) - width + 1, 1))}
-    raw = b"".join(hashlib.blake2b(w.encode(), digest_size=8).digest() for w in windows)
-    hashes = np.frombuffer(raw, ">u8").astype(np.uint64)
+    raw = " ".join(normalized.split()).encode()
+    spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+    ends = [*spaces[width - 1 :].tolist(), len(raw)]
+    windows = {raw[s:e] for s, e in zip([0, *(spaces + 1).tolist()], ends)}
+    hashes = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in windows]), ">u8").astype(np.uint64)
     low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), 4096):  # bounded memory for very long texts
         np.minimum(low, (hashes[None, k : k + 4096] ^ masks(n)[:, None]).min(1), out=low)
@@ -61,7 +68,7 @@ def minhash_signature(text: Column, n: int = 32, width: int = 5) -> Column:
 
     @F.arrow_udf(ArrayType(LongType()))
     def f(texts: pa.Array) -> pa.Array:
-        held = [None if t is None else (signature_of(folded(t), n, width) ^ TOP).view(np.int64) for t in texts.to_pylist()]
+        held = [None if t is None else (signature_of(folded(t), n, width) ^ TOP).view(np.int64) for t in one_by_one(texts)]
         return pa.array(held, pa.list_(pa.int64()))
 
     return f(text)
@@ -76,7 +83,7 @@ def passage_keys(text: Column, min_chars: int = 80, bands: int = 8, rows: int =
     @F.arrow_udf("struct<digest:string,paragraphs:array<string>,bands:array<bigint>>")
     def f(texts: pa.Array) -> pa.Array:
         out = []
-        for t in texts.to_pylist():
+        for t in one_by_one(texts):
             if t is None:
                 out.append(None)
                 continue

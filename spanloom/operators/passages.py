@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +61,11 @@ def passage_list(text: str, limit: int) -> list[str]:
 def split_passages(docs: DataFrame, limit: int = 8000, text: str = "text") -> DataFrame:
     """Rows of ``docs`` with ``passage_no`` and ``passage`` in place of the text; null texts have none."""
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else passage_list(t, limit))
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        few = (texts.slice(k, 100) for k in range(0, len(texts), 100))  # as Python strings a few texts at a time
+        return pa.concat_arrays([pa.array([], kind), *(pa.array([[] if t is None else passage_list(t, limit) for t in x.to_pylist()], kind) for x in few)])
 
     kept = [c for c in docs.columns if c != text]
     return docs.select(*kept, F.posexplode(cut(text)).alias("passage_no", "passage"))

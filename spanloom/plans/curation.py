@@ -247,6 +247,7 @@ def whole_corpus(spark, d, quota=None, held=0, limit=8000):
     """The corpus of ``documents``, whose sources stand for the sources of the stream, and the texts of ``benchmark`` excluded."""
     rows = D.docs(spark, d).select("source", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row"), "doc_id", "text")
     bench = spark.read.parquet(f"{d}/benchmark.parquet").select(normalized_digest("text").alias("digest"))
+    rows = D.dealt(rows)
     sources = [r["source"] for r in rows.select("source").where("source is not null").distinct().orderBy("source").collect()]  # one row a source
     return corpus.build(rows, bench, sources, quota and dict.fromkeys(sources, quota), held, limit)
 
