@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +108,7 @@ class Vocabulary:
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the two pieces stand as they are when their joined text is merged."""
-        key = left * len(self.piece) + right
+        key = right * len(self.piece) + left  # edges come by their own piece, so that neighbours are looked up in turn
         at = np.searchsorted(self.checked, key)
         known = np.zeros(len(key), bool)
         if len(self.checked):
@@ -115,7 +116,7 @@ class Vocabulary:
         if not known.all():
             new = np.sort(key[~known])
             new = new[np.r_[True, new[1:] != new[:-1]]]
-            ends = zip((new // len(self.piece)).tolist(), (new % len(self.piece)).tolist())
+            ends = zip((new % len(self.piece)).tolist(), (new // len(self.piece)).tolist())
             got = np.array([self.merge(self.piece[a] + self.piece[b]) == [a, b] for a, b in ends], bool)
             if len(self.checked) > self.most:  # known verdicts only save time
                 self.checked, self.verdict = np.zeros(0, np.int64), np.zeros(0, bool)
@@ -144,11 +145,7 @@ class Lattice:
         self.offset = np.arange(n) - np.repeat(self.base, self.length)  # of each character in its unit
         left = np.repeat(self.length, self.length) - self.offset
         # only as many characters of a suffix matter as the longest piece has
-        padded = np.zeros(n + v.width, np.uint32)
-        padded[:n] = text + 1
-        grid = np.lib.stride_tricks.sliding_window_view(padded, v.width)[:n] * (np.arange(v.width) < left[:, None])
-        grid[:, -1] = 0
-        array, lanes, place, bits = sorted_suffixes(grid)
+        array, lanes, place, bits = sorted_suffixes(text + 1, left, v.width)
         low, high = ranges(lanes, v.letters, place, bits)
         found = high - low
         piece = np.repeat(v.normal, found)
@@ -251,42 +248,67 @@ def lane(codes: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def sorted_suffixes(grid: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, int]:
-    """Suffix array of rows of code points, by prefix doubling; the rows in that order as lanes of a few
-    characters; and the rank of each code point in the batch's alphabet, with its bits."""
-    n, width = grid.shape
+def ahead(x: np.ndarray, k: int, left: np.ndarray) -> np.ndarray:
+    """What stands ``k`` places on in the same unit, or zero; ``left`` characters of the unit are left at each place."""
+    out = np.zeros_like(x)
+    out[: max(len(x) - k, 0)] = x[k:]
+    out[left <= k] = 0
+    return out
+
+
+def suffix_lanes(codes: np.ndarray, left: np.ndarray, width: int, bits: int) -> list[np.ndarray]:
+    """The first ``width - 1`` characters of each suffix, and a zero, as lanes of as many as fit one number; lengths double."""
+    each = 63 // bits
+    powers = [codes]  # the first 1, 2, 4, ... characters
+    while 2 << len(powers) - 1 <= min(each, width - 1):
+        half = 1 << len(powers) - 1
+        powers.append(powers[-1] << half * bits | ahead(powers[-1], half, left))
+    out = []
+    for k in range(0, width, each):
+        stop = min(k + each, width)
+        part, m = np.zeros_like(codes), k
+        for j in reversed(range(len(powers))):
+            if min(stop, width - 1) - k >> j & 1:
+                part = part << (bits << j) | (ahead(powers[j], m, left) if m else powers[j])
+                m += 1 << j
+        out.append(part << (stop - m) * bits)
+    return out
+
+
+def sorted_suffixes(text: np.ndarray, left: np.ndarray, width: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, int]:
+    """Suffix array of the units in ``text`` (code points plus one; ``left`` characters of the unit from each place on), by
+    prefix doubling; the suffixes in that order as lanes; and the rank of each code point in the batch's alphabet, with its bits."""
+    n = len(text)
     if not n:
         return np.zeros(0, np.int64), [np.zeros(0, np.int64)], np.zeros(1, np.int64), 1
     # as many characters, by their rank in the batch's alphabet, as fit one number; from there on lengths double
-    seen = np.zeros(int(grid[:, 0].max()) + 1, bool)
-    seen[grid[:, 0]] = True
-    seen[0] = False
+    seen = np.zeros(int(text.max()) + 1, bool)
+    seen[text] = True
     place, bits = np.cumsum(seen) * seen, int(seen.sum()).bit_length()
     step = min(width, 63 // bits)
-    each = step
-    first = lane(place[grid[:, :step]], bits)
-    order = np.argsort(first)
+    lanes = suffix_lanes(place[text], left, width, bits)
+    order = np.argsort(lanes[0])
+    sorted_ = lanes[0][order]
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.r_[False, first[order][1:] != first[order][:-1]])
-    while step < width:
-        size = np.bincount(rank)
-        tied = np.flatnonzero(size[rank] > 1)
+    rank[order] = np.cumsum(np.r_[False, sorted_[1:] != sorted_[:-1]])
+    while step < width - 1:
+        # of equal rank, and not at their ends: those that have ended are equal for good
+        open_ = (np.bincount(rank)[rank] > 1) & (left >= step)
+        tied = np.flatnonzero(open_)
         if not len(tied):
             break
-        ahead = np.where(grid[tied, min(step, width - 1)] > 0, rank[np.minimum(tied + step, n - 1)] + 1, 0)
-        key = rank[tied] * (n + 2) + ahead
+        key = rank[tied] * (n + 2) + np.where(left[tied] > step, rank[np.minimum(tied + step, n - 1)] + 1, 0)
         by = np.argsort(key)
         key, who = key[by], tied[by]
-        slots = np.flatnonzero((size[rank] > 1)[order])
+        slots = np.flatnonzero(open_[order])
         order[slots] = who
-        fresh = np.r_[True, rank[order][1:] != rank[order][:-1]]
-        fresh[slots[1:]] |= (key[1:] != key[:-1])
-        new = np.cumsum(fresh) - 1
-        rank = np.empty(n, np.int64)
-        rank[order] = new
         step *= 2
-    lanes = [first[order]] + [lane(place[grid[:, k : k + each]], bits)[order] for k in range(each, width, each)]
-    return order, lanes, place, bits
+        if step < width - 1:
+            fresh = np.r_[True, rank[order][1:] != rank[order][:-1]]
+            fresh[slots[1:]] |= key[1:] != key[:-1]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(fresh) - 1
+    return order, [x[order] for x in lanes], place, bits
 
 
 def ranges(lanes: list[np.ndarray], letters: np.ndarray, place: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -345,15 +367,16 @@ class Codec:
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         cut = [self.units(t) if t else [] for t in texts]
-        new = list(set().union(*cut))
-        if not new:
-            yield from [b""] * len(cut)
-            return
-        ids, ends = Lattice([SPACE + u.replace(" ", SPACE) for u in new], self.vocabulary).relax()
-        raw, stops = ids.tobytes(), (4 * ends).tolist()
-        known = dict(zip(new, (raw[a:b] for a, b in zip([0, *stops], stops))))
-        for units in cut:
-            yield b"".join(map(known.__getitem__, units))
+        number = dict.fromkeys(chain.from_iterable(cut))
+        ids, ends = Lattice([SPACE + u.replace(" ", SPACE) for u in number], self.vocabulary).relax()
+        number = dict(zip(number, range(len(number))))
+        which = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        size = np.diff(ends, prepend=0)[which]
+        stops = np.cumsum(size)
+        raw = ids[np.arange(size.sum()) + np.repeat(ends[which] - stops, size)].tobytes()
+        own = (4 * np.r_[0, stops][np.cumsum([0, *map(len, cut)])]).tolist()
+        for start, stop in zip(own, own[1:]):
+            yield raw[start:stop]
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids, without the leading space; bytes that are no UTF-8 become U+FFFD."""

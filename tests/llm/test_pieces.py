@@ -1,5 +1,6 @@
 """Whole batches of hard texts against the library; very long words; index ranges against plain search."""
 
+import gc
 import random
 import time
 
@@ -60,3 +61,44 @@ def test_one_run_of_five_million_letters():
     (ids,) = OWN([text])
     assert time.perf_counter() - began < 120
     assert OWN.decode(ids) == text
+
+
+def test_suffixes_in_order():
+    """Suffixes come in the order of their first characters, in lanes and in the array, whatever the size of the alphabet."""
+    rng = random.Random(8)
+    for signs in ("ab", "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x3041, 0x3041 + 700)))):
+        units = ["".join(rng.choice(signs[: rng.choice([2, 700])]) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+        text = np.array([ord(c) + 1 for u in units for c in u], np.uint32)
+        left = np.array([k for u in units for k in range(len(u), 0, -1)])
+        heads = [u[k : k + 16] for u in units for k in range(len(u))]
+        order, lanes, place, bits = pieces.sorted_suffixes(text, left, 17)
+        assert sorted(order.tolist()) == list(range(len(text)))
+        assert [heads[k] for k in order.tolist()] == sorted(heads)
+        rows = list(zip(*(x.tolist() for x in lanes)))
+        assert rows == sorted(rows) and len(set(rows)) == len(set(heads))
+
+
+def test_ended_suffixes_are_not_sorted_again(monkeypatch):
+    """Suffixes that are equal to their ends stay tied: only those that go on are sorted by what follows."""
+    rng = random.Random(9)
+    units = list({pieces.SPACE + "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) + rng.choice(["ing", "tion"]) for _ in range(5000)})
+    sizes, real = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sizes.append(0 if k else len(x)) or real(x, *a, **k))
+    pieces.Lattice(units, OWN.vocabulary)
+    assert sizes[0] > 40_000 and sum(sizes[1:]) < 0.3 * sizes[0]
+
+
+def test_rows_without_text():
+    assert list(OWN([None, "", None])) == [b""] * 3
+    assert list(OWN([None, "a", ""])) == [b"", np.array(LIBRARY.encode("a"), "<u4").tobytes(), b""]
+
+
+def test_arrays_go_with_their_batch():
+    """Nothing of a batch waits for the collector of cycles, which arrays' sizes do not start."""
+    gc.collect()
+    gc.disable()
+    try:
+        list(OWN(["one batch of words"]))
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
